@@ -1,0 +1,22 @@
+"""Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
+
+from cairn.llm import mixing
+from cairn.llm.decontamination import op6_decontamination
+from cairn.llm.embedding_dedup import op8_embedding_dedup
+from cairn.llm.html_extraction import op9_html_extraction
+from cairn.llm.language_id import op7_language_id
+from cairn.llm.minhash_dedup import op3_minhash_dedup
+from cairn.llm.mixing import op4_mixing
+from cairn.llm.pii import op10_pii
+from cairn.llm.quality import op2_quality
+from cairn.llm.token_counts import op1_token_counts
+from cairn.llm.toxicity import op5_toxicity
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_quality, op3_minhash_dedup, op4_mixing, op5_toxicity,
+        op6_decontamination, op7_language_id, op8_embedding_dedup, op9_html_extraction, op10_pii,
+    )
+}
+ORACLES = {"op4_mixing": mixing.ORACLE}

@@ -8,6 +8,7 @@ A linear classifier is fitted to its posterior labels."""
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,95 +19,113 @@ from cairn.llm._shared import save, session, slices, table
 from cairn.llm.quality import fold
 
 #: Labelled rows that terms are counted on, by a hash of the id; entries of the lexicon; lexicon voters.
-SAMPLE, LEXICON, LEXICONS, ACCEPT = 40_000, 4_000, 4, 0.7
+SAMPLE, LEXICON, LEXICONS, ACCEPT = 15_000, 4_000, 4, 0.7
 _WORDS = re.compile(r"[^\W\d_]+")
-STEM = 4
+#: Letters of a stem; a stem is written with a star.
+STEMS = range(3, 9)
+#: How many times as often a term must be used in toxic texts, in what share of them, and from what ratio of uses a word is sure.
+ODDS, SEEN, SURE = 20, 0.01, 50
+#: Shares of a text's words that begin with a lexicon stem, from which pattern voters vote.
+DENSE = (0.003, 0.01, 0.025)
 
 
-def _terms(text: str) -> set[str]:
-    """The distinct lower-cased words, and stems of STEM and STEM + 1 letters (marked with a star) of longer ones."""
-    words = set(_WORDS.findall(text.lower()))
-    return words | {w[:STEM] + "*" for w in words if len(w) > STEM} | {w[: STEM + 1] + "*" for w in words if len(w) > STEM + 1}
-
-
-def _term_rows(batches):
+def _counted(batches):
+    """For each batch and label: of each word and stem its occurrences and its texts."""
     for batch in batches:
-        for part in slices(batch, "text"):
-            terms, marks = [], []
-            for text, mark in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                own = _terms(text or "")
-                terms += own
-                marks += [mark] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(marks, pa.int32())], ["term", "label"])
-
-
-def lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Terms with their log-odds, from rows (text, label): those that toxic texts favour by far, at most LEXICON."""
-    yes, no = (labelled.where(F.col("label") == x).count() for x in (1, 0))
-    if not yes or not no:
+        uses: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        texts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for text, mark in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            own = Counter(_WORDS.findall((text or "").lower()))
+            stems: Counter = Counter()
+            for w, n in own.items():
+                for k in STEMS[: max(0, len(w) - STEMS[0])]:
+                    stems[w[:k] + "*"] += n
+            for c in (own, stems):
+                uses[mark].update(c)
+                texts[mark].update(c.keys())
+            uses[mark][""] += sum(own.values())
+            texts[mark][""] += 1
+        for mark in (0, 1):
+            terms = list(uses[mark])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([mark] * len(terms), pa.int32()), pa.array([uses[mark][t] for t in terms], pa.int64()), pa.array([texts[mark][t] for t in terms], pa.int64())], ["term", "label", "uses", "texts"])
+
+
+def lexicon(labelled: DataFrame) -> dict[str, bool]:
+    """Words and stems that toxic texts use far more often, from rows (text, label), at most LEXICON; True for
+    words that other texts hardly use and that no stem explains."""
+    yes, no = (F.sum(F.when(F.col("label") == x, F.col("uses")).otherwise(0)) for x in (1, 0))
+    counts = save(labelled.mapInArrow(_counted, "term string, label int, uses long, texts long").groupBy("term").agg(yes.alias("yes"), no.alias("no"), F.sum(F.when(F.col("label") == 1, F.col("texts")).otherwise(0)).alias("texts")))
+    all_ = counts.where("term = ''").first()
+    if not all_ or not all_["yes"] or not all_["no"]:
         return {}
-    counts = labelled.mapInArrow(_term_rows, "term string, label int").groupBy("term").agg(F.sum("label").alias("yes"), F.count("*").alias("n"))
-    odds = F.log((F.col("yes") + 0.1) / yes) - F.log((F.col("n") - F.col("yes") + 0.5) / no)
-    top = counts.where("yes >= 3").withColumn("odds", odds).where(f"odds >= {math.log(8)}").orderBy(F.desc(F.col("odds") * F.log1p("yes")), "term").limit(LEXICON)
-    return {r["term"]: r["odds"] for r in top.select("term", "odds").collect()}
-
-
-def _voter(term: str) -> int:
-    return sum(term.encode()) % LEXICONS
-
-
-def votes(text: str, terms: dict[str, float], stems: tuple[int, ...] = (STEM, STEM + 1)) -> tuple[int, ...]:
-    """One vote a voter: 1, -1, or 0 for an abstention."""
-    words = _WORDS.findall(text.lower())
-    own = set(words)
-    hits = own & terms.keys()
-    rooted = {t for k in stems for w in own if len(w) > k and (t := w[:k] + "*") in terms}
-    whole = [0] * LEXICONS
-    for t in hits:
-        whole[_voter(t)] = 1
-    n = len(hits)
-    letters = sum(map(len, words)) or 1
-    shouting = sum(map(str.isupper, text)) / letters if len(text) < 20_000 else sum(map(str.isupper, text[::7])) * 7 / letters
-    return (
-        *whole,
-        1 if rooted else -1,
-        1 if n >= 2 else -1 if not n else 0,
-        1 if n >= 3 else 0,
-        1 if n and max(terms[t] for t in hits) > 5 else -1 if not n and not rooted else 0,
-        1 if shouting > 0.5 and n else 0,
-    )
-
-
-VOTERS = LEXICONS + 5
-
-
-def _patterns(terms):
+    odds = F.log((F.col("yes") + 0.1) / all_["yes"]) - F.log((F.col("no") + 0.5) / all_["no"])
+    enough = max(3, math.ceil(all_["texts"] * SEEN))
+    top = counts.where(f"term <> '' AND texts >= {enough}").withColumn("odds", odds).where(f"odds >= {math.log(ODDS)}").orderBy(F.desc(F.col("odds") * F.log1p("texts")), "term").limit(LEXICON)
+    sure = {r["term"]: r["no"] * SURE <= r["yes"] for r in top.select("term", "yes", "no").collect()}
+    blurred = {t for t, s in sure.items() if t.endswith("*") and not s}
+    return {t: s and not t.endswith("*") and not any(t[:k] + "*" in blurred for k in STEMS) for t, s in sure.items() if t.endswith("*") or s}
+
+
+def votes(text: str, terms: dict[str, bool], heads: set[str]) -> str:
+    """One vote a voter, as +, -, or 0 for an abstention. heads: the first letters of all stems."""
+    words = Counter(_WORDS.findall(text.lower()))
+    strong = [w for w in words if terms.get(w)]
+    rooted = sum(n for w, n in words.items() if w[: STEMS[0]] in heads and any(w[:k] + "*" in terms for k in STEMS if k < len(w)))
+    n = sum(words.values())
+    dense = rooted / max(n, 1)
+    lexicons = ["0"] * LEXICONS
+    for w in strong:
+        lexicons[sum(w.encode()) % LEXICONS] = "+"
+    return "".join((
+        *lexicons,
+        "+" if len(strong) >= 2 else "0" if strong else "-",
+        "+" if dense > DENSE[0] else "0" if rooted else "-",
+        "+" if dense > DENSE[1] else "-" if dense <= DENSE[0] else "0",
+        "+" if dense > DENSE[2] else "-" if dense <= DENSE[1] else "0",
+        "+" if rooted >= 3 else "-" if rooted <= 1 else "0",
+        "+" if (strong or rooted) and len(text) > 40 and text.upper() == text else "0",
+    ))
+
+
+VOTERS = LEXICONS + 6
+
+
+def _heads(terms: dict[str, bool]) -> set[str]:
+    return {t[: STEMS[0]] for t in terms if t.endswith("*")}
+
+
+def _patterns(terms, label: str | None = None):
+    heads = _heads(terms)
+
     def run(batches):
         for batch in batches:
-            counts: dict[str, int] = {}
+            counts: Counter = Counter()
             for part in slices(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    p = "".join("-0+"[v + 1] for v in votes(text or "", terms))
-                    counts[p] = counts.get(p, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
+                marks = part.column(label).to_pylist() if label else [-1] * part.num_rows
+                counts.update((votes(text or "", terms, heads), mark) for text, mark in zip(part.column("text").to_pylist(), marks))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in counts], pa.string()), pa.array([m for _, m in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["pattern", "label", "n"])
 
     return run
 
 
-def label_model(patterns: list[str], n: np.ndarray, prior: float, rounds: int = 40) -> np.ndarray:
-    """Posteriors of vote patterns with counts n: EM over class-conditional vote rates, each vote discounted by its correlations."""
+def label_model(patterns: list[str], n: np.ndarray, known: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Posteriors of vote patterns: EM over class-conditional vote rates, each vote discounted by its correlations.
+
+    n: texts of each pattern; known: rows of other and of toxic labelled texts, which anchor the classes."""
     cast = np.eye(3)[np.array([["-0+".index(c) for c in p] for p in patterns])]
     values = cast @ np.array([-1.0, 0.0, 1.0])
-    post = 1 / (1 + np.exp(-(values.sum(axis=1) * 2 + math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))))
-    worth = np.ones(values.shape[1])
+    prior = (known[1].sum() + 0.5) / (known.sum() + 1)
+    post = (known[1] + prior) / (known.sum(axis=0) + 1)
     for _ in range(rounds):
-        yes = (np.einsum("p,plv->lv", n * post, cast) + 0.1) / ((n * post).sum() + 0.3)
-        no = (np.einsum("p,plv->lv", n * (1 - post), cast) + 0.1) / ((n * (1 - post)).sum() + 0.3)
+        y, o = n * post + known[1], n * (1 - post) + known[0]
+        yes = (np.einsum("p,plv->lv", y, cast) + 0.1) / (y.sum() + 0.3)
+        no = (np.einsum("p,plv->lv", o, cast) + 0.1) / (o.sum() + 0.3)
         rest = values - post[:, None] * (yes @ [-1.0, 0.0, 1.0]) - (1 - post)[:, None] * (no @ [-1.0, 0.0, 1.0])
         cov = (rest * (n / n.sum())[:, None]).T @ rest
         sd = np.sqrt(np.diag(cov)) + 1e-9
         worth = 1 / (1 + (np.abs(cov / np.outer(sd, sd)) - np.eye(len(sd))).clip(0).sum(axis=1))
-        score = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) + np.einsum("plv,lv->p", cast, (np.log(yes) - np.log(no)) * worth[:, None])
+        score = math.log(prior / (1 - prior)) + np.einsum("plv,lv->p", cast, (np.log(yes) - np.log(no)) * worth[:, None])
+        score += np.log((known[1] + 1) / (known[1].sum() + len(n))) - np.log((known[0] + 1) / (known[0].sum() + len(n)))
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return post
 
@@ -115,13 +134,14 @@ def _features(pattern: str) -> list[float]:
     return [1.0, *(float(c == "+") for c in pattern), *(float(c == "-") for c in pattern)]
 
 
-def fit(counts: dict[str, int], prior: float) -> list[float]:
-    """Weights of the linear classifier fitted to the label model's posteriors."""
+def fit(counts: dict[str, list[int]]) -> list[float]:
+    """Weights of the linear classifier fitted to the label model's posteriors. counts: of each pattern the texts, and the labelled other and toxic ones."""
     names = sorted(counts)
     if not names:
         return [-4.0] + [0.0] * (2 * VOTERS)
-    n = np.array([counts[p] for p in names], np.float64)
-    post, x = label_model(names, n, prior), np.array([_features(p) for p in names])
+    n, known = np.array([counts[p][0] for p in names], np.float64), np.array([counts[p][1:] for p in names], np.float64).T
+    n = np.maximum(n, known.sum(axis=0))
+    post, x = label_model(names, n, known), np.array([_features(p) for p in names])
     weight = n / n.sum() * min(n.sum(), 10_000.0)
     w = np.zeros(x.shape[1])
     for _ in range(40):
@@ -135,24 +155,34 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
     """(terms, weights) from docs (the learning fold, votes of all of it) and labels (terms; SAMPLE rows or so)."""
     session(docs)
     marked = labels.where(F.col(label).isNotNull()).select(id_column, F.col(label).cast("int").alias("label")).dropDuplicates([id_column])
-    n, ones = marked.agg(F.count("*"), F.sum("label")).first()
+    n = marked.count()
     part = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(id_column)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
     texts = docs.select(id_column, F.col(text_column).alias("text"))
-    terms = lexicon(save(texts.join(marked.where(part), id_column).select("text", "label")))
-    counts = texts.select("text").mapInArrow(_patterns(terms), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return terms, fit({r["pattern"]: r["n"] for r in counts.collect()}, (ones or 0) / max(n, 1))
+    sample = save(texts.join(marked.where(part), id_column).select("text", "label"))
+    terms = lexicon(sample)
+    schema = "pattern string, label int, n long"
+    seen = texts.select("text").mapInArrow(_patterns(terms), schema).unionByName(sample.mapInArrow(_patterns(terms, "label"), schema))
+    counts: dict[str, list[int]] = {}
+    for r in seen.groupBy("pattern", "label").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["pattern"], [0, 0, 0])[r["label"] + 1] = r["n"]
+    return terms, fit(counts)
 
 
 def _scored(model):
     terms, weights = model
+    heads = _heads(terms)
 
     def run(batches):
+        known: dict[str, float] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
                 for text in part.column("text").to_pylist():
-                    z = sum(a * b for a, b in zip(weights, _features("".join("-0+"[v + 1] for v in votes(text or "", terms)))))
-                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                    p = votes(text or "", terms, heads)
+                    if p not in known:
+                        z = sum(a * b for a, b in zip(weights, _features(p)))
+                        known[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+                    out.append(known[p])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.float64())], ["id", "score"])
 
     return run
