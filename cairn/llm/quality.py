@@ -2,52 +2,75 @@
 
 Shallow trees are grown on statistics of labelled texts, every path from a root becomes a conjunctive rule,
 lasso logistic regression weighs the rules, and those with a weight are compiled into one Spark column
-expression. Scoring a corpus is then a projection: no join, shuffle or Python."""
+expression. Statistics are counted over whole texts by an Arrow function; scoring is then a projection,
+without a join or shuffle."""
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm._shared import save, table
+from cairn.llm._shared import save, session, slices, table, utf8, word_hashes, words
 
 #: At most so many labelled rows are fitted on, taken by a hash of the id.
 SAMPLE = 20_000
 TREES, DEPTH, LASSO, ACCEPT = 20, 3, 0.0005, 0.7
 
 
-def _left(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, "")).cast("double")
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; a null text is empty."""
-    text = F.coalesce(text, F.lit(""))
-    return {"text_": text, "n_chars_": F.length(text).cast("double"), "words_": F.split(F.trim(text), r"\s+")}
-
-
 STATISTICS = ("upper", "symbols", "digits", "repeats", "distinct", "word_length", "stops", "lines", "long_words", "log_words")
+_UPPER, _LETTER, _SYMBOL, _DIGIT, _STOP = (np.zeros(256, bool) for _ in range(5))
+_UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[192:] = True
+_SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
+_DIGIT[48:58] = _STOP[[33, 46, 63]] = True
+
+
+def statistics(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """STATISTICS of whole UTF-8 texts that lie one after another, each linear in the texts' bytes."""
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(mask) + 1, np.int64)
+        np.cumsum(mask, out=total[1:])
+        return (total[off[1:]] - total[off[:-1]]).astype(np.float64)
+
+    accented = np.zeros(len(raw), bool)
+    if len(raw) > 1:
+        accented[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)
+    starts, ends, first = words(raw, off)
+    hashes = word_hashes(raw, starts, ends)
+    of = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    n = np.maximum(np.diff(first), 1).astype(np.float64)
+    same = np.zeros(len(of), bool)
+    same[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
+    order = np.lexsort((hashes, of))
+    new = np.ones(len(of), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (of[1:] != of[:-1])
+    per = lambda mask: np.bincount(of[mask], minlength=len(off) - 1)
+    letters, size = np.maximum(count(_LETTER[raw]), 1), np.maximum(np.diff(off), 1)
+    return [
+        count(_UPPER[raw] | accented) / letters, count(_SYMBOL[raw]) / size, count(_DIGIT[raw]) / size, per(same) / n, per(new) / n,
+        letters / n, count(_STOP[raw]) / n, count(raw == 10) / n, per(ends - starts >= 20) / n, np.log1p(n),
+    ]
 
 
 def with_statistics(docs: DataFrame, text_column: str) -> DataFrame:
-    base = docs.withColumns(statistics(F.col(text_column)))
-    text, n = F.col("text_"), F.greatest(F.col("n_chars_"), F.lit(1.0))
-    base = base.withColumns({"n_words_": F.greatest(F.size("words_"), F.lit(1)).cast("double"), "n_letters_": F.greatest(_left(text, r"[^\p{L}]+"), F.lit(1.0))})
-    w = F.col("n_words_")
-    return base.withColumns({
-        "upper": _left(text, r"[^\p{Lu}]+") / F.col("n_letters_"),
-        "symbols": _left(text, r"[\p{L}\p{N}\s.,;:'’?()\"-]+") / n,
-        "digits": _left(text, r"[^0-9]+") / n,
-        "repeats": (F.col("n_chars_") - _left(text, r"(?<=^|\s)(\S+\s)(?=\1)")) / n,
-        "distinct": F.size(F.array_distinct("words_")) / w,
-        "word_length": F.col("n_letters_") / w,
-        "stops": (n - _left(text, r"[.!?]+")) / w,
-        "lines": (n - _left(text, r"\n+")) / w,
-        "long_words": (n - _left(text, r"\p{L}{20,}")) / n,
-        "log_words": F.log1p(w),
-    }).drop("text_", "words_", "n_chars_", "n_letters_", "n_words_")
+    """(row_, *STATISTICS): the rows of docs as structs, with the statistics of their texts; a null text is empty."""
+    session(docs)
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column("row_")
+            texts = pa.RecordBatch.from_arrays([rows.field(text_column), pa.array(range(len(rows)))], ["text", "at"])
+            for part in slices(texts, "text"):
+                own = rows.slice(part.column("at")[0].as_py(), part.num_rows)
+                yield pa.RecordBatch.from_arrays([own, *map(pa.array, statistics(*utf8(part.column("text"))))], ["row_", *STATISTICS])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(x, T.DoubleType()) for x in STATISTICS)]))
 
 
 _TEST = re.compile(r"(If|Else) \(feature (\d+) (<=|>) ([-\d.eE+]+)\)")
@@ -58,7 +81,7 @@ def rules(debug: str) -> list[tuple[tuple[str, str, float], ...]]:
     found, path = {}, []
     for line in debug.splitlines():
         if m := _TEST.search(line):
-            depth = (len(line) - len(line.lstrip())) 
+            depth = len(line) - len(line.lstrip())
             path = [(d, t) for d, t in path if d < depth] + [(depth, (STATISTICS[int(m[2])], m[3], float(m[4])))]
             found[tuple(t for _, t in path)] = None
         elif "Tree " in line:
@@ -103,13 +126,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
     n = marked.count()
     part = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_column)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
     sample = docs.select(id_column, text_column).join(marked.where(part), id_column)
-    return fit(save(with_statistics(sample, text_column).select("label_", *STATISTICS)), "label_")
+    return fit(save(with_statistics(sample, text_column).select("row_.label_", *STATISTICS)), "label_")
 
 
-def scored(docs: DataFrame, model, text_column: str = "text") -> DataFrame:
-    """docs with `score_` added, from 0 to 1; the columns of docs stay, null and empty texts are scored as empty."""
-    own = docs.select(F.struct("*").alias("row_"), F.col(text_column).alias("in_"))
-    return with_statistics(own, "in_").select("row_.*", compiled(model).alias("score_"))
+def scored(docs: DataFrame, model, text_column: str = "text", name: str = "score_") -> DataFrame:
+    """docs with the score, from 0 to 1, added as `name` (a column of that name is replaced); other columns stay. Null texts are scored as empty."""
+    return with_statistics(docs.drop(name), text_column).select("row_.*", compiled(model).alias(name))
 
 
 def fold(id_column: str, parts: int) -> Column:
