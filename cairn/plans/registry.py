@@ -1,2 +1,327 @@
+"""Every query over the given tables, with its SQL. Doubles are rounded on both sides."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import stats
+from cairn.operators import gates, models, relational, sampling, vectors
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _cross(table: str, a: str, b: str) -> str:
+    return f"ct AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)"
+
+
+def _chi(table: str, a: str, b: str) -> str:
+    return f"""WITH {_cross(table, a, b)},
+m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS r, sum(n) OVER (PARTITION BY b) AS c FROM ct),
+x AS (SELECT CAST(sum(n) AS BIGINT) AS n, count(DISTINCT a) AS nr, count(DISTINCT b) AS nc,
+      sum(n) * (sum(CAST(n AS DOUBLE) * n / (CAST(r AS DOUBLE) * c)) - 1) AS chi2 FROM m)"""
+
+
+@query(_chi("documents", "source", "lang") + """
+SELECT n, nr AS "rows", nc AS cols, round(chi2, 6) AS chi2, (nr - 1) * (nc - 1) AS dof, round(sqrt(chi2 / (n * (least(nr, nc) - 1))), 6) AS v,
+CASE WHEN sqrt(chi2 / (n * (least(nr, nc) - 1))) >= 0.35 THEN 'STOP' WHEN sqrt(chi2 / (n * (least(nr, nc) - 1))) >= 0.2 THEN 'PROCEED_WITH_CAVEAT' ELSE 'PROCEED' END AS verdict FROM x""")
+def gate0_confounding(spark, d):
+    return gates.confounding(_t(spark, d, "documents"), "source", "lang").withColumn("chi2", _r("chi2")).withColumn("v", _r("v"))
+
+
+@query(_chi("orders", "o_orderstatus", "o_orderpriority") + ' SELECT n, nr AS "rows", nc AS cols, round(chi2, 6) AS chi2, (nr - 1) * (nc - 1) AS dof FROM x')
+def chi2_by_group(spark, d):
+    return stats.chi_square(stats.crosstab(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")).withColumn("chi2", _r("chi2"))
+
+
+@query("SELECT source AS a, lang AS b, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2")
+def crosstab_counts(spark, d):
+    return stats.crosstab(_t(spark, d, "documents"), "source", "lang")
+
+
+@query("WITH " + _cross("documents", "source", "lang") + """, grid AS (SELECT a, b FROM (SELECT DISTINCT a FROM ct), (SELECT DISTINCT b FROM ct))
+SELECT a, b, coalesce(n, 0) AS n, round(coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY a) AS DOUBLE), 6) AS fraction FROM grid LEFT JOIN ct USING (a, b)""")
+def crosstab_row_fractions(spark, d):
+    return relational.row_fractions(stats.crosstab(_t(spark, d, "documents"), "source", "lang")).withColumn("fraction", _r("fraction"))
+
+
+@query("WITH " + _cross("documents", "source", "lang") + " SELECT a AS source, CAST(sum(n) AS BIGINT) AS n, round(max(n) / CAST(sum(n) AS DOUBLE), 6) AS purity FROM ct GROUP BY 1")
+def group_purity(spark, d):
+    return stats.purity(_t(spark, d, "documents"), "source", "lang").withColumn("purity", _r("purity"))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND least(n_chars, 5000) >= 224 AND doc_id IN (SELECT doc_id FROM labels)")
+def cohort_filter(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "n_chars", "lang")
+    return relational.cohort(docs, _t(spark, d, "labels"), "doc_id", (F.col("lang") == "en") & (F.least("n_chars", F.lit(5000)) >= 224)).select("doc_id", "source", "n_chars")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (lang = 'en' AND n_chars >= 224) AS large, count(*) FILTER (lang = 'en' AND n_chars >= 224 AND source <> 'src0') AS kept FROM documents")
+def filter_funnel(spark, d):
+    return relational.funnel(_t(spark, d, "documents"), [("english", F.col("lang") == "en"), ("large", F.col("n_chars") >= 224), ("kept", F.col("source") != "src0")])
+
+
+@query("SELECT count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def missing_embeddings(spark, d):
+    have = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return relational.missing_keys(_t(spark, d, "documents").select("doc_id"), have, "doc_id").agg(F.count("*").alias("missing"))
+
+
+@query("WITH top AS (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 7) SELECT CASE WHEN source IN (SELECT source FROM top) THEN source ELSE 'Other' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def top_k_other(spark, d):
+    return relational.top_k_or_other(_t(spark, d, "documents"), "source", 7).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) < 60")
+def small_batches(spark, d):
+    return _t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).where("n < 60")
+
+
+@query("WITH s AS (SELECT CAST(c_nationkey AS VARCHAR) AS k, count(*) AS n FROM customer GROUP BY 1) SELECT CASE WHEN n < 60 THEN 'Other' ELSE k END AS batch, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1")
+def merge_small_batches(spark, d):
+    own = _t(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("k"))
+    return relational.merge_small(own, "k", 60).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@query("""WITH j AS (SELECT quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'quality' AS "column", round(avg(CASE WHEN quality IS NULL THEN 0 ELSE 1 END), 6) AS rate, count(*) FILTER (quality IS NULL) AS missing FROM j
+UNION ALL SELECT 'toxic', round(avg(CASE WHEN toxic IS NULL THEN 0 ELSE 1 END), 6), count(*) FILTER (toxic IS NULL) FROM j""")
+def fill_rate(spark, d):
+    own = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
+    return relational.fill_rates(own, ["quality", "toxic"]).withColumn("rate", _r("rate"))
+
+
+@query("SELECT size, count(*) AS n_groups FROM (SELECT count(*) AS size FROM conversations GROUP BY conv_id) GROUP BY 1")
+def images_per_lesion(spark, d):
+    return relational.group_sizes(_t(spark, d, "conversations"), "conv_id")
+
+
+@query("""WITH r AS (SELECT min(CAST(value AS DOUBLE)) AS lo, max(CAST(value AS DOUBLE)) AS hi FROM events)
+SELECT CAST(least(floor((CAST(value AS DOUBLE) - lo) / ((hi - lo) / 60)), 59) AS INTEGER) AS bin, count(*) AS n FROM events, r WHERE value IS NOT NULL GROUP BY 1""")
+def value_histogram(spark, d):
+    return relational.histogram(_t(spark, d, "events"), "value", 60)
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer)
+SELECT count(*) FILTER (b.k IS NULL) AS only_a, count(*) FILTER (a.k IS NULL) AS only_b, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS both FROM a FULL JOIN b ON a.k = b.k""")
+def overlap_venn(spark, d):
+    return relational.overlap(_t(spark, d, "orders").select("o_custkey"), _t(spark, d, "customer").select("c_custkey"))
+
+
+@query("""WITH f AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer), k AS (SELECT g, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY x) AS t FROM f),
+s AS (SELECT g, sum(rk) AS r, count(*) AS m FROM k GROUP BY 1), tie AS (SELECT sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM k), a AS (SELECT count(*) AS groups, CAST(sum(m) AS BIGINT) AS n, sum(r * r / m) AS s FROM s WHERE m >= 10)
+SELECT groups, n, round((12.0 / (CAST(n AS DOUBLE) * (n + 1)) * s - 3.0 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)), 4) AS h, groups - 1 AS dof, groups < 2 AS underpowered FROM a, tie""")
+def kruskal_by_group(spark, d):
+    return stats.kruskal(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("h", _r("h", 4))
+
+
+_ARI = """WITH ct AS (SELECT label AS a, list_position(embedding, list_max(embedding)) % 10 AS b, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2.0) AS s FROM ct), x AS (SELECT sum(m * (m - 1) / 2.0) AS sa FROM (SELECT sum(n) AS m FROM ct GROUP BY a)), y AS (SELECT sum(m * (m - 1) / 2.0) AS sb FROM (SELECT sum(n) AS m FROM ct GROUP BY b))
+SELECT CAST(n AS BIGINT) AS n, round((s - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2.0)), 6) AS ari FROM s, x, y"""
+
+
+@query(_ARI)
+def adjusted_rand(spark, d):
+    e = _t(spark, d, "embeddings").withColumn("top", F.array_position("embedding", F.array_max("embedding")) % 10)
+    return stats.adjusted_rand(e, "label", "top").withColumn("ari", _r("ari"))
+
+
+_V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform({_V}, lambda x: x * x))), 6) AS norm FROM embeddings")
+def vector_norms(spark, d):
+    return _t(spark, d, "embeddings").select("vec_id", _r(vectors.norm(vectors.double("embedding"))).alias("norm"))
+
+
+_CENTERS = f"c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest({_V}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2)"
+
+
+@query(f"WITH {_CENTERS} SELECT label, CAST(i - 1 AS INTEGER) AS i, round(m, 6) AS m FROM c")
+def cluster_centroids(spark, d):
+    return vectors.group_mean(_t(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("centroid").alias("i", "m")).withColumn("m", _r("m"))
+
+
+_COSINE = f"""WITH {_CENTERS}, v AS (SELECT vec_id, label, unnest({_V}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+j AS (SELECT vec_id, v.label AS label, sum(x * m) / ((sqrt(sum(x * x)) + 1e-8) * (sqrt(sum(m * m)) + 1e-8)) AS cosine FROM v JOIN c ON v.label = c.label AND v.i = c.i GROUP BY 1, 2)"""
+
+
+def _cosines(spark, d):
+    e = _t(spark, d, "embeddings")
+    c = vectors.group_mean(e, "label", "embedding").select("label", "centroid")
+    return e.join(F.broadcast(c), "label").select("vec_id", "label", vectors.dot(vectors.unit(vectors.double("embedding")), vectors.unit(F.col("centroid"))).alias("cosine"))
+
+
+@query(_COSINE + " SELECT vec_id, label, round(cosine, 6) AS cosine FROM j")
+def centroid_cosine(spark, d):
+    return _cosines(spark, d).withColumn("cosine", _r("cosine"))
+
+
+@query(_COSINE + " SELECT label, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM j) WHERE rank <= 3")
+def representatives(spark, d):
+    return gates.nearest_to_centroid(_cosines(spark, d).withColumn("cosine", _r("cosine", 9)), "label", "cosine", "vec_id", 3).select("label", "vec_id", "rank")
+
+
+_PAIRS = f"""p AS (SELECT vec_id, label, {_V} AS v FROM embeddings), q AS (SELECT a.vec_id AS id, a.label AS la, b.vec_id AS nb, b.label AS lb,
+round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id"""
+
+
+def _near(spark, d, k):
+    p = vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return p, vectors.nearest(p, p.where("id % 20 = 0"), k)
+
+
+@query(f"WITH {_PAIRS} WHERE a.vec_id % 20 = 0) SELECT id, nb AS neighbor, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS rank FROM q) WHERE rank <= 10")
+def knn_topk(spark, d):
+    return _near(spark, d, 10)[1].select("id", "neighbor", "rank", _r("distance").alias("distance"))
+
+
+@query(f"""WITH {_PAIRS} WHERE a.vec_id % 20 = 0), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS rank FROM q) WHERE rank <= 30),
+s AS (SELECT avg(CASE WHEN la = lb THEN 1.0 ELSE 0.0 END) AS same FROM k), e AS (SELECT sum(n * n) / (sum(n) * sum(n)) AS expected FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY label))
+SELECT round(same, 6) AS same, round(expected, 6) AS expected, round((1 - same) / (1 - expected), 6) AS mixing FROM s, e""")
+def mixing_score(spark, d):
+    p, near = _near(spark, d, 30)
+    return vectors.mixing(near.select("id", "neighbor"), p.select("id", "label")).select(*(_r(c).alias(c) for c in ("same", "expected", "mixing")))
+
+
+@query(f"""WITH {_PAIRS}), m AS (SELECT id, la, lb, avg(dist) AS m FROM q GROUP BY 1, 2, 3), s AS (SELECT id, la AS label, max(CASE WHEN la = lb THEN m END) AS a, min(CASE WHEN la <> lb THEN m END) AS b FROM m GROUP BY 1, 2)
+SELECT id, CAST(label AS VARCHAR) AS label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 5) AS s FROM s""")
+def silhouette_euclid(spark, d):
+    return vectors.silhouette(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding", "label")).withColumn("s", _r("s", 5))
+
+
+@query(f"""WITH {_CENTERS}, v AS (SELECT vec_id, label, unnest({_V}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT label, avg(dd) AS s FROM (SELECT vec_id, v.label AS label, sqrt(sum((x - m) * (x - m))) AS dd FROM v JOIN c ON v.label = c.label AND v.i = c.i GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT a.label AS l1, b.label AS l2, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS dist FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2)
+SELECT round(avg(worst), 6) AS db FROM (SELECT l1, max((x.s + y.s) / dist) AS worst FROM g JOIN s x ON x.label = l1 JOIN s y ON y.label = l2 GROUP BY 1)""")
+def davies_bouldin(spark, d):
+    return vectors.davies_bouldin(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding", "label")).withColumn("db", _r("db"))
+
+
+_CAPS = """p AS (SELECT source, max(n) / CAST(sum(n) AS DOUBLE) AS purity FROM (SELECT source, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT doc_id, d.source AS source, d.lang AS lang, purity, row_number() OVER (PARTITION BY d.source ORDER BY md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))), doc_id) AS nth FROM documents d JOIN p ON d.source = p.source)"""
+
+
+@query(f"WITH {_CAPS} SELECT doc_id, source FROM r WHERE nth <= CASE WHEN purity >= 0.95 THEN 10 WHEN purity >= 0.7 THEN 20 ELSE nth END")
+def balanced_subsample(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "lang")
+    own = docs.join(F.broadcast(stats.purity(docs, "source", "lang")), "source")
+    return sampling.capped(own, "source", "doc_id", sampling.tier_cap(F.col("purity"), 10, 20)).select("doc_id", "source")
+
+
+@query("""WITH g AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), k AS (SELECT conv_id, row_number() OVER (ORDER BY md5(concat_ws('|', '1000', CAST(conv_id AS VARCHAR))), conv_id) AS nth FROM g)
+SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM k WHERE nth <= round_even(0.8 * (SELECT count(*) FROM g), 0))""")
+def bootstrap_group_mask(spark, d):
+    return sampling.groups(_t(spark, d, "conversations"), "conv_id", 0.8, 1000).select("conv_id", "turn")
+
+
+_SWEEP = """SELECT l_linenumber AS ord, count(DISTINCT l_quantity) % 20 AS n_clusters, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS noise_frac, round(stddev_pop(CAST(l_discount AS DOUBLE)), 9) AS silhouette FROM lineitem GROUP BY 1"""
+
+
+@query(f"WITH s AS ({_SWEEP}) SELECT ord, n_clusters, round(noise_frac, 6) AS noise_frac, round(silhouette, 6) AS silhouette, NOT (n_clusters BETWEEN 2 AND 15 AND noise_frac < 0.3) AS fallback_used FROM s WHERE silhouette IS NOT NULL AND n_clusters >= 2 ORDER BY 5, s.silhouette DESC, ord LIMIT 1")
+def select_best_config(spark, d):
+    sweep = _t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("ord")).agg((F.countDistinct("l_quantity") % 20).alias("n_clusters"), F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("noise_frac"), F.round(F.stddev_pop(F.col("l_discount").cast("double")), 9).alias("silhouette"))
+    return gates.select_config(sweep, "ord").select("ord", "n_clusters", _r("noise_frac").alias("noise_frac"), _r("silhouette").alias("silhouette"), "fallback_used")
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, avg(value) >= 0.6 AS is_stable FROM events")
+def ari_summary(spark, d):
+    s = gates.summary(_t(spark, d, "events"), "value")
+    return s.select(*(_r(c).alias(c) for c in ("mean", "std", "min", "max")), "is_stable")
+
+
+@query("SELECT coalesce(CAST(NULLIF(user_id % 7, 0) AS VARCHAR), 'single-' || CAST(event_id AS VARCHAR)) AS lesion, count(*) AS n FROM events GROUP BY 1")
+def lesion_coalesce(spark, d):
+    key = F.coalesce(F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 7).cast("string"), F.concat(F.lit("single-"), F.col("event_id").cast("string")))
+    return _t(spark, d, "events").groupBy(key.alias("lesion")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CAST(lang = 'en' AS INTEGER) AS lang_en, CAST(lang = 'es' AS INTEGER) AS lang_es, CAST(lang = 'fr' AS INTEGER) AS lang_fr FROM documents")
+def one_hot_drop_first(spark, d):
+    return relational.one_hot(_t(spark, d, "documents").select("doc_id", "lang"), "lang", "lang_").drop("lang")
+
+
+@query("SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 5) AS z FROM customer")
+def standardize(spark, d):
+    return vectors.standardize(_t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal")), "c_acctbal").select("c_custkey", _r("z", 5).alias("z"))
+
+
+@query("SELECT lang, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS fraction FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def value_counts_normalised(spark, d):
+    return relational.value_counts(_t(spark, d, "documents"), "lang").withColumn("fraction", _r("fraction"))
+
+
+@query("SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def factorize(spark, d):
+    return relational.codes(_t(spark, d, "documents"), "source")
+
+
+@query("SELECT event_type, count(*) FILTER (user_id % 3 = 0) AS u0, count(*) FILTER (user_id % 3 = 1) AS u1 FROM events GROUP BY 1")
+def pivot_grid(spark, d):
+    n = _t(spark, d, "events").groupBy("event_type", F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("u")).agg(F.count("*").alias("n"))
+    return relational.pivot_grid(n, "event_type", "u", ["u0", "u1"], "n")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def left_join_labels(spark, d):
+    return _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("SELECT toxic, count(*) AS n, round(avg(n_chars), 6) AS chars FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY 1")
+def inner_join_labels(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "n_chars").join(_t(spark, d, "labels"), "doc_id").where("toxic IS NOT NULL").groupBy("toxic").agg(F.count("*").alias("n"), _r(F.avg("n_chars")).alias("chars"))
+
+
+@query("""WITH m AS (SELECT quantile_cont(CAST(quality AS DOUBLE), 0.5) AS mid FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, coalesce(CAST(quality AS DOUBLE), mid) AS quality FROM documents LEFT JOIN labels USING (doc_id), m""")
+def median_fill(spark, d):
+    own = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return relational.median_fill(own, "quality")
+
+
+@query()
+def remediation_exclusion(spark, d):
+    trace, _ = gates.iterative_exclusion(_t(spark, d, "documents"), "source", "lang", stop=0.01)
+    return spark.createDataFrame([(i, t["n"], round(t["v"], 6), t["candidates"], t["dropped"]) for i, t in enumerate(trace)], "step int, n long, v double, candidates int, dropped string")
+
+
+@query()
+def remediation_balanced(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "lang")
+    return gates.balanced_schemes(docs, "source", "lang", "doc_id").withColumn("v", _r("v"))
+
+
+@query()
+def pca_projection(spark, d):
+    return models.pca(_t(spark, d, "embeddings"), "embedding", 2).select("vec_id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+
+
+@query()
+def batch_probe(spark, d):
+    return models.batch_probe(_t(spark, d, "embeddings"), "embedding", "label", "vec_id")
+
+
+@query()
+def combat(spark, d):
+    return models.combat(_t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5), "vec_id", "embedding", "batch")
+
+
+@query()
+def density_clusters(spark, d):
+    return models.density_clusters(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding"), 4, 0.9, 5)
