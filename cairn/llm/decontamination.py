@@ -93,7 +93,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
 
     containment: the share of the item's distinct template runs found; consistency: the share of the
     placeholders' values on matched runs that follow each value's most frequent counterpart (1 without
-    placeholders). Items under WIDTH words are one run of all their words. Runs that are almost only
+    placeholders). A capitalised word within a sentence is a name. Items under WIDTH words are one run of all their words. Runs that are almost only
     placeholders don't count, nor do items with no other. Null and empty texts and items leak nowhere;
     repeated rows of an id are one document, of an item one item. Other columns are not read.
 
