@@ -207,6 +207,15 @@ def grouped(batches, keys: list[str]):
         yield last, pa.Table.from_batches(held)
 
 
+def dealt_join(df: DataFrame, facts: DataFrame, key: str, row: str, how: str = "inner") -> DataFrame:
+    """df joined with facts, which hold one row per key. The rows of a key are dealt over all shuffle
+    partitions by a hash of `row`, and a fact goes only where its key has rows, so no key meets in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("deal_", F.pmod(F.xxhash64(F.lit(7), row), F.lit(parts)))
+    held = dealt.select(key, "deal_").distinct().join(facts, key)
+    return dealt.join(held, [key, "deal_"], how).drop("deal_")
+
+
 def blocks(df: DataFrame, key: str, row: str, most: int) -> DataFrame:
     """df dealt into blocks for comparisons within `key`: adds block_i <= block_j.
 
@@ -214,7 +223,7 @@ def blocks(df: DataFrame, key: str, row: str, most: int) -> DataFrame:
     its chunk with another, so any two rows of a group meet in a block of 2 * most rows or so, and no
     group meets in one task. Rows whose group has no second row are left out."""
     sizes = df.groupBy(key).agg(F.count("*").alias("members")).where("members > 1")
-    chunks = df.join(sizes, key).withColumn("chunks", F.ceil(F.col("members") / most).cast("int"))
+    chunks = dealt_join(df, sizes, key, row).withColumn("chunks", F.ceil(F.col("members") / most).cast("int"))
     mine = F.pmod(F.xxhash64(F.lit(11), row), F.col("chunks")).cast("int")
     return (
         chunks.withColumn("chunk", mine)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import Forest, blocks, components, grouped, mix64, save, session, slices, table, utf8, window_hashes, word_hashes, words
+from cairn.llm._shared import Forest, blocks, components, dealt_join, grouped, mix64, save, session, slices, table, utf8, window_hashes, word_hashes, words
 
 BANDS, ROWS, WIDTH, COORDINATES = 20, 5, 5, 128
 #: Standard deviations of a 128-coordinate estimate that a true link may fall short by (5 in 3.5 million).
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = save(src.mapInArrow(_signed, "id long, n_shingles long, digest binary, low binary, bands array<long>"))
     some = signed.where("n_shingles > 0")
-    classes = save(some.groupBy("digest").agg(F.min(F.struct("id", "low", "bands")).alias("first")).select("first.*"))
+    classes = save(some.groupBy("digest").agg(F.min(F.struct("id", "low", "bands")).alias("first")).select("digest", "first.*"))
     cut = _cut(percent / 100)
     banded = classes.select("id", "low", F.explode("bands").alias("band"))
     shared = classes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     sets = texts.mapInArrow(_sets, "id long, shingles binary")
     links = _in_blocks(save(places.join(classes.select("id", "low"), "id").join(sets, "id")), "place", _confirmed("place", cut, percent))
     found = components(links).withColumnRenamed("node", "first_id").withColumnRenamed("component", "component_")
-    firsts = some.groupBy("digest").agg(F.min("id").alias("first_id")).join(found, "first_id", "left").select("digest", F.coalesce("component_", "first_id").alias("component_id"))
-    out = signed.select("id", "n_shingles", "digest").join(firsts, "digest", "left")
+    firsts = classes.select("digest", F.col("id").alias("first_id")).join(found, "first_id", "left").select("digest", F.coalesce("component_", "first_id").alias("component_id"))
+    out = dealt_join(signed.select("id", "n_shingles", "digest"), firsts, "digest", "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.col(id_column) == F.col("component_id"))
 
