@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import Forest, blocks, components, grouped, save, session, table
+from cairn.llm._shared import Forest, blocks, components, dealt_join, grouped, save, session, table
 
 #: Classes in a chunk of a block; chance to miss a pair that is just at the threshold; classes meant for a bucket.
 BLOCK, MISS, BUCKET = 512, 1e-4, 50
@@ -117,7 +117,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 7, id_
         .join(links, "first_id", "left").join(reach, "first_id", "left")
         .select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first_id").alias("component_id"))
     )
-    valid = read.select("id", "digest").join(firsts, "digest").drop("digest")
+    valid = dealt_join(read.select("id", "digest"), firsts, "digest", "id").drop("digest")
     out = src.select("id").join(valid, "id", "left")
     return out.select(
         F.col("id").cast(kind).alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").cast("long").alias("component_id")
