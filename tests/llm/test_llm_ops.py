@@ -138,3 +138,33 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, D).collect()
     ids = {r["doc_id"] for r in out}
     assert 0 < len(ids) == len(out) < docs.count() and all(r["taken"] <= 2 * r["size"] for r in out)
+
+
+@pytest.mark.parametrize("query, label, least", [(toxicity.op5_toxicity, "toxic", 0.9), (language_id.op7_language_id, "lang", 0.9)])
+def test_held_out_labels(spark, query, label, least):
+    d = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{d}/{'labels' if label == 'toxic' else 'documents'}.parquet").select("doc_id", label)
+    got = query(spark, d).where("held_out").join(known.where(f"{label} IS NOT NULL"), "doc_id")
+    assert got.where(f"{'predicted' if label == 'toxic' else 'lang_pred'} = {label}").count() >= least * got.count() > 0
+
+
+def test_base_spans_match_patterns():
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def good(kind, text):
+        digits = [int(c) for c in text if c.isdigit()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in text.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(digits[::-1])) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    rng = random.Random(5)
+    pieces = ["a", "b.c", "@", ".", "x.de", " ", "-", "+1", "(2)", "4111 1111 1111 1111", "10.0.0.1", "256", "7", "0", "é", "%"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 16)))
+        want = [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if good(k, m[0])]
+        assert pii.base_spans(text) == want, text
