@@ -28,17 +28,16 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
 
 def _read(batches):
     for batch in batches:
-        column = batch.column("vec")
-        ids, vecs, digests = [], [], []
-        for i, row in enumerate(column.to_pylist()):
-            if row and None not in row:
+        known = batch.column("id").is_valid().to_pylist()
+        vecs, digests = [None] * batch.num_rows, [None] * batch.num_rows
+        for i, row in enumerate(batch.column("vec").to_pylist()):
+            if known[i] and row and None not in row:
                 v = np.array(row, np.float64)
                 norm = math.sqrt(float(v @ v)) if np.isfinite(v).all() else 0.0
                 if norm > 0 and math.isfinite(norm):
-                    ids.append(i)
-                    vecs.append(v.tobytes())
-                    digests.append(hashlib.blake2b(vecs[-1], digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["id", "digest", "vec"])
+                    vecs[i] = v.tobytes()
+                    digests[i] = hashlib.blake2b(vecs[i], digest_size=16).digest()
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["id", "digest", "vec"])
 
 
 def _units(raw: list[bytes]) -> list[np.ndarray]:
@@ -99,13 +98,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 7, id_
     some table: a pair just at the threshold is missed with a chance of MISS, closer ones far less often.
     n_links counts other rows linked directly, component_id is the smallest id reachable, kept says that
     the row has that id. Vectors that are null, empty, zero, or hold null or non-finite components link
-    with nothing, nor do vectors of different lengths. Ids must be unique, not null, and integers; other
-    columns are not read."""
+    with nothing, nor do vectors of different lengths. Ids must be integers. A row without an id links with
+    nothing, has no component_id and is kept; rows that share an id are rows of their own with one
+    component each. Other columns are not read."""
     session(vectors)
     kind = vectors.schema[id_column].dataType
     src = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vec"))
     read = save(src.mapInArrow(_read, "id long, digest binary, vec binary"))
-    classes = save(read.groupBy("digest").agg(F.min(F.struct("id", "vec")).alias("first"), F.count("*").alias("weight")).select("first.*", "weight"))
+    usable = read.where("digest IS NOT NULL")
+    classes = save(usable.groupBy("digest").agg(F.min(F.struct("id", "vec")).alias("first"), F.count("*").alias("weight")).select("first.*", "weight"))
     bits, tables = plan(classes.count(), threshold)
     coded = save(classes.mapInArrow(_coded(bits, tables, seed), "id long, weight long, vec binary, codes binary, bucket long"))
     dealt = blocks(coded, "bucket", "id", BLOCK).repartition("bucket", "block_i", "block_j").sortWithinPartitions("bucket", "block_i", "block_j")
@@ -113,15 +114,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 7, id_
     reach = components(found, "id", "root").withColumnRenamed("node", "first_id")
     links = found.groupBy(F.col("id").alias("first_id")).agg(F.sum("n").alias("n"))
     firsts = (
-        read.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("weight"))
+        usable.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("weight"))
         .join(links, "first_id", "left").join(reach, "first_id", "left")
         .select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first_id").alias("component_id"))
     )
-    valid = dealt_join(read.select("id", "digest"), firsts, "digest", "id").drop("digest")
-    out = src.select("id").join(valid, "id", "left")
+    out = dealt_join(read.select("id", "digest"), firsts, "digest", "id", "left")
     return out.select(
         F.col("id").cast(kind).alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").cast("long").alias("component_id")
-    ).withColumn("kept", F.col(id_column) == F.col("component_id"))
+    ).withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,8 @@ def _signed(batches):
                 bytes_, key = m.astype(np.uint8), key.view(np.int64)
                 for row, i in enumerate(full):
                     low[i], bands[i] = bytes_[row].tobytes(), key[row]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            known = part.column("id").is_valid().to_pylist()
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if own else None for s, own in zip(sets, known)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["id", "n_shingles", "digest", "low", "bands"],
@@ -191,12 +192,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     when 100 * |intersection| >= percent * |union|, counted on full sets; component_id is the smallest
     id reachable and kept says that the row has that id. Null and empty texts have no shingle and are
     their own component. Repeated texts fall in one class before anything is compared. Ids must be
-    unique, not null, and integers; other columns are not read."""
+    integers. A row without an id links with nothing, has no component_id and is kept; rows that share an
+    id are one document, each with the component of its own text. Other columns are not read."""
     session(docs)
     kind = docs.schema[id_column].dataType
     src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = save(src.mapInArrow(_signed, "id long, n_shingles long, digest binary, low binary, bands array<long>"))
-    some = signed.where("n_shingles > 0")
+    some = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = save(some.groupBy("digest").agg(F.min(F.struct("id", "low", "bands")).alias("first")).select("digest", "first.*"))
     cut = _cut(percent / 100)
     banded = classes.select("id", "low", F.explode("bands").alias("band"))
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     firsts = classes.select("digest", F.col("id").alias("first_id")).join(found, "first_id", "left").select("digest", F.coalesce("component_", "first_id").alias("component_id"))
     out = dealt_join(signed.select("id", "n_shingles", "digest"), firsts, "digest", "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.col(id_column) == F.col("component_id"))
+    return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

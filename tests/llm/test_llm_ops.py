@@ -168,3 +168,26 @@ def test_base_spans_match_patterns():
         text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 16)))
         want = [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if good(k, m[0])]
         assert pii.base_spans(text) == want, text
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(None, text), (None, None), (1, text), (1, text), (2, text), (2, None)], "doc_id long, text string")
+    got = sorted(minhash_dedup.near_duplicates(docs).collect(), key=str)
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (2, 3, 1, False), (None, 0, None, True), (None, 3, None, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    vecs = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, None), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_vectors(vecs).select("vec_id", "n_links", "component_id", "kept").collect()
+    want = [(None, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 0, 2, True), (3, 0, 3, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_stages_keep_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{D}/documents.parquet").selectExpr("*", "'x' AS score_", "1 AS id", "'y' AS deal_", "0.0 AS upper", "doc_id AS part")
+    docs = docs.union(docs.limit(3).selectExpr("CAST(NULL AS BIGINT)", *docs.columns[1:])).union(docs.limit(3))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), D).count() == 0, name
