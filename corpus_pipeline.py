@@ -10,17 +10,18 @@ from cairn.llm._shared import save, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score >= 0.7). It learns from the labelled rows of its input."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("score_") >= quality.ACCEPT).drop("score_")
+    score = max((c.lower() for c in docs.columns), key=len) + "_score"  # longer than any other name
+    return quality.scored(docs, model, name=score).where(F.col(score) >= quality.ACCEPT).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
     gone = save(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks. Rows without an id can't be told apart and stay."""
     gone = save(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
