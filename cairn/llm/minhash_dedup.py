@@ -5,7 +5,7 @@ Coordinate k is the minimum over the shingles of pi(sigma(x) - k): pi shifted ci
 coordinates come from these two.
 
 1. Each text gives its shingle count, a 128-bit digest of its whole shingle set, the coordinates' low
-   bytes, and band hashes (20 bands of 5). Documents with one digest are one class (pre-aggregated).
+   bytes, and band hashes (20 bands of 5 at 85 percent, see banding). Documents with one digest are one class (pre-aggregated).
 2. Classes that share a band are compared by signature in bounded blocks; a block emits only a spanning
    forest of the pairs whose estimate could still reach the threshold, so groups never become all pairs.
 3. Components of those forests are the places where links can be; only their texts are read again, and
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from cairn.llm._shared import Forest, blocks, components, dealt_join, grouped, mix64, save, session, slices, table, utf8, window_hashes, word_hashes, words
 
-BANDS, ROWS, WIDTH, COORDINATES = 20, 5, 5, 128
+WIDTH, COORDINATES = 5, 128
+#: Most chance that a pair at the threshold shares no band.
+MISSED = 8.06e-6
 #: Standard deviations of a 128-coordinate estimate that a true link may fall short by (5 in 3.5 million).
 SIGMAS = 5.0
 #: Classes in a chunk of a block, and shingles that one numpy step takes.
@@ -69,7 +71,24 @@ def minima(flat: np.ndarray, at: np.ndarray, k: int = COORDINATES) -> np.ndarray
     return np.ascontiguousarray(out.T)
 
 
-def _signed(batches):
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows of a band) with which a pair at the threshold is missed with a chance of at most MISSED: the longest bands that the coordinates allow."""
+    for rows in range(COORDINATES, 0, -1):
+        same = (percent / 100) ** rows
+        bands = int(np.ceil(np.log(MISSED) / np.log1p(-same))) if same < 1 else 1
+        if bands * rows <= COORDINATES:
+            return bands, rows
+    raise ValueError(f"{COORDINATES} coordinates are too few for a threshold of {percent} percent")
+
+
+def _signatures(bands: int, rows: int):
+    def run(batches):
+        yield from _signed(batches, bands, rows)
+
+    return run
+
+
+def _signed(batches, n_bands: int, n_rows: int):
     for batch in batches:
         for part in slices(batch, "text"):
             sets = shingles(*utf8(part.column("text")))
@@ -79,9 +98,9 @@ def _signed(batches):
                 at = np.zeros(len(full) + 1, np.int64)
                 np.cumsum([len(sets[i]) for i in full], out=at[1:])
                 m = minima(np.concatenate([sets[i] for i in full]), at)
-                of = m[:, : BANDS * ROWS].astype(np.uint64).reshape(len(full), BANDS, ROWS)
-                key = np.full((len(full), BANDS), 0, np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                for r in range(ROWS):
+                of = m[:, : n_bands * n_rows].astype(np.uint64).reshape(len(full), n_bands, n_rows)
+                key = np.full((len(full), n_bands), 0, np.uint64) + np.arange(1, n_bands + 1, dtype=np.uint64)
+                for r in range(n_rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + of[:, :, r])
                 bytes_, key = m.astype(np.uint8), key.view(np.int64)
                 for row, i in enumerate(full):
@@ -197,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     session(docs)
     kind = docs.schema[id_column].dataType
     src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = save(src.mapInArrow(_signed, "id long, n_shingles long, digest binary, low binary, bands array<long>"))
+    signed = save(src.mapInArrow(_signatures(*banding(percent)), "id long, n_shingles long, digest binary, low binary, bands array<long>"))
     some = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = save(some.groupBy("digest").agg(F.min(F.struct("id", "low", "bands")).alias("first")).select("digest", "first.*"))
     cut = _cut(percent / 100)

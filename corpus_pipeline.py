@@ -15,8 +15,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows without an id stay."""
-    gone = save(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id"))
+    """One document of each group of near-duplicates (similarity 0.8 or more): the one with the smallest id. Rows without an id stay."""
+    gone = save(minhash_dedup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

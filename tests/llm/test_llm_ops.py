@@ -191,3 +191,20 @@ def test_stages_keep_columns(spark):
         out = stage(spark, docs, D)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
         assert stage(spark, docs.limit(0), D).count() == 0, name
+
+
+def test_pipeline_near_dedup_from_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(54)]
+    near = ["x" if i == 25 else w for i, w in enumerate(base)]  # 45 of 55 shingles: 0.818
+    far = ["y" if i in (20, 25) else w for i, w in enumerate(base)]  # 40 of 60: 0.667
+    docs = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, D).collect()) == [1, 3]
+    for percent in (80, 85):
+        assert rows(minhash_dedup.near_duplicates(df, percent), "doc_id", "n_shingles", "component_id", "kept") == brute_components(docs, percent)
+    assert minhash_dedup.banding(85) == (20, 5)
+    for percent in (50, 80, 85, 95, 100):
+        bands, size = minhash_dedup.banding(percent)
+        assert bands * size <= minhash_dedup.COORDINATES and (1 - (percent / 100) ** size) ** bands <= (1 - 0.85**5) ** 20 * 1.001
