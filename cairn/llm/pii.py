@@ -24,6 +24,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]")
+_AT = re.compile(r"@|\(at\)|\[at\]", re.I)
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -84,12 +85,12 @@ LABELERS = 6
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
     """(kind, start, end, votes) of the wider patterns' leftmost matches; a vote is 1, -1 or 0 (abstains)."""
-    if not _SOME.search(text) and "at" not in text:
+    if not _SOME.search(text) and not _AT.search(text):
         return []
     out = []
     strict = {k: {(s, e) for kind, s, e in base if kind == k} for k in KINDS}
     for kind in KINDS:
-        if kind == "email" and "@" not in text and "(at" not in text.lower() and "[at" not in text.lower():
+        if kind == "email" and not _AT.search(text):
             continue
         for m in _WIDER[kind].finditer(text):
             s, e = m.span()
@@ -210,7 +211,7 @@ def _redacted(model: dict[str, float], at: int):
             for part in slices(batch, name):
                 texts = part.column(at).to_pylist()
                 for i, text in enumerate(texts):
-                    if text and _SOME.search(text):
+                    if text:
                         out, end = [], 0
                         for kind, s, e in sorted(spans(text, model)[1], key=lambda x: (x[1], -x[2])):
                             if s >= end:

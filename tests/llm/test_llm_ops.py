@@ -208,3 +208,19 @@ def test_pipeline_near_dedup_from_80_percent(spark):
     for percent in (50, 80, 85, 95, 100):
         bands, size = minhash_dedup.banding(percent)
         assert bands * size <= minhash_dedup.COORDINATES and (1 - (percent / 100) ** size) ** bands <= (1 - 0.85**5) ** 20 * 1.001
+
+
+def test_pii_spans_and_redaction_agree():
+    import pyarrow as pa
+
+    texts = ["write to jane (at) example (dot) com", "WRITE TO JANE (AT) EXAMPLE (DOT) COM", "write to Jane [At] example [Dot] com.", "that is at home", "call 10.0.0.1 or a.b@c.de", "", None]
+    model = {pii._pattern(kind, votes): 1.0 for kind, _, _, votes in pii.candidates(texts[0], [])}
+    assert model
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    told = [s for b in pii._reported(model)([batch]) for s in b.column("spans").to_pylist()]
+    cleaned = [s for b in pii._redacted(model, 1)([batch]) for s in b.column("text").to_pylist()]
+    assert [len(s.split(",")) if s else 0 for s in told] == [1, 1, 1, 0, 2, 0, 0]
+    for text, found, clean in zip(texts, told, cleaned):
+        for kind, start, end in sorted((x.split(":") for x in found.split(",") if x), key=lambda x: -int(x[1])):
+            text = f"{text[: int(start)]}[{kind.upper()}]{text[int(end) :]}"
+        assert clean == text
