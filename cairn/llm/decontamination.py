@@ -3,7 +3,7 @@
 Numbers, units after numbers and names become typed placeholders. Runs of five template words are hashed;
 runs of documents pass a bitmap of fixed size made from the benchmark's, and those that pass meet the
 benchmark's by a hash join. An item leaks into a document when enough of its runs occur there and the
-values in the placeholders are consistent: each value of the item stands for one value of the document."""
+values in the placeholders are consistent, at one place or in the document as a whole."""
 
 import re
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import save, session, slices, table, utf8, window_hashes, word_hashes, words
+from cairn.llm._shared import grouped, save, session, slices, table, utf8, window_hashes, word_hashes, words
 
 #: Words in a run; share of an item's runs and of its placeholders' values that must agree; words of a run that are no placeholders.
 WIDTH, SHARE, CONSISTENT, PLAIN = 5, 0.8, 0.8, 2
@@ -55,7 +55,7 @@ def _runs(texts: list[str | None], width: int = WIDTH):
     return of, place, hashes, before - held[first[of]], held[here + width] - before, [v for _, v in made]
 
 
-_ROWS = "id {0}, place int, hash long, slots array<string>"
+_ROWS = "id {0}, own long, place int, hash long, slot int, slots array<string>"
 
 
 def _windows(bits: np.ndarray | None, widths: list[int], column: str):
@@ -71,11 +71,79 @@ def _windows(bits: np.ndarray | None, widths: list[int], column: str):
                         keep &= bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
                     rows = np.flatnonzero(keep)
                     slots = [values[of[r]][skip[r] : skip[r] + n[r]] for r in rows]
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(of[rows])), pa.array(place[rows], pa.int32()), pa.array(hashes[rows].view(np.int64)), pa.array(slots, pa.list_(pa.string()))], ["id", "place", "hash", "slots"])
+                    text = pa.array(of[rows])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(text), part.column("own").take(text), pa.array(place[rows], pa.int32()), pa.array(hashes[rows].view(np.int64)), pa.array(skip[rows], pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["id", "own", "place", "hash", "slot", "slots"])
 
     return run
 
 
+def _agreement(pairs) -> float:
+    """The share of (key, value) pairs that follow the most frequent value of their key; 1 without pairs."""
+    by: dict = {}
+    for key, value in pairs:
+        seen = by.setdefault(key, {})
+        seen[value] = seen.get(value, 0) + 1
+    n = sum(sum(seen.values()) for seen in by.values())
+    return sum(max(seen.values()) for seen in by.values()) / n if n else 1.0
+
+
+def occurrences(places: list[int], item_places: list[int], reach: int) -> list[list[int]]:
+    """Rows (a run's place in a text, its place in the item; in order of these) as occurrences of the item.
+
+    An occurrence runs forward in both. A row goes on with the occurrence whose last row it follows at the
+    nearest distance in the item as in the text, at most `reach` words after it in the text, or begins one."""
+    done: list[list[int]] = []
+    live: list[list[int]] = []
+    at = 0
+    while at < len(places):
+        to = at
+        while to < len(places) and places[to] == places[at]:
+            to += 1
+        here = places[at]
+        kept = []
+        for rows in live:
+            (kept if here - places[rows[-1]] <= reach else done).append(rows)
+        live = kept
+        fits = []
+        for row in range(at, to):
+            for k, rows in enumerate(live):
+                ahead = item_places[row] - item_places[rows[-1]]
+                if ahead > 0:
+                    fits.append((abs(here - places[rows[-1]] - ahead), -k, row))
+        placed, grown = set(), set()
+        for _, k, row in sorted(fits):
+            if row not in placed and k not in grown:
+                placed.add(row)
+                grown.add(k)
+                live[-k].append(row)
+        live += [[row] for row in range(at, to) if row not in placed]
+        at = to
+    return done + live
+
+
+def _judged(batches):
+    """Of each document and item: the best occurrence, or the document as a whole, that reaches SHARE and is consistent."""
+    for _, t in grouped(batches, ["pair"]):
+        own, place, item_place = (t.column(c).to_pylist() for c in ("own", "place", "item_place"))
+        hashes, slots, item_slots = (t.column(c).to_pylist() for c in ("hash", "slots", "item_slots"))
+        n_runs, item_slot = t.column("n_runs")[0].as_py(), t.column("item_slot").to_pylist()
+        reach = max(item_place) + 2 * WIDTH
+        best = None
+        kinds = [(range(t.num_rows), False)]
+        starts = [0, *(i for i in range(1, t.num_rows) if own[i] != own[i - 1]), t.num_rows]
+        for at, to in zip(starts, starts[1:]):
+            kinds += [([at + r for r in rows], True) for rows in occurrences(place[at:to], item_place[at:to], reach)]
+        for rows, by_slot in kinds:
+            found = len({hashes[r] for r in rows})
+            if found < n_runs * SHARE:
+                continue
+            agree = _agreement((item_slot[r] + j if by_slot else given, value) for r in rows for j, (given, value) in enumerate(zip(item_slots[r], slots[r])))
+            if agree >= CONSISTENT and (best is None or (found, agree) > best):
+                best = (found, agree)
+        if best:
+            yield pa.RecordBatch.from_arrays([t.column("id").slice(0, 1).combine_chunks(), t.column("item").slice(0, 1).combine_chunks(), pa.array([n_runs], pa.int64()), pa.array([best[0]], pa.int64()), pa.array([best[0] / n_runs]), pa.array([best[1]])], ["id", "item", "n_runs", "n_found", "containment", "consistency"])
+
+
 def _sizes(batches):
     for batch in batches:
         n = [len(template(x or "")[0].split()) for x in batch.column("text").to_pylist()]
@@ -91,24 +159,26 @@ def _bitmap(batches):
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_runs, n_found, containment, consistency): one row for each document and item that leaks into it.
 
-    containment: the share of the item's distinct template runs found; consistency: the share of the
-    placeholders' values on matched runs that follow each value's most frequent counterpart (1 without
-    placeholders). A capitalised word within a sentence is a name. Items under WIDTH words are one run of all their words. Runs that are almost only
+    An item leaks if an occurrence of it (its runs in their order, near each other), or the document as a
+    whole, holds SHARE of its distinct template runs (containment) with consistent values: in an
+    occurrence, the share of values that follow the most frequent counterpart of each slot of the item, in
+    the whole document, of each value of the item (1 without placeholders). The figures are of the one
+    with most runs. A capitalised word within a sentence is a name. Items under WIDTH words are one run of all their words. Runs that are almost only
     placeholders don't count, nor do items with no other. Null and empty texts and items leak nowhere;
     repeated rows of an id are one document, of an item one item. Other columns are not read.
 
     The bitmap is at most 2**BITS bits however large the benchmark; all else are joins."""
     spark = session(docs)
     kind, item_kind = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
-    items = benchmark.select(F.col(item_column).alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL").dropDuplicates()
+    items = benchmark.select(F.col(item_column).alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL").dropDuplicates().withColumn("own", F.xxhash64("text"))
     sized = save(items.mapInArrow(_sizes, f"id {item_kind}, n int").join(items, "id").where("n > 0"))
     short = sorted(r["n"] for r in sized.where(F.col("n") < WIDTH).select("n").distinct().collect())
-    parts = [sized.where(F.col("n") >= WIDTH).select("id", "text").mapInArrow(_windows(None, [WIDTH], "id"), _ROWS.format(item_kind))]
-    parts += [sized.where(F.col("n") == n).select("id", "text").mapInArrow(_windows(None, [n], "id"), _ROWS.format(item_kind)) for n in short]
+    parts = [sized.where(F.col("n") >= WIDTH).select("id", "own", "text").mapInArrow(_windows(None, [WIDTH], "id"), _ROWS.format(item_kind))]
+    parts += [sized.where(F.col("n") == n).select("id", "own", "text").mapInArrow(_windows(None, [n], "id"), _ROWS.format(item_kind)) for n in short]
     wanted = parts[0]
     for p in parts[1:]:
         wanted = wanted.unionByName(p)
-    wanted = save(wanted.select(F.col("id").alias("item"), F.col("hash"), F.col("slots").alias("item_slots")))
+    wanted = save(wanted.select(F.col("id").alias("item"), F.col("hash"), F.col("place").alias("item_place"), F.col("slot").alias("item_slot"), F.col("slots").alias("item_slots")))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for r in wanted.select("hash").mapInArrow(_bitmap, "slot long").distinct().toLocalIterator():
         bits[r["slot"] >> 3] |= 1 << (r["slot"] & 7)
@@ -118,15 +188,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     def run(batches):
         yield from _windows(shared.value, widths, "id")(batches)
 
-    found = save(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, _ROWS.format(kind)))
+    found = save(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("own", F.xxhash64("text")).mapInArrow(run, _ROWS.format(kind)))
     totals = wanted.groupBy("item").agg(F.countDistinct("hash").alias("n_runs"))
-    met = save(found.join(wanted, "hash"))
-    counts = met.groupBy("id", "item").agg(F.countDistinct("hash").alias("n_found")).join(totals, "item").where(F.col("n_found") >= F.col("n_runs") * SHARE)
-    pairs = met.where(F.size("slots") > 0).select("id", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).groupBy("id", "item", F.col("p.item_slots").alias("given"), F.col("p.slots").alias("value")).agg(F.count("*").alias("n"))
-    best = pairs.groupBy("id", "item", "given").agg(F.sum("n").alias("n"), F.max("n").alias("most")).groupBy("id", "item").agg((F.sum("most") / F.sum("n")).alias("agree"))
-    out = counts.alias("c").join(best.alias("b"), F.col("c.id").eqNullSafe(F.col("b.id")) & (F.col("c.item") == F.col("b.item")), "left")
-    out = out.select(F.col("c.id").alias(id_column), F.col("c.item").alias(item_column), "n_runs", "n_found", (F.col("n_found") / F.col("n_runs")).alias("containment"), F.coalesce("agree", F.lit(1.0)).alias("consistency"))
-    return out.where(F.col("consistency") >= CONSISTENT)
+    counts = found.select("id", "hash").distinct().join(wanted.select("item", "hash").distinct(), "hash").groupBy("id", "item").agg(F.count("*").alias("n_found")).join(totals, "item")
+    full = save(counts.where(F.col("n_found") >= F.col("n_runs") * SHARE).select(F.to_json(F.struct("id", "item")).alias("pair"), "n_runs"))
+    met = found.distinct().join(wanted, "hash").withColumn("pair", F.to_json(F.struct("id", "item"))).join(full, "pair")
+    judged = met.repartition("pair").sortWithinPartitions("pair", "own", "place", "item_place").mapInArrow(_judged, f"id {kind}, item {item_kind}, n_runs long, n_found long, containment double, consistency double")
+    return judged.withColumnsRenamed({"id": id_column, "item": item_column})
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

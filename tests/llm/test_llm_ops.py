@@ -224,3 +224,24 @@ def test_pii_spans_and_redaction_agree():
         for kind, start, end in sorted((x.split(":") for x in found.split(",") if x), key=lambda x: -int(x[1])):
             text = f"{text[: int(start)]}[{kind.upper()}]{text[int(end) :]}"
         assert clean == text
+
+
+def leaked(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(docs, 1)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, items).collect()}
+
+
+def test_decontamination_judges_each_occurrence(spark):
+    item = "A shop has 12 apples and sells 5 kg of pears to an old farmer for 30 dollars today"
+    other = "A shop has 7 apples and sells 9 kg of pears to an old farmer for 4 dollars today"
+    third = "A shop has 8 apples and sells 2 kg of pears to an old farmer for 6 dollars today"
+    two_slots = "a child has 3 apples and its friend has 3 pears so how many fruits are there"
+    docs = [
+        f"{item}. {other}.", f"{other}. {third}.", f"{other} and then we close {item} but {third}", "so a child has 4 apples and its friend has 5 pears so how many fruits are there",
+        "a shop has 8 apples but no farmer", "word " * 300 + item.replace("pears", "pears (ripe, green, and sweet)") + " word" * 300 + other,
+    ]
+    assert leaked(spark, [item, two_slots], docs) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)}
+    long = f"{item} while rain falls on all the roofs of our little town and nobody minds"
+    assert leaked(spark, [long], [long.replace("roofs", "red and very wet roofs") + " . " + long.replace("12", "7").replace("30", "8").replace(" 5 ", " 6 ")]) == {(1, 1)}
+    assert decontamination.occurrences([0, 1, 2, 7, 8, 9], [0, 1, 2, 0, 1, 2], 20) == [[0, 1, 2], [3, 4, 5]]
