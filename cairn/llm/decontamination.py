@@ -6,6 +6,7 @@ benchmark's by a hash join. An item leaks into a document when enough of its run
 values in the placeholders are consistent, at one place or in the document as a whole."""
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,60 +20,109 @@ WIDTH, SHARE, CONSISTENT, PLAIN = 5, 0.8, 0.8, 2
 #: Bits of the bitmap, as a power of two: 8 MB, whatever the benchmark's size.
 BITS = 26
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|l|ml|litres|liters|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|seconds|day|days|week|weeks|month|months|year|years|km/h|mph|dollars|cents|euros|pounds|eur|usd"
-_SLOT = re.compile(rf"(\d+(?:[.,:/]\d+)*)(?:\s?(%|\$|€|£|°|(?:{UNITS})\b))?|(?<=[a-zß-ÿ,] )([A-ZÀ-Þ][a-zß-ÿ]+)\b")
+_SLOT = re.compile(rf"(\d+(?:[.,:/]\d+)*)(?:\s?(%|\$|€|£|°|(?:{UNITS})\b))?|(?<=[a-zß-ÿ,] )([A-ZÀ-Þ][a-zß-ÿ]+)\b|\b([A-ZÀ-Þ][a-zß-ÿ]+)\b")
+_LOWER = re.compile(r"\b[a-zß-ÿ]+\b")
+#: Words that are no names where they begin a sentence, whatever the benchmark holds.
+_PLAIN_WORDS = frozenset(
+    "an and are as at but by can could did do does each every find for from given had has have he her his how if in into is it its let my of on one or our she should so some that the their them then there these they this those to was we were what when where which who whom whose why will with would you your "
+    "als aus bei das dem den der des die ein eine er es für im in ist mit sie und von wann warum was welche wenn wer wie wieviel wir wo zu "
+    "au aux avec ce ces cette comment dans de des du elle elles en est et il ils la le les on où par pour pourquoi quand que quel quelle qui si sur un une "
+    "al con cuando cuánto cuántos cómo del donde dónde el ella en es esta este la las lo los para por qué quién se si su un una y".split()
+)
 _MARKS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„–—…€£°"})
 
 
-def template(text: str) -> tuple[str, list[str]]:
-    """Lower-cased words of the text with placeholders 1 (number), 2 (unit) and 3 (name), and the values these hold in order."""
+def _slot_of(word: str) -> int:
+    return zlib.crc32(word.encode()) >> (32 - BITS)
+
+
+def template(text: str, common: bytes | None = None) -> tuple[str, list[str], list[str]]:
+    """Lower-cased words of the text with placeholders 1 (number), 2 (unit) and 3 (name), and the values these hold in order.
+
+    A capitalised word that begins a sentence is marked by \\x02 if it can be a name (no common word); the
+    second list of values holds these words, too."""
     values: list[str] = []
+    wide: list[str] = []
 
     def slot(m) -> str:
+        if m[4]:
+            word = m[4].lower()
+            if word in _PLAIN_WORDS or common is not None and common[(at := _slot_of(word)) >> 3] >> (at & 7) & 1:
+                return m[4]
+            wide.append(word)
+            return "\x02" + m[4]
         if m[3]:
             values.append(m[3].lower())
+            wide.append(values[-1])
             return " \x01n "
-        values.append(m[1])
-        if m[2]:
-            values.append(m[2].lower())
-            return " \x01d \x01u "
-        return " \x01d "
+        own = [m[1], m[2].lower()] if m[2] else [m[1]]
+        values.extend(own)
+        wide.extend(own)
+        return " \x01d \x01u " if m[2] else " \x01d "
+
+    return _SLOT.sub(slot, text.replace("\x01", " ").replace("\x02", " ")).translate(_MARKS).lower(), values, wide
+
+
+def _words_seen(batches):
+    """Of a partition's items: words in small letters, and names within a sentence, by their slot in the bitmap of common words."""
+    for batch in batches:
+        seen: dict[int, list[bool]] = {}
+        for text in batch.column("text").to_pylist():
+            for word in _LOWER.findall(text or ""):
+                seen.setdefault(_slot_of(word), [False, False])[0] = True
+            for m in _SLOT.finditer(text or ""):
+                if m[3]:
+                    seen.setdefault(_slot_of(m[3].lower()), [False, False])[1] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x for x, _ in seen.values()], pa.bool_()), pa.array([x for _, x in seen.values()], pa.bool_())], ["slot", "small", "name"])
 
-    return _SLOT.sub(slot, text.replace("\x01", " ")).translate(_MARKS).lower(), values
 
+_NAME = word_hashes(np.frombuffer(b"\x01n", np.uint8), np.array([0]), np.array([2]))[0]
 
-def _runs(texts: list[str | None], width: int = WIDTH):
-    """Of a list of texts: text number, place, hash and number of placeholders of each run of words, and first values of runs."""
-    made = [template(x or "") for x in texts]
-    raw, off = utf8(pa.array([t for t, _ in made], pa.string()))
+
+def _forms(texts: list[str | None], widths: list[int], common: bytes | None):
+    """For each width and each form of a list of texts (0: as template() gives them, 1: with marked words as names):
+    form, width, and of each run its text, place, hash, first value, number of placeholders and whether it holds a marked word; the values."""
+    made = [template(x or "", common) for x in texts]
+    raw, off = utf8(pa.array([t for t, _, _ in made], pa.string()))
     starts, ends, first = words(raw, off)
-    hashes, at = window_hashes(word_hashes(raw, starts, ends), first, width)
-    of = np.repeat(np.arange(len(texts)), np.diff(at))
-    place = np.arange(len(hashes)) - at[of]
-    held = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(raw[starts] == 1, out=held[1:])
-    here = first[of] + place
-    before = held[here]
-    return of, place, hashes, before - held[first[of]], held[here + width] - before, [v for _, v in made]
+    marked = raw[starts] == 2
+    plain = word_hashes(raw, starts + marked, ends)
+    slots = raw[starts] == 1
+    new = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(marked, out=new[1:])
+    for width in widths:
+        for form, hashed, placeholders in ((0, plain, slots), (1, np.where(marked, _NAME, plain), slots | marked)):
+            hashes, at = window_hashes(hashed, first, width)
+            of = np.repeat(np.arange(len(texts)), np.diff(at))
+            place = np.arange(len(hashes)) - at[of]
+            held = np.zeros(len(starts) + 1, np.int64)
+            np.cumsum(placeholders, out=held[1:])
+            here = first[of] + place
+            before = held[here]
+            yield form, width, of, place, hashes, before - held[first[of]], held[here + width] - before, new[here + width] > new[here], [m[1 + form] for m in made]
+
 
+_ROWS = "id {0}, own long, form int, place int, hash long, slot int, slots array<string>"
 
-_ROWS = "id {0}, own long, place int, hash long, slot int, slots array<string>"
 
+def _windows(bits: np.ndarray | None, common: bytes | None, widths: list[int]):
+    """Runs of texts; of an item, form 1 is whole if a word is marked in it, of a document, what it has beside form 0."""
 
-def _windows(bits: np.ndarray | None, widths: list[int], column: str):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                for width in widths:
-                    of, place, hashes, skip, n, values = _runs(texts, width)
+                for form, width, of, place, hashes, skip, n, marked, values in _forms(part.column("text").to_pylist(), widths, common):
                     keep = n <= width - min(PLAIN, width)
                     if bits is not None:
                         slot = hashes >> np.uint64(64 - BITS)
                         keep &= bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+                    if form:
+                        keep &= marked if bits is not None else np.isin(of, of[marked])
                     rows = np.flatnonzero(keep)
                     slots = [values[of[r]][skip[r] : skip[r] + n[r]] for r in rows]
                     text = pa.array(of[rows])
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(text), part.column("own").take(text), pa.array(place[rows], pa.int32()), pa.array(hashes[rows].view(np.int64)), pa.array(skip[rows], pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["id", "own", "place", "hash", "slot", "slots"])
+                    forms = pa.array(np.full(len(rows), form, np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(text), part.column("own").take(text), forms, pa.array(place[rows], pa.int32()), pa.array(hashes[rows].view(np.int64)), pa.array(skip[rows], pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["id", "own", "form", "place", "hash", "slot", "slots"])
 
     return run
 
@@ -163,22 +213,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     whole, holds SHARE of its distinct template runs (containment) with consistent values: in an
     occurrence, the share of values that follow the most frequent counterpart of each slot of the item, in
     the whole document, of each value of the item (1 without placeholders). The figures are of the one
-    with most runs. A capitalised word within a sentence is a name. Items under WIDTH words are one run of all their words. Runs that are almost only
+    with most runs. A capitalised word within a sentence is a name; one that begins a sentence is taken
+    both as a word and, unless it is a common word (of a list, or in small letters in the benchmark and
+    nowhere a name there), as a name. Items under WIDTH words are one run of all their words. Runs that are almost only
     placeholders don't count, nor do items with no other. Null and empty texts and items leak nowhere;
     repeated rows of an id are one document, of an item one item. Other columns are not read.
 
-    The bitmap is at most 2**BITS bits however large the benchmark; all else are joins."""
+    The bitmaps (runs, common words) are at most 2**BITS bits each however large the benchmark; all else are joins."""
     spark = session(docs)
     kind, item_kind = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     items = benchmark.select(F.col(item_column).alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL").dropDuplicates().withColumn("own", F.xxhash64("text"))
+    known = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in items.mapInArrow(_words_seen, "slot long, small boolean, name boolean").groupBy("slot").agg(F.max("small").alias("small"), F.max("name").alias("name")).where("small AND NOT name").select("slot").toLocalIterator():
+        known[r["slot"] >> 3] |= 1 << (r["slot"] & 7)
+    common = spark.sparkContext.broadcast(known.tobytes())
+
+    def item_runs(widths):
+        def run(batches):
+            yield from _windows(None, common.value, widths)(batches)
+
+        return run
+
     sized = save(items.mapInArrow(_sizes, f"id {item_kind}, n int").join(items, "id").where("n > 0"))
     short = sorted(r["n"] for r in sized.where(F.col("n") < WIDTH).select("n").distinct().collect())
-    parts = [sized.where(F.col("n") >= WIDTH).select("id", "own", "text").mapInArrow(_windows(None, [WIDTH], "id"), _ROWS.format(item_kind))]
-    parts += [sized.where(F.col("n") == n).select("id", "own", "text").mapInArrow(_windows(None, [n], "id"), _ROWS.format(item_kind)) for n in short]
-    wanted = parts[0]
-    for p in parts[1:]:
-        wanted = wanted.unionByName(p)
-    wanted = save(wanted.select(F.col("id").alias("item"), F.col("hash"), F.col("place").alias("item_place"), F.col("slot").alias("item_slot"), F.col("slots").alias("item_slots")))
+    wanted = sized.where(F.col("n") >= WIDTH).select("id", "own", "text").mapInArrow(item_runs([WIDTH]), _ROWS.format(item_kind))
+    for n in short:
+        wanted = wanted.unionByName(sized.where(F.col("n") == n).select("id", "own", "text").mapInArrow(item_runs([n]), _ROWS.format(item_kind)))
+    wanted = save(wanted.select(F.col("id").alias("item"), "form", F.col("hash"), F.col("place").alias("item_place"), F.col("slot").alias("item_slot"), F.col("slots").alias("item_slots")))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for r in wanted.select("hash").mapInArrow(_bitmap, "slot long").distinct().toLocalIterator():
         bits[r["slot"] >> 3] |= 1 << (r["slot"] & 7)
@@ -186,14 +247,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     widths = [WIDTH, *short]
 
     def run(batches):
-        yield from _windows(shared.value, widths, "id")(batches)
-
-    found = save(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("own", F.xxhash64("text")).mapInArrow(run, _ROWS.format(kind)))
-    totals = wanted.groupBy("item").agg(F.countDistinct("hash").alias("n_runs"))
-    counts = found.select("id", "hash").distinct().join(wanted.select("item", "hash").distinct(), "hash").groupBy("id", "item").agg(F.count("*").alias("n_found")).join(totals, "item")
-    full = save(counts.where(F.col("n_found") >= F.col("n_runs") * SHARE).select(F.to_json(F.struct("id", "item")).alias("pair"), "n_runs"))
-    met = found.distinct().join(wanted, "hash").withColumn("pair", F.to_json(F.struct("id", "item"))).join(full, "pair")
+        yield from _windows(shared.value, common.value, widths)(batches)
+
+    found = save(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("own", F.xxhash64("text")).mapInArrow(run, _ROWS.format(kind)).drop("form"))
+    totals = wanted.groupBy("item", "form").agg(F.countDistinct("hash").alias("n_runs"))
+    counts = found.select("id", "hash").distinct().join(wanted.select("item", "form", "hash").distinct(), "hash").groupBy("id", "item", "form").agg(F.count("*").alias("n_found")).join(totals, ["item", "form"])
+    pair = F.to_json(F.struct("id", "item", "form")).alias("pair")
+    full = save(counts.where(F.col("n_found") >= F.col("n_runs") * SHARE).select(pair, "n_runs"))
+    met = found.distinct().join(wanted, "hash").withColumn("pair", pair).join(full, "pair")
     judged = met.repartition("pair").sortWithinPartitions("pair", "own", "place", "item_place").mapInArrow(_judged, f"id {kind}, item {item_kind}, n_runs long, n_found long, containment double, consistency double")
+    rank = F.struct("containment", "n_found", "n_runs", "consistency")
+    judged = judged.groupBy("id", "item").agg(F.max(rank).alias("best")).select("id", "item", "best.n_runs", "best.n_found", "best.containment", "best.consistency")
     return judged.withColumnsRenamed({"id": id_column, "item": item_column})
 
 

@@ -245,3 +245,9 @@ def test_decontamination_judges_each_occurrence(spark):
     long = f"{item} while rain falls on all the roofs of our little town and nobody minds"
     assert leaked(spark, [long], [long.replace("roofs", "red and very wet roofs") + " . " + long.replace("12", "7").replace("30", "8").replace(" 5 ", " 6 ")]) == {(1, 1)}
     assert decontamination.occurrences([0, 1, 2, 7, 8, 9], [0, 1, 2, 0, 1, 2], 20) == [[0, 1, 2], [3, 4, 5]]
+
+
+def test_decontamination_names_that_begin_sentences(spark):
+    item = "Tom has 12 apples and 3 pears. Mary buys 5 of them and sells 2 to Jane. How many are left?"
+    docs = [item.replace("Tom", "Jim").replace("Mary", "Anna"), item.replace("Tom", "Jim").replace("Mary", "Anna").replace("Jane", "Lea").replace("12", "9"), item, "Tom has a dog. Mary sells it to Jane. How many are left?"]
+    assert leaked(spark, [item, "Who wrote Hamlet in the year 1600?"], [*docs, "Shakespeare wrote Macbeth in the year 1606?"]) == {(1, 1), (2, 1), (3, 1)}
