@@ -7,6 +7,7 @@ values in the placeholders are consistent, at one place or in the document as a
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,21 +103,41 @@ def _forms(texts: list[str | None], widths: list[int], common: bytes | None):
             yield form, width, of, place, hashes, before - held[first[of]], held[here + width] - before, new[here + width] > new[here], [m[1 + form] for m in made]
 
 
+def _literal_words(text: str) -> str:
+    return text.translate(_MARKS).lower()
+
+
+_LITERAL = np.uint64(0x5851F42D4C957F2D)
+
+
+def _literal(texts: list[str | None], widths: list[int]):
+    """As _forms, of the texts' words as they stand, in form 2; their hashes meet no other form's."""
+    raw, off = utf8(pa.array([_literal_words(x or "") for x in texts], pa.string()))
+    starts, ends, first = words(raw, off)
+    hashed = word_hashes(raw, starts, ends)
+    for width in widths:
+        hashes, at = window_hashes(hashed, first, width)
+        of = np.repeat(np.arange(len(texts)), np.diff(at))
+        none = np.zeros(len(hashes), np.int64)
+        yield 2, width, of, np.arange(len(hashes)) - at[of], hashes ^ _LITERAL, none, none, none == 1, [[]] * len(texts)
+
+
 _ROWS = "id {0}, own long, form int, place int, hash long, slot int, slots array<string>"
 
 
-def _windows(bits: np.ndarray | None, common: bytes | None, widths: list[int]):
+def _windows(bits: np.ndarray | None, common: bytes | None, widths: list[int], literal: list[int]):
     """Runs of texts; of an item, form 1 is whole if a word is marked in it, of a document, what it has beside form 0."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                for form, width, of, place, hashes, skip, n, marked, values in _forms(part.column("text").to_pylist(), widths, common):
+                texts = part.column("text").to_pylist()
+                for form, width, of, place, hashes, skip, n, marked, values in chain(_forms(texts, widths, common) if widths else (), _literal(texts, literal) if literal else ()):
                     keep = n <= width - min(PLAIN, width)
                     if bits is not None:
                         slot = hashes >> np.uint64(64 - BITS)
                         keep &= bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
-                    if form:
+                    if form == 1:
                         keep &= marked if bits is not None else np.isin(of, of[marked])
                     rows = np.flatnonzero(keep)
                     slots = [values[of[r]][skip[r] : skip[r] + n[r]] for r in rows]
@@ -194,10 +215,13 @@ def _judged(batches):
             yield pa.RecordBatch.from_arrays([t.column("id").slice(0, 1).combine_chunks(), t.column("item").slice(0, 1).combine_chunks(), pa.array([n_runs], pa.int64()), pa.array([best[0]], pa.int64()), pa.array([best[0] / n_runs]), pa.array([best[1]])], ["id", "item", "n_runs", "n_found", "containment", "consistency"])
 
 
-def _sizes(batches):
-    for batch in batches:
-        n = [len(template(x or "")[0].split()) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32())], ["id", "n"])
+def _sizes(counted):
+    def run(batches):
+        for batch in batches:
+            n = [len(counted(x or "").split()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("own"), batch.column("text"), pa.array(n, pa.int32())], ["id", "own", "text", "n"])
+
+    return run
 
 
 def _bitmap(batches):
@@ -216,7 +240,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     with most runs. A capitalised word within a sentence is a name; one that begins a sentence is taken
     both as a word and, unless it is a common word (of a list, or in small letters in the benchmark and
     nowhere a name there), as a name. Items under WIDTH words are one run of all their words. Runs that are almost only
-    placeholders don't count, nor do items with no other. Null and empty texts and items leak nowhere;
+    placeholders don't count; items with no other are held by their words as they stand, numbers and
+    names included, so that copies of them are found but not copies with other numbers. Null and empty texts and items leak nowhere;
     repeated rows of an id are one document, of an item one item. Other columns are not read.
 
     The bitmaps (runs, common words) are at most 2**BITS bits each however large the benchmark; all else are joins."""
@@ -228,18 +253,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
         known[r["slot"] >> 3] |= 1 << (r["slot"] & 7)
     common = spark.sparkContext.broadcast(known.tobytes())
 
-    def item_runs(widths):
-        def run(batches):
-            yield from _windows(None, common.value, widths)(batches)
-
-        return run
-
-    sized = save(items.mapInArrow(_sizes, f"id {item_kind}, n int").join(items, "id").where("n > 0"))
-    short = sorted(r["n"] for r in sized.where(F.col("n") < WIDTH).select("n").distinct().collect())
-    wanted = sized.where(F.col("n") >= WIDTH).select("id", "own", "text").mapInArrow(item_runs([WIDTH]), _ROWS.format(item_kind))
-    for n in short:
-        wanted = wanted.unionByName(sized.where(F.col("n") == n).select("id", "own", "text").mapInArrow(item_runs([n]), _ROWS.format(item_kind)))
-    wanted = save(wanted.select(F.col("id").alias("item"), "form", F.col("hash"), F.col("place").alias("item_place"), F.col("slot").alias("item_slot"), F.col("slots").alias("item_slots")))
+    def item_runs(sized, literal):
+        def made(n):
+            def run(batches):
+                yield from _windows(None, common.value, [] if literal else [n], [n] if literal else [])(batches)
+
+            return run
+
+        short = sorted(r["n"] for r in sized.where(F.col("n") < WIDTH).select("n").distinct().collect())
+        out = sized.where(F.col("n") >= WIDTH).select("id", "own", "text").mapInArrow(made(WIDTH), _ROWS.format(item_kind))
+        for n in short:
+            out = out.unionByName(sized.where(F.col("n") == n).select("id", "own", "text").mapInArrow(made(n), _ROWS.format(item_kind)))
+        return save(out.select(F.col("id").alias("item"), "form", F.col("hash"), F.col("place").alias("item_place"), F.col("slot").alias("item_slot"), F.col("slots").alias("item_slots"))), short
+
+    size = f"id {item_kind}, own long, text string, n int"
+    wanted, short = item_runs(save(items.mapInArrow(_sizes(lambda x: template(x)[0]), size).where("n > 0")), False)
+    bare = save(items.join(wanted.select(F.col("item").alias("id")).distinct(), "id", "left_anti").mapInArrow(_sizes(_literal_words), size).where("n > 0"))
+    literal: list[int] = []
+    if not bare.isEmpty():
+        exact, literal = item_runs(bare, True)
+        wanted, literal = wanted.unionByName(exact), [*literal, WIDTH]
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for r in wanted.select("hash").mapInArrow(_bitmap, "slot long").distinct().toLocalIterator():
         bits[r["slot"] >> 3] |= 1 << (r["slot"] & 7)
@@ -247,7 +280,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     widths = [WIDTH, *short]
 
     def run(batches):
-        yield from _windows(shared.value, common.value, widths)(batches)
+        yield from _windows(shared.value, common.value, widths, literal)(batches)
 
     found = save(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("own", F.xxhash64("text")).mapInArrow(run, _ROWS.format(kind)).drop("form"))
     totals = wanted.groupBy("item", "form").agg(F.countDistinct("hash").alias("n_runs"))

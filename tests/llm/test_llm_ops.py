@@ -251,3 +251,10 @@ def test_decontamination_names_that_begin_sentences(spark):
     item = "Tom has 12 apples and 3 pears. Mary buys 5 of them and sells 2 to Jane. How many are left?"
     docs = [item.replace("Tom", "Jim").replace("Mary", "Anna"), item.replace("Tom", "Jim").replace("Mary", "Anna").replace("Jane", "Lea").replace("12", "9"), item, "Tom has a dog. Mary sells it to Jane. How many are left?"]
     assert leaked(spark, [item, "Who wrote Hamlet in the year 1600?"], [*docs, "Shakespeare wrote Macbeth in the year 1606?"]) == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_decontamination_items_of_numbers(spark):
+    items = ["Compute 3 * 4 - 5", "Sort 4, 8, 15, 16, 23, 42 ascending", "A farmer named Tom sells pears to Mary every day"]
+    docs = ["Please: compute 3 * 4 - 5!", "We sort 4, 8, 15, 16, 23, 42 ascending. And more.", "Compute 3 * 4 - 6. Sort 4, 8, 15, 16, 23, 43 ascending", "a farmer named Jim sells pears to Anna every day"]
+    assert leaked(spark, items, docs) == {(1, 1), (2, 2), (4, 3)}
+    assert leaked(spark, items[:2], docs) == {(1, 1), (2, 2)}
