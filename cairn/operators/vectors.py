@@ -84,6 +84,34 @@ def nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def linked(df: DataFrame, eps: float) -> DataFrame:
+    """(id, neighbor): links whose components are those of all pairs at a distance of at most eps. Inputs from points().
+
+    Each pair is compared in one tile, and a tile emits a spanning forest of its close pairs only."""
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        if len(q) and len(p) and q["qb"].iloc[0] <= q["pb"].iloc[0]:
+            near = np.round(_distances(q, p), 12) <= eps
+            sides, ids = (near, near.T), (q["id"].to_numpy(), p["id"].to_numpy())
+            free = [np.ones(len(q), bool), np.ones(len(p), bool)]
+            for start in range(len(q)):
+                queue = [(0, start)] if free[0][start] else []
+                free[0][start] = False
+                while queue:
+                    side, i = queue.pop(0)
+                    for j in np.flatnonzero(sides[side][i] & free[1 - side]).tolist():
+                        free[1 - side][j] = False
+                        queue.append((1 - side, j))
+                        links.append((ids[side][i], ids[1 - side][j]))
+        a = np.array(links, np.int64).reshape(-1, 2)
+        a = a[a[:, 0] != a[:, 1]]
+        return pd.DataFrame({"id": a[:, 0], "neighbor": a[:, 1]})
+
+    own = df.select(*(F.col(c).alias(c) for c in df.columns))  # new names for Spark, as both sides come from one table
+    return _tiles(df, own, run, "id long, neighbor long")
+
+
 def silhouette(df: DataFrame) -> DataFrame:
     """(id, label, s) of labelled points, Euclidean; 0 for a singleton's; NULL labels are left out."""
     own = df.where("label IS NOT NULL")

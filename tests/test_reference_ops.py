@@ -2,6 +2,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,21 @@ def test_combat_aligns_batches(spark):
     means = [r["m"] for r in out.groupBy(F.col("id") % 2).agg(F.avg(F.col("vec")[0]).alias("m")).collect()]
     assert abs(means[0] - means[1]) < 0.5 and out.where("vec[1] <> 1.0").count() == 0
     assert vectors.mixing(spark.createDataFrame([(1, 2)], "id int, neighbor int"), spark.createDataFrame([(1, "a"), (2, "b")], "id int, label string")).first()["mixing"] == 2.0
+
+
+def test_density_clusters_of_copies_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    lines = [[x, 0.0] for x in (0.0, 0.1) for _ in range(6)] + [[x, 50.0] for x in (0.0, 0.8, 1.6) for _ in range(5)]
+    v = np.array(lines + (rng.random((60, 2)) * 12 + 100).round(2).tolist())
+    monkeypatch.setattr(vectors, "TILE", 16)
+    d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)), 12)
+    core = np.sort(d + np.diag([np.inf] * len(v)), axis=1)[:, 3] <= 0.9
+    label = np.where(core, np.arange(len(v)), -1)
+    for _ in v:
+        for i in np.flatnonzero(core):
+            label[i] = label[core & (d[i] <= 0.9)].min()
+    sizes = sorted((-(label == x).sum(), x) for x in set(label[core].tolist()) if (label == x).sum() >= 5)
+    number = {x: k for k, (_, x) in enumerate(sizes)}
+    pts = vectors.points(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, e array<double>"), "k", "e")
+    got = {r["id"]: r["cluster"] for r in models.density_clusters(pts, 4, 0.9, 5).collect()}
+    assert got == {i: number.get(int(x), -1) for i, x in enumerate(label)} and got[0] == got[11] != got[12] == got[26]
