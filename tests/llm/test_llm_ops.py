@@ -258,3 +258,14 @@ def test_decontamination_items_of_numbers(spark):
     docs = ["Please: compute 3 * 4 - 5!", "We sort 4, 8, 15, 16, 23, 42 ascending. And more.", "Compute 3 * 4 - 6. Sort 4, 8, 15, 16, 23, 43 ascending", "a farmer named Jim sells pears to Anna every day"]
     assert leaked(spark, items, docs) == {(1, 1), (2, 2), (4, 3)}
     assert leaked(spark, items[:2], docs) == {(1, 1), (2, 2)}
+
+
+def test_html_wrappers_are_no_frames():
+    inside = lambda page: [t for kind, t in html_extraction.lines(page) if kind == html_extraction.INSIDE]
+    for start, end in [("<div class='layout with-sidebar'>", "</div>"), ("<div id='page-header-fixed'>", "</div>"), ("<form>", "</form>"), ("<div class='search'>", "</div>"), ("<div class='site-nav'>", "</div>")]:
+        for tag in ("article", "main"):
+            page = f"<body>{start}<nav>m</nav><{tag}><div class='post-header'><h1>T</h1></div><p>a</p><div class='share-buttons'>s</div><div class='reader-comments'><article>c</article></div></{tag}><p>tail</p>{end}</body>"
+            assert inside(page) == ["T", "a"], page
+    assert inside("<article>a</article><section class='comments'><article>c</article></section><aside><article>d</article></aside>") == ["a"]
+    kinds = dict((t, kind) for kind, t in html_extraction.lines("<div class='layout with-sidebar'><p>a</p><div class='sidebar'>b</div><div class='main-nav'>c</div></div><div id='page-header-fixed'>d</div>"))
+    assert kinds == {"a": html_extraction.OPEN, "b": html_extraction.FRAME, "c": html_extraction.FRAME, "d": html_extraction.OPEN}
