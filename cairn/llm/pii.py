@@ -226,7 +226,9 @@ def _redacted(model: dict[str, float], at: int):
 
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; of overlapping spans the union is replaced once. Columns stay."""
+    """docs with every span replaced by its kind in brackets; of overlapping spans the union is replaced once.
+
+    All columns and rows stay, repeated rows and rows without an id too; null and empty texts stay as they are."""
     model = learn(docs, text_column)
     return docs.mapInArrow(_redacted(model, docs.columns.index(text_column)), docs.schema)
 

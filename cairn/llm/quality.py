@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._shared import save, session, slices, table, utf8, word_hashes, words
+from cairn.llm._shared import one_label, save, session, slices, table, utf8, word_hashes, words
 
 #: At most so many labelled rows are fitted on, taken by a hash of the id.
 SAMPLE = 20_000
@@ -121,8 +121,11 @@ def compiled(model) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: str = "doc_id", text_column: str = "text"):
-    """The rule model of labelled documents: at most SAMPLE rows or so, chosen by a hash of the id, texts whole."""
-    marked = labels.where(F.col(label).isNotNull()).select(id_column, F.col(label).alias("label_")).dropDuplicates([id_column])
+    """The rule model of labelled documents: at most SAMPLE rows or so, chosen by a hash of the id, texts whole.
+
+    Of conflicting labels of one id the least counts; rows without an id or label teach nothing, null texts
+    are empty, rows that share an id each count. Empty tables give a model without rules."""
+    marked = one_label(labels, label, id_column)
     n = marked.count()
     part = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_column)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
     sample = docs.select(id_column, text_column).join(marked.where(part), id_column)
