@@ -1,11 +1,11 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A text is cut at ASCII white space, where the tokenizer's own pre-tokenizer always cuts too and which
-no special token holds, so the counts of the pieces add up to the count of the text. Each piece is
-encoded once for each worker and its length remembered; a text of any length is a sum of lengths. Pieces
-are encoded in batches balanced by bytes."""
+Texts are encoded in batches balanced by bytes. A long text is cut at safe boundaries, where the tokenizer
+itself always cuts and no special token can lie across, so that the lengths of the parts add up to the
+length of the whole and a text of any length is encoded in bounded memory."""
 
-import unicodedata
+import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +13,37 @@ from pyspark.sql import functions as F
 
 from cairn.llm._shared import session, table
 
-#: Entries of the piece cache of a worker; a full cache is started anew, which costs time only.
-CACHE_PIECES = 1_000_000
-#: Bytes of pieces in one call of the tokenizer.
-BATCH_BYTES = 1 << 18
+#: Bytes of text in one call of the tokenizer, and from how many bytes a text is cut.
+BATCH_BYTES, PART_BYTES = 1 << 18, 1 << 14
 _loaded: dict = {}
 
+#: The normalizer and pre-tokenizer of word-level byte BPE, the only pipeline whose boundaries are known here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: That pipeline drops white space between ASCII characters, and takes each digit as a token of its own.
+_SAFE = re.compile(rb"(?<=[\x21-\x7e])[\x20\n\t\r](?=[\x21-\x7e])|(?<=[0-9])(?=[0-9])")
+#: Special strings that hold no white space and no two digits in a row can't lie across such a boundary.
+_ACROSS = re.compile(r"\s|[0-9][0-9]")
+
+
+def _cuts_are_safe(spec: dict) -> bool:
+    return spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _PRE_TOKENIZER and not any(_ACROSS.search(t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or ())
+
 
 def _tokenizer(path: str):
-    """Of a tokenizer's file: lengths of whole texts, the piece cache, and lengths of pieces (None: texts must stay whole)."""
+    """Of a tokenizer's file: the lengths of a list of texts, and whether texts may be cut."""
     if path not in _loaded:
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _loaded[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], {}, None)
+            _loaded[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False)
         else:
             import os
 
@@ -37,79 +53,55 @@ def _tokenizer(path: str):
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
-            lengths = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-            drops_white = "\\s+" in str(model.normalizer or "") and "ByteLevel" in str(model.pre_tokenizer)
-            _loaded[path] = (lengths, {}, _pieces(model, lengths) if drops_white else None)
+            with open(path, encoding="utf-8") as f:
+                safe = _cuts_are_safe(json.load(f))
+            _loaded[path] = (lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)], safe)
     return _loaded[path]
 
 
-#: Trailing marks that the pre-tokenizer always parts from letters before them (none that a contraction or special token holds).
-_TAIL = b"!\"#$%&()*+,-./:;=?@[]^_`{}~"
-
-
-def _pieces(model, lengths):
-    """Lengths of pieces without white space. A run of letters is one unit for the byte-level model and goes straight to it; all else is encoded in full."""
-    from tokenizers.pre_tokenizers import ByteLevel
-
-    split = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    tails: dict[bytes, int] = {}
-    one = model.model.tokenize
-
-    def run(pieces: list[bytes]) -> list[int]:
-        out, rest = [0] * len(pieces), []
-        for i, piece in enumerate(pieces):
-            word = piece.rstrip(_TAIL)
-            tail = piece[len(word) :]
-            text = word.decode()
-            if text.isascii():
-                text = text.lower() if text.isalpha() else ""
-            else:
-                text = unicodedata.normalize("NFC", text)
-                text = text.lower() if "\u03a3" not in text else ""
-                text = split(text)[0][0] if text.isalpha() else ""
-            if not text:
-                rest.append(i)
-                continue
-            if tail and tail not in tails:
-                if len(tails) > 100_000:
-                    tails.clear()
-                tails[tail] = lengths([tail.decode()])[0]
-            out[i] = len(one(text)) + (tails[tail] if tail else 0)
-        for i, n in zip(rest, _encode(lengths, [pieces[i] for i in rest])):
-            out[i] = n
-        return out
-
-    return run
-
-
-def _encode(lengths, texts: list[bytes]) -> list[int]:
-    out, batch, size = [], [], 0
-    for text in texts:
-        if batch and size + len(text) > BATCH_BYTES:
-            out += lengths(batch)
-            batch, size = [], 0
-        batch.append(text.decode())
-        size += len(text)
-    return out + (lengths(batch) if batch else [])
+def parts(text: bytes, most: int = PART_BYTES) -> list[bytes]:
+    """The text cut at the first safe boundary after each `most` bytes; longer parts have none."""
+    out, at = [], 0
+    while len(text) - at > most:
+        m = _SAFE.search(text, at + most)
+        if not m:
+            break
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+def _lengths(lengths, texts: list[bytes], cut: bool) -> list[int]:
+    """The length of each text, from calls of about BATCH_BYTES each."""
+    out = [0] * len(texts)
+    batch: list[str] = []
+    owners: list[int] = []
+    size = 0
+
+    def flush():
+        for i, n in zip(owners, lengths(batch) if batch else ()):
+            out[i] += n
+        batch.clear()
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        for part in parts(text) if cut else [text]:
+            if size + len(part) > BATCH_BYTES:
+                flush()
+                size = 0
+            batch.append(part.decode())
+            owners.append(i)
+            size += len(part)
+    flush()
+    return out
 
 
 def _counted(path: str, id_column: str):
     def run(batches):
-        lengths, cache, piece_lengths = _tokenizer(path)
+        lengths, cut = _tokenizer(path)
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            if piece_lengths:
-                n = []
-                for text in texts:
-                    pieces = text.split()
-                    new = [x for x in set(pieces) if x not in cache]
-                    if len(cache) + len(new) > CACHE_PIECES:
-                        cache.clear()
-                        new = list(set(pieces))
-                    cache.update(zip(new, piece_lengths(new)))
-                    n.append(sum(map(cache.__getitem__, pieces)))
-            else:
-                n = _encode(lengths, texts)
+            n = _lengths(lengths, texts, cut)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array([len(x) for x in texts], pa.int64()), pa.array(n, pa.int64())], [id_column, "n_bytes", "n_tokens"])
 
     return run
@@ -119,9 +111,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_column: str =
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     path: the tokenizer's file (.json or .model), at the same place on every worker. A null text is
-    empty: 0 bytes, 0 tokens. Repeated rows are counted each. Other columns of docs are not read. Only
-    a .json whose normalizer turns white space runs into one space is cut into pieces; other models
-    encode whole texts. No shuffle."""
+    empty: 0 bytes, 0 tokens. Rows without an id and repeated rows are counted each. Other columns of docs
+    are not read. Long texts are cut only for a .json with the very normalizer and pre-tokenizer above;
+    other tokenizers encode whole texts. No shuffle."""
     session(docs)
     kind = docs.schema[id_column].dataType.simpleString()
     src = docs.select(F.col(id_column), F.col(text_column).alias("text"))
