@@ -4,8 +4,6 @@ One-versus-one linear support vector machines over hashed byte trigrams first ch
 then the language within it. Each machine is trained in a task of its own on a bounded sample of whole
 texts; whole texts are scored in bulk, without a shuffle."""
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,14 +13,13 @@ from pyspark.sql import functions as F
 from cairn.llm._shared import save, session, slices, table, utf8
 from cairn.llm.quality import fold
 
-#: Texts of a language that its machines learn from, by a hash of the id; hashed features.
+#: Texts that each side of a machine learns from, shared by the side's languages, by a hash of the id; hashed features.
 SAMPLE, BINS = 1_500, 1 << 12
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi", "romance": "fr es it pt ro ca gl oc la", "slavic": "ru pl cs sk uk bg sr hr sl mk be bs",
     "uralic": "fi et hu", "turkic": "tr az kk uz ky tk", "baltic": "lt lv", "semitic": "ar he mt am", "indic": "hi bn ur mr gu pa ne si", "cjk": "zh ja ko",
 }
 _FAMILY = {x: family for family, names in FAMILIES.items() for x in names.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -64,22 +61,27 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> dict:
-    """Machines by name ("a|b": positive for b) for all pairs of families and of languages in one family."""
+    """Machines by name ("a|b": positive for b) for all pairs of families and of languages in one family.
+
+    A side of a machine learns from SAMPLE texts or so, whatever its number of languages, so that a task's
+    matrix is bounded. Rows without text or lang teach nothing; an empty table gives no machines."""
     src = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     langs = sorted(counts)
     groups: dict[str, list[str]] = {}
     for x in langs:
         groups.setdefault(family(x), []).append(x)
-    tasks = [(f"{a}|{b}", x, side) for a in sorted(groups) for b in sorted(groups) if a < b for side, g in ((0, a), (1, b)) for x in groups[g]]
-    tasks += [(f"{a}|{b}", x, side) for g in groups.values() for a in g for b in g if a < b for side, x in ((0, a), (1, b))]
+    part = lambda x, among: int(1_000_000 * min(1.0, SAMPLE / len(among) / counts[x]))
+    tasks = [(f"{a}|{b}", x, side, part(x, groups[g])) for a in sorted(groups) for b in sorted(groups) if a < b for side, g in ((0, a), (1, b)) for x in groups[g]]
+    tasks += [(f"{a}|{b}", x, side, part(x, [x])) for g in groups.values() for a in g for b in g if a < b for side, x in ((0, a), (1, b))]
     if not tasks:
         return {"groups": groups, "machines": {}}
     spark = docs.sparkSession
-    share = spark.createDataFrame([(x, int(1_000_000 * min(1.0, SAMPLE / counts[x]))) for x in langs], "lang string, share int")
+    deal = spark.createDataFrame(tasks, "name string, lang string, side int, share int")
     order = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000))
-    sample = src.withColumn("order", order).join(F.broadcast(share), "lang").where("order < share").select("lang", "order", "text")
-    dealt = save(sample).join(F.broadcast(spark.createDataFrame(tasks, "name string, lang string, side int")), "lang")
+    most = deal.groupBy("lang").agg(F.max("share").alias("most"))  # one row a language, as many as there are machines at most
+    sample = src.withColumn("order", order).join(F.broadcast(most), "lang").where("order < most").select("lang", "order", "text")
+    dealt = save(sample).join(F.broadcast(deal), "lang").where("order < share").drop("share")
     trained = dealt.groupBy("name").applyInPandas(_train, "name string, weights binary").collect()
     return {"groups": groups, "machines": {r["name"]: np.frombuffer(r["weights"], np.float32) for r in trained}}
 
@@ -119,7 +121,7 @@ def _predicted(model: dict):
                 inner = {f: _duel(groups[f], machines, margins) if len(groups[f]) > 1 else (np.zeros(len(texts), int), np.full(len(texts), np.inf)) for f in families}
                 langs, scores = [], []
                 for i, text in enumerate(texts):
-                    if not families or not text or not _LETTER.search(text):
+                    if not families or not text or not any(map(str.isalpha, text)):
                         langs.append("und")
                         scores.append(0.0)
                         continue
@@ -133,10 +135,10 @@ def _predicted(model: dict):
 
 
 def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, lang_pred, score), one row per row of docs.
+    """(id, lang_pred, score), one row per row of docs, repeated rows and rows without an id too.
 
-    lang_pred is a learned value, or und with score 0 if the text is null or has no letter (or nothing was
-    learned); score, from 0 to 1, rises with the weakest margin of the duels won. Other columns are not read."""
+    lang_pred is a learned value, or und with score 0 if the text is null or has no letter (Unicode category
+    L; or nothing was learned); ties go to the first name; score, from 0 to 1, rises with the weakest margin of the duels won. Other columns are not read."""
     session(docs)
     kind = docs.schema[id_column].dataType.simpleString()
     src = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
