@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import grouped, save, session, slices, table, utf8, window_hashes, word_hashes, words
+from cairn.llm._shared import dealt_join, grouped, save, session, slices, table, utf8, window_hashes, word_hashes, words
 
 #: Words in a run; share of an item's runs and of its placeholders' values that must agree; words of a run that are no placeholders.
 WIDTH, SHARE, CONSISTENT, PLAIN = 5, 0.8, 0.8, 2
+#: Share of values that must tell the item's apart: lower, as two slots may well get one value by chance.
+DISTINCT = 0.5
 #: Bits of the bitmap, as a power of two: 8 MB, whatever the benchmark's size.
 BITS = 26
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|l|ml|litres|liters|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|seconds|day|days|week|weeks|month|months|year|years|km/h|mph|dollars|cents|euros|pounds|eur|usd"
@@ -208,8 +210,10 @@ def _judged(batches):
             found = len({hashes[r] for r in rows})
             if found < n_runs * SHARE:
                 continue
-            agree = _agreement((item_slot[r] + j if by_slot else given, value) for r in rows for j, (given, value) in enumerate(zip(item_slots[r], slots[r])))
-            if agree >= CONSISTENT and (best is None or (found, agree) > best):
+            pairs = [(item_slot[r] + j, given, value) for r in rows for j, (given, value) in enumerate(zip(item_slots[r], slots[r]))]
+            agree = _agreement((slot if by_slot else given, value) for slot, given, value in pairs)
+            apart = _agreement((value, given) for _, given, value in (set(pairs) if by_slot else pairs))
+            if agree >= CONSISTENT and apart >= DISTINCT and (best is None or (found, agree) > best):
                 best = (found, agree)
         if best:
             yield pa.RecordBatch.from_arrays([t.column("id").slice(0, 1).combine_chunks(), t.column("item").slice(0, 1).combine_chunks(), pa.array([n_runs], pa.int64()), pa.array([best[0]], pa.int64()), pa.array([best[0] / n_runs]), pa.array([best[1]])], ["id", "item", "n_runs", "n_found", "containment", "consistency"])
@@ -224,10 +228,35 @@ def _sizes(counted):
     return run
 
 
-def _bitmap(batches):
-    """The set bits of a partition's hashes, each once."""
-    slots = [np.unique(b.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)) for b in batches]
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *slots])).astype(np.int64))], ["slot"])
+#: Bytes of a bitmap that travel as one row.
+CHUNK = 1 << 12
+
+
+def _chunks(batches):
+    """The slots of a partition as the chunks of a bitmap that have a bit set."""
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    for b in batches:
+        slot = b.column("slot").to_numpy()
+        np.bitwise_or.at(bits, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+    rows = bits.reshape(-1, CHUNK)
+    some = np.flatnonzero(rows.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["chunk", "bits"])
+
+
+def _ored(batches):
+    for (chunk,), t in grouped(batches, ["chunk"]):
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """The set of a column `slot` as 2**BITS bits: partitions make bitmaps, tasks unite them, and the driver gets 8 MB at most."""
+    schema = "chunk long, bits binary"
+    made = slots.mapInArrow(_chunks, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_ored, schema)
+    out = np.zeros((1 << (BITS - 3)) // CHUNK * CHUNK, np.uint8).reshape(-1, CHUNK)
+    for r in made.collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -236,7 +265,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     An item leaks if an occurrence of it (its runs in their order, near each other), or the document as a
     whole, holds SHARE of its distinct template runs (containment) with consistent values: in an
     occurrence, the share of values that follow the most frequent counterpart of each slot of the item, in
-    the whole document, of each value of the item (1 without placeholders). The figures are of the one
+    the whole document, of each value of the item (1 without placeholders), is CONSISTENT or more, and the
+    other way round, of each value of the document, DISTINCT or more, so that a text that fills all slots
+    with one value is none. Placeholders meet only their own kind. The figures are of the one
     with most runs. A capitalised word within a sentence is a name; one that begins a sentence is taken
     both as a word and, unless it is a common word (of a list, or in small letters in the benchmark and
     nowhere a name there), as a name. Items under WIDTH words are one run of all their words. Runs that are almost only
@@ -244,14 +275,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     names included, so that copies of them are found but not copies with other numbers. Null and empty texts and items leak nowhere;
     repeated rows of an id are one document, of an item one item. Other columns are not read.
 
-    The bitmaps (runs, common words) are at most 2**BITS bits each however large the benchmark; all else are joins."""
+    The bitmaps (runs, common words) are at most 2**BITS bits each however large the benchmark; all else are
+    joins, in which the rows of a run that many documents hold are dealt over all tasks."""
     spark = session(docs)
     kind, item_kind = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     items = benchmark.select(F.col(item_column).alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL").dropDuplicates().withColumn("own", F.xxhash64("text"))
-    known = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in items.mapInArrow(_words_seen, "slot long, small boolean, name boolean").groupBy("slot").agg(F.max("small").alias("small"), F.max("name").alias("name")).where("small AND NOT name").select("slot").toLocalIterator():
-        known[r["slot"] >> 3] |= 1 << (r["slot"] & 7)
-    common = spark.sparkContext.broadcast(known.tobytes())
+    seen = items.mapInArrow(_words_seen, "slot long, small boolean, name boolean").groupBy("slot").agg(F.max("small").alias("small"), F.max("name").alias("name"))
+    common = spark.sparkContext.broadcast(bitmap(seen.where("small AND NOT name").select("slot")).tobytes())
 
     def item_runs(sized, literal):
         def made(n):
@@ -273,10 +303,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     if not bare.isEmpty():
         exact, literal = item_runs(bare, True)
         wanted, literal = wanted.unionByName(exact), [*literal, WIDTH]
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in wanted.select("hash").mapInArrow(_bitmap, "slot long").distinct().toLocalIterator():
-        bits[r["slot"] >> 3] |= 1 << (r["slot"] & 7)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast(bitmap(wanted.select(F.shiftrightunsigned("hash", 64 - BITS).alias("slot"))))
     widths = [WIDTH, *short]
 
     def run(batches):
@@ -284,10 +311,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
 
     found = save(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("own", F.xxhash64("text")).mapInArrow(run, _ROWS.format(kind)).drop("form"))
     totals = wanted.groupBy("item", "form").agg(F.countDistinct("hash").alias("n_runs"))
-    counts = found.select("id", "hash").distinct().join(wanted.select("item", "form", "hash").distinct(), "hash").groupBy("id", "item", "form").agg(F.count("*").alias("n_found")).join(totals, ["item", "form"])
+    known = wanted.select("item", "form", "hash").distinct()
+    counts = dealt_join(found.select("id", "hash").distinct(), known, "hash", "id").groupBy("id", "item", "form").agg(F.count("*").alias("n_found")).join(totals, ["item", "form"])
     pair = F.to_json(F.struct("id", "item", "form")).alias("pair")
     full = save(counts.where(F.col("n_found") >= F.col("n_runs") * SHARE).select(pair, "n_runs"))
-    met = found.distinct().join(wanted, "hash").withColumn("pair", pair).join(full, "pair")
+    met = dealt_join(found.distinct(), wanted, "hash", "id").withColumn("pair", pair).join(full, "pair")
     judged = met.repartition("pair").sortWithinPartitions("pair", "own", "place", "item_place").mapInArrow(_judged, f"id {kind}, item {item_kind}, n_runs long, n_found long, containment double, consistency double")
     rank = F.struct("containment", "n_found", "n_runs", "consistency")
     judged = judged.groupBy("id", "item").agg(F.max(rank).alias("best")).select("id", "item", "best.n_runs", "best.n_found", "best.containment", "best.consistency")
