@@ -23,7 +23,8 @@ DISTINCT = 0.5
 #: Bits of the bitmap, as a power of two: 8 MB, whatever the benchmark's size.
 BITS = 26
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|l|ml|litres|liters|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|seconds|day|days|week|weeks|month|months|year|years|km/h|mph|dollars|cents|euros|pounds|eur|usd"
-_SLOT = re.compile(rf"(\d+(?:[.,:/]\d+)*)(?:\s?(%|\$|€|£|°|(?:{UNITS})\b))?|(?<=[a-zß-ÿ,] )([A-ZÀ-Þ][a-zß-ÿ]+)\b|\b([A-ZÀ-Þ][a-zß-ÿ]+)\b")
+#: A number with its unit (groups 1 and 2, what follows the first digit), a name within a sentence (3), another capitalised word (4). The first character is tried by itself, as searching for that is fast.
+_SLOT = re.compile(rf"[\dA-ZÀ-Þ](?:(?<=\d)(\d*(?:[.,:/]\d+)*)(?:\s?(%|\$|€|£|°|(?:{UNITS})\b))?|(?<=[A-ZÀ-Þ])(?:(?<=[a-zß-ÿ,] .)([a-zß-ÿ]+)\b|(?<=\b.)([a-zß-ÿ]+)\b))")
 _LOWER = re.compile(r"\b[a-zß-ÿ]+\b")
 #: Words that are no names where they begin a sentence, whatever the benchmark holds.
 _PLAIN_WORDS = frozenset(
@@ -49,16 +50,17 @@ def template(text: str, common: bytes | None = None) -> tuple[str, list[str], li
 
     def slot(m) -> str:
         if m[4]:
-            word = m[4].lower()
+            word = m[0].lower()
             if word in _PLAIN_WORDS or common is not None and common[(at := _slot_of(word)) >> 3] >> (at & 7) & 1:
-                return m[4]
+                return m[0]
             wide.append(word)
-            return "\x02" + m[4]
+            return "\x02" + m[0]
         if m[3]:
-            values.append(m[3].lower())
+            values.append(m[0].lower())
             wide.append(values[-1])
             return " \x01n "
-        own = [m[1], m[2].lower()] if m[2] else [m[1]]
+        number = m[0][0] + m[1]
+        own = [number, m[2].lower()] if m[2] else [number]
         values.extend(own)
         wide.extend(own)
         return " \x01d \x01u " if m[2] else " \x01d "
@@ -75,7 +77,7 @@ def _words_seen(batches):
                 seen.setdefault(_slot_of(word), [False, False])[0] = True
             for m in _SLOT.finditer(text or ""):
                 if m[3]:
-                    seen.setdefault(_slot_of(m[3].lower()), [False, False])[1] = True
+                    seen.setdefault(_slot_of(m[0].lower()), [False, False])[1] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x for x, _ in seen.values()], pa.bool_()), pa.array([x for _, x in seen.values()], pa.bool_())], ["slot", "small", "name"])
 
 
