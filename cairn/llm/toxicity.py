@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Terms and word stems that labelled toxic texts favour are dealt into lexicon voters; pattern voters look at
-how many distinct terms there are, how dense they are, and at shouting. A generative model estimates by
-expectation-maximisation each voter's rates in toxic and other texts from the vote patterns of all texts
-of the learning fold, and from the correlations that remain between voters how much of each vote is new.
-A linear classifier is fitted to its posterior labels."""
+The labelled texts are dealt into disjoint sources, and each source makes lexicons of its own: words, and
+stems, that its toxic texts favour. Lexicon voters (a word's and a stem's for each source) and pattern
+voters (how many words, how dense the stems are, shouting) vote on every text of the learning fold. A
+generative model estimates by expectation-maximisation, from the vote patterns alone, each voter's rates in
+toxic and other texts, and from the correlations that remain between voters how much of each vote is new.
+A linear classifier over the words and stems of texts is trained on its posterior labels; labels reach it
+through the lexicons only."""
 
 import math
 import re
@@ -12,112 +14,137 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import save, session, slices, table
+from cairn.llm._shared import one_label, save, session, slices, table
 from cairn.llm.quality import fold
 
-#: Labelled rows that terms are counted on, by a hash of the id; entries of the lexicon; lexicon voters.
-SAMPLE, LEXICON, LEXICONS, ACCEPT = 15_000, 4_000, 4, 0.7
+#: Labelled texts that lexicons are made from and texts with a posterior that the classifier is fitted on, by a hash of the id.
+SAMPLE, FITTED, ACCEPT = 15_000, 15_000, 0.7
+#: Disjoint parts of the labelled texts.
+SOURCES = 3
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Letters of a stem; a stem is written with a star.
 STEMS = range(3, 9)
 #: How many times as often a term must be used in toxic texts, in what share of them, and from what ratio of uses a word is sure.
 ODDS, SEEN, SURE = 20, 0.01, 50
-#: Shares of a text's words that begin with a lexicon stem, from which pattern voters vote.
-DENSE = (0.003, 0.01, 0.025)
+#: Shares of a text's words that begin with a lexicon stem, from which voters vote.
+DENSE = (0.012, 0.025)
+VOTERS = 2 * SOURCES + 5
 
 
 def _counted(batches):
-    """For each batch and label: of each word and stem its occurrences and its texts."""
+    """For each batch, of each source, word and stem: occurrences in toxic and in other texts, and toxic texts."""
     for batch in batches:
-        uses: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        texts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, mark in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+        counts: dict[tuple[int, str], list[int]] = {}
+        for text, mark, source in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "source"))):
             own = Counter(_WORDS.findall((text or "").lower()))
-            stems: Counter = Counter()
+            terms = Counter({"": sum(own.values())})
             for w, n in own.items():
+                terms[w] += n
                 for k in STEMS[: max(0, len(w) - STEMS[0])]:
-                    stems[w[:k] + "*"] += n
-            for c in (own, stems):
-                uses[mark].update(c)
-                texts[mark].update(c.keys())
-            uses[mark][""] += sum(own.values())
-            texts[mark][""] += 1
-        for mark in (0, 1):
-            terms = list(uses[mark])
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([mark] * len(terms), pa.int32()), pa.array([uses[mark][t] for t in terms], pa.int64()), pa.array([texts[mark][t] for t in terms], pa.int64())], ["term", "label", "uses", "texts"])
-
-
-def lexicon(labelled: DataFrame) -> dict[str, bool]:
-    """Words and stems that toxic texts use far more often, from rows (text, label), at most LEXICON; True for
-    words that other texts hardly use and that no stem explains."""
-    yes, no = (F.sum(F.when(F.col("label") == x, F.col("uses")).otherwise(0)) for x in (1, 0))
-    counts = save(labelled.mapInArrow(_counted, "term string, label int, uses long, texts long").groupBy("term").agg(yes.alias("yes"), no.alias("no"), F.sum(F.when(F.col("label") == 1, F.col("texts")).otherwise(0)).alias("texts")))
-    all_ = counts.where("term = ''").first()
-    if not all_ or not all_["yes"] or not all_["no"]:
-        return {}
-    odds = F.log((F.col("yes") + 0.1) / all_["yes"]) - F.log((F.col("no") + 0.5) / all_["no"])
-    enough = max(3, math.ceil(all_["texts"] * SEEN))
-    top = counts.where(f"term <> '' AND texts >= {enough}").withColumn("odds", odds).where(f"odds >= {math.log(ODDS)}").orderBy(F.desc(F.col("odds") * F.log1p("texts")), "term").limit(LEXICON)
-    sure = {r["term"]: r["no"] * SURE <= r["yes"] for r in top.select("term", "yes", "no").collect()}
-    blurred = {t for t, s in sure.items() if t.endswith("*") and not s}
-    return {t: s and not t.endswith("*") and not any(t[:k] + "*" in blurred for k in STEMS) for t, s in sure.items() if t.endswith("*") or s}
-
-
-def votes(text: str, terms: dict[str, bool], heads: set[str]) -> str:
-    """One vote a voter, as +, -, or 0 for an abstention. heads: the first letters of all stems."""
+                    terms[w[:k] + "*"] += n
+            for t, n in terms.items():
+                c = counts.setdefault((source, t), [0, 0, 0])
+                c[0 if mark else 1] += n
+                c[2] += mark
+        rows = [(s, t, *c) for (s, t), c in counts.items()]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["source", "term", "yes", "no", "texts"])
+
+
+def lexicons(marked: DataFrame) -> dict[int, set[str]]:
+    """Of rows (text, label, source): the terms of each source that its toxic texts use ODDS times as often or more.
+
+    All terms that pass are taken; they are as few as SEEN of the toxic texts of a bounded sample allow.
+    Words are only sure ones: that other texts hardly use and that no doubtful stem explains."""
+    counts = save(marked.mapInArrow(_counted, "source int, term string, yes long, no long, texts long").groupBy("source", "term").agg(*(F.sum(c).alias(c) for c in ("yes", "no", "texts"))))
+    out: dict[int, set[str]] = {}
+    for r in counts.where("term = ''").collect():
+        if not r["yes"] or not r["no"]:
+            continue
+        odds = F.log((F.col("yes") + 0.1) / r["yes"]) - F.log((F.col("no") + 0.5) / r["no"])
+        enough = max(3, math.ceil(r["texts"] * SEEN))
+        own = counts.where((F.col("source") == r["source"]) & (F.col("term") != "") & (F.col("texts") >= enough) & (odds >= math.log(ODDS)))
+        sure = {x["term"]: x["no"] * SURE <= x["yes"] for x in own.select("term", "yes", "no").collect()}
+        blurred = {t for t, s in sure.items() if t.endswith("*") and not s}
+        out[r["source"]] = {t for t, s in sure.items() if t.endswith("*") or s and not any(t[:k] + "*" in blurred for k in STEMS)}
+    return out
+
+
+def dictionary(terms: dict[int, set[str]]) -> tuple[dict[str, int], set[str]]:
+    """Of each term the sources that hold it, as bits, and the first letters of all stems."""
+    bits: dict[str, int] = {}
+    for source, own in terms.items():
+        for t in own:
+            bits[t] = bits.get(t, 0) | 1 << source
+    return bits, {t[: STEMS[0]] for t in bits if t.endswith("*")}
+
+
+def matches(text: str, bits: dict, heads: set[str]) -> tuple[int, dict[str, int]]:
+    """The number of words of a text, and how often each term of the dictionary occurs."""
     words = Counter(_WORDS.findall(text.lower()))
-    strong = [w for w in words if terms.get(w)]
-    rooted = sum(n for w, n in words.items() if w[: STEMS[0]] in heads and any(w[:k] + "*" in terms for k in STEMS if k < len(w)))
-    n = sum(words.values())
-    dense = rooted / max(n, 1)
-    lexicons = ["0"] * LEXICONS
-    for w in strong:
-        lexicons[sum(w.encode()) % LEXICONS] = "+"
+    found: dict[str, int] = {}
+    for w, n in words.items():
+        if w in bits:
+            found[w] = n
+        if w[: STEMS[0]] in heads:
+            for k in STEMS:
+                if k < len(w) and (t := w[:k] + "*") in bits:
+                    found[t] = found.get(t, 0) + n
+    return sum(words.values()), found
+
+
+def votes(text: str, bits: dict[str, int], heads: set[str]) -> str:
+    """One vote a voter, as +, -, or 0 for an abstention."""
+    n, found = matches(text, bits, heads)
+    words = [t for t in found if not t.endswith("*")]
+    most = lambda held: max((c for t, c in found.items() if t.endswith("*") and held(bits[t])), default=0) / max(n, 1)
+    by = {t for t in found if bits[t].bit_count() > SOURCES // 2}  # terms that most sources hold
+    out = []
+    for s in range(SOURCES):
+        share = most(lambda b: b >> s & 1)
+        out.append("+" if any(bits[t] >> s & 1 for t in words) else "0")
+        out.append("+" if share > DENSE[0] else "0" if words else "-")
+    agreed, densest = sum(t in by for t in words), most(lambda b: b.bit_count() > SOURCES // 2)
     return "".join((
-        *lexicons,
-        "+" if len(strong) >= 2 else "0" if strong else "-",
-        "+" if dense > DENSE[0] else "0" if rooted else "-",
-        "+" if dense > DENSE[1] else "-" if dense <= DENSE[0] else "0",
-        "+" if dense > DENSE[2] else "-" if dense <= DENSE[1] else "0",
-        "+" if rooted >= 3 else "-" if rooted <= 1 else "0",
-        "+" if (strong or rooted) and len(text) > 40 and text.upper() == text else "0",
+        *out,
+        "+" if agreed >= 2 else "0" if by else "-",
+        "+" if agreed and len(words) >= 3 else "0" if by else "-",
+        "+" if densest > DENSE[1] else "0" if agreed or densest > DENSE[0] else "-",
+        "+" if any(found[t] >= 3 for t in by) else "0" if by else "-",
+        "+" if agreed and len(text) > 40 and text.upper() == text else "0",
     ))
 
 
-VOTERS = LEXICONS + 6
-
-
-def _heads(terms: dict[str, bool]) -> set[str]:
-    return {t[: STEMS[0]] for t in terms if t.endswith("*")}
-
-
-def _patterns(terms, label: str | None = None):
-    heads = _heads(terms)
-
+def _voted(bits: dict, heads: set[str]):
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
             for part in slices(batch, "text"):
-                marks = part.column(label).to_pylist() if label else [-1] * part.num_rows
-                counts.update((votes(text or "", terms, heads), mark) for text, mark in zip(part.column("text").to_pylist(), marks))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in counts], pa.string()), pa.array([m for _, m in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["pattern", "label", "n"])
+                counts.update(votes(text or "", bits, heads) for text in part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
     return run
 
 
-def label_model(patterns: list[str], n: np.ndarray, known: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Posteriors of vote patterns: EM over class-conditional vote rates, each vote discounted by its correlations.
-
-    n: texts of each pattern; known: rows of other and of toxic labelled texts, which anchor the classes."""
-    cast = np.eye(3)[np.array([["-0+".index(c) for c in p] for p in patterns])]
+def label_model(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
+    """The posterior of each vote pattern, from the counts of patterns: EM over each voter's rates of votes in
+    both classes, from a start at the majority of votes; a vote is worth the less the more its voter
+    correlates with others within a class."""
+    if not counts:
+        return {}
+    names = sorted(counts)
+    n = np.array([counts[p] for p in names], np.float64)
+    cast = np.eye(3)[np.array([["-0+".index(c) for c in p] for p in names])]
     values = cast @ np.array([-1.0, 0.0, 1.0])
-    prior = (known[1].sum() + 0.5) / (known.sum() + 1)
-    post = (known[1] + prior) / (known.sum(axis=0) + 1)
+    post = 1 / (1 + np.exp(-2.0 * values.sum(axis=1)))
     for _ in range(rounds):
-        y, o = n * post + known[1], n * (1 - post) + known[0]
+        y, o = n * post, n * (1 - post)
+        prior = (y.sum() + 0.5) / (n.sum() + 1)
         yes = (np.einsum("p,plv->lv", y, cast) + 0.1) / (y.sum() + 0.3)
         no = (np.einsum("p,plv->lv", o, cast) + 0.1) / (o.sum() + 0.3)
         rest = values - post[:, None] * (yes @ [-1.0, 0.0, 1.0]) - (1 - post)[:, None] * (no @ [-1.0, 0.0, 1.0])
@@ -125,71 +152,98 @@ def label_model(patterns: list[str], n: np.ndarray, known: np.ndarray, rounds: i
         sd = np.sqrt(np.diag(cov)) + 1e-9
         worth = 1 / (1 + (np.abs(cov / np.outer(sd, sd)) - np.eye(len(sd))).clip(0).sum(axis=1))
         score = math.log(prior / (1 - prior)) + np.einsum("plv,lv->p", cast, (np.log(yes) - np.log(no)) * worth[:, None])
-        score += np.log((known[1] + 1) / (known[1].sum() + len(n))) - np.log((known[0] + 1) / (known[0].sum() + len(n)))
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return post
+    return dict(zip(names, post.tolist()))
 
 
-def _features(pattern: str) -> list[float]:
-    return [1.0, *(float(c == "+") for c in pattern), *(float(c == "-") for c in pattern)]
+def _posteriors(bits: dict, heads: set[str], post: dict[str, float]):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                p = [post.get(votes(t or "", bits, heads), 0.0) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("text"), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([0] * len(p), pa.int32())], ["text", "post", "label", "source"])
 
+    return run
 
-def fit(counts: dict[str, list[int]]) -> list[float]:
-    """Weights of the linear classifier fitted to the label model's posteriors. counts: of each pattern the texts, and the labelled other and toxic ones."""
-    names = sorted(counts)
-    if not names:
-        return [-4.0] + [0.0] * (2 * VOTERS)
-    n, known = np.array([counts[p][0] for p in names], np.float64), np.array([counts[p][1:] for p in names], np.float64).T
-    n = np.maximum(n, known.sum(axis=0))
-    post, x = label_model(names, n, known), np.array([_features(p) for p in names])
-    weight = n / n.sum() * min(n.sum(), 10_000.0)
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
-        w -= np.linalg.solve(hess, x.T @ (weight * (p - post)) + 0.05 * w)
-    return w.tolist()
-
-
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text"):
-    """(terms, weights) from docs (the learning fold, votes of all of it) and labels (terms; SAMPLE rows or so)."""
+
+def features(n: int, found: dict[str, int]) -> dict[str, float]:
+    """Of a text of n words: 1 for a word that occurs, a growing share of 1 for a stem by how dense it is; "" is how many different words occur."""
+    out = {t: min(1.0, 40.0 * c / n) if t.endswith("*") else 1.0 for t, c in found.items()}
+    out[""] = math.log1p(sum(not t.endswith("*") for t in found))
+    return out
+
+
+def _featured(index: dict[str, int], heads: set[str]):
+    def run(batches):
+        for batch in batches:
+            rows = [sorted((index.get(t, len(index)), v) for t, v in features(*matches(text or "", index, heads)).items()) for text in batch.column("text").to_pylist()]
+            at, values = [[i for i, _ in r] for r in rows], [[v for _, v in r] for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("post"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["post", "at", "values"])
+
+    return run
+
+
+def fit(rows: DataFrame, terms: set[str]) -> dict[str, float]:
+    """Weights of the linear classifier: logistic regression on rows (text, post), each a toxic one of weight post and another of the rest. "!" is the intercept."""
+    total = rows.agg(F.count("*").alias("n"), F.sum("post").alias("yes")).first()
+    if not terms or not total["n"] or not 1e-6 < total["yes"] < total["n"] - 1e-6:
+        return {"!": -4.0}
+    index = {t: i for i, t in enumerate(sorted(terms))}
+    _, heads = dictionary({0: terms})
+    size = len(index) + 1
+    made = rows.select("text", "post").mapInArrow(_featured(index, heads), "post double, at array<int>, values array<double>")
+    sparse = F.udf(lambda at, values: Vectors.sparse(size, at, values), VectorUDT())  # no built-in makes sparse vectors; FITTED rows or so
+    made = made.select("post", sparse("at", "values").alias("features"))
+    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("post").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("post")).alias("weight"))))
+    both = save(made.select("features", sides.alias("side")).select("features", "side.*").where("weight > 0.001"))
+    model = LogisticRegression(regParam=2e-4, elasticNetParam=0.0, standardization=False, maxIter=100, weightCol="weight").fit(both)
+    w = model.coefficients.toArray()
+    return {"!": float(model.intercept), "": float(w[-1])} | {t: float(w[i]) for t, i in index.items() if w[i]}
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text") -> dict[str, float]:
+    """Weights by term from docs (the learning fold; all of it is voted on) and labels.
+
+    Lexicons are made from SAMPLE labelled texts or so, the classifier from FITTED texts with a posterior
+    or so. Of conflicting labels of one id the least counts; rows without an id or label teach the lexicons
+    nothing, null texts are empty, rows that share an id each count. Without labels of both kinds, or with
+    empty tables, every text scores alike and low."""
     session(docs)
-    marked = labels.where(F.col(label).isNotNull()).select(id_column, F.col(label).cast("int").alias("label")).dropDuplicates([id_column])
+    marked = one_label(labels, label, id_column)
     n = marked.count()
-    part = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(id_column)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
+    nth = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(id_column)), F.lit(1_000_000))
     texts = docs.select(id_column, F.col(text_column).alias("text"))
-    sample = save(texts.join(marked.where(part), id_column).select("text", "label"))
-    terms = lexicon(sample)
-    schema = "pattern string, label int, n long"
-    seen = texts.select("text").mapInArrow(_patterns(terms), schema).unionByName(sample.mapInArrow(_patterns(terms, "label"), schema))
-    counts: dict[str, list[int]] = {}
-    for r in seen.groupBy("pattern", "label").agg(F.sum("n").alias("n")).collect():
-        counts.setdefault(r["pattern"], [0, 0, 0])[r["label"] + 1] = r["n"]
-    return terms, fit(counts)
+    sample = texts.join(marked.where(nth < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))), id_column)
+    source = F.pmod(F.xxhash64(F.lit("source"), F.col(id_column)), F.lit(SOURCES)).cast("int")
+    bits, heads = dictionary(lexicons(save(sample.select("text", F.col("label_").alias("label"), source.alias("source")))))
+    seen = save(texts.select("text").mapInArrow(_voted(bits, heads), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")))
+    counts = {r["pattern"]: r["n"] for r in seen.collect()}  # at most 3 ** VOTERS, whatever the corpus
+    post, total = label_model(counts), sum(counts.values())
+    part = F.pmod(F.xxhash64(F.lit("posterior"), F.col(id_column)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FITTED / max(total, 1)))
+    rows = save(texts.where(part).select("text").mapInArrow(_posteriors(bits, heads, post), "text string, post double, label int, source int"))
+    return fit(rows, lexicons(rows).get(0, set()) | set(bits))
 
 
-def _scored(model):
-    terms, weights = model
-    heads = _heads(terms)
+def _scored(weights: dict[str, float]):
+    _, heads = dictionary({0: {t for t in weights if t not in ("", "!")}})
+    bits = {t: 1 for t in weights if t not in ("", "!")}
 
     def run(batches):
-        known: dict[str, float] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
                 for text in part.column("text").to_pylist():
-                    p = votes(text or "", terms, heads)
-                    if p not in known:
-                        z = sum(a * b for a, b in zip(weights, _features(p)))
-                        known[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-                    out.append(known[p])
+                    x = features(*matches(text or "", bits, heads))
+                    z = weights["!"] + sum(v * weights.get(t, 0.0) for t, v in x.items())
+                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.float64())], ["id", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, score), one row per row of docs; null texts are empty. Other columns are not read, nothing is shuffled."""
+def score(docs: DataFrame, model: dict[str, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, score), one row per row of docs, repeated rows and rows without an id too; null texts are empty. Other columns are not read, nothing is shuffled."""
     session(docs)
     kind = docs.schema[id_column].dataType.simpleString()
     src = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
