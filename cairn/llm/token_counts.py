@@ -1,8 +1,9 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts are encoded in batches balanced by bytes. A long text is cut at safe boundaries, where the tokenizer
-itself always cuts and no special token can lie across, so that the lengths of the parts add up to the
-length of the whole and a text of any length is encoded in bounded memory."""
+Texts are cut at safe boundaries, where the tokenizer itself always cuts and no special token can lie
+across, so that the lengths of the pieces add up to the length of the whole and a text of any length is
+encoded in bounded memory. The distinct pieces of an Arrow batch are encoded in batches balanced by bytes,
+and their lengths are remembered for the next ones up to a bound in bytes."""
 
 import json
 import re
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm._shared import session, table
 
-#: Bytes of text in one call of the tokenizer, and from how many bytes a text is cut.
-BATCH_BYTES, PART_BYTES = 1 << 18, 1 << 14
+#: Bytes of text in one call of the tokenizer, from how many bytes a piece without white space is cut, and bytes of remembered pieces, after which a worker begins anew.
+BATCH_BYTES, PART_BYTES, CACHE_BYTES = 1 << 18, 1 << 14, 1 << 25
 _loaded: dict = {}
 
 #: The normalizer and pre-tokenizer of word-level byte BPE, the only pipeline whose boundaries are known here.
@@ -26,8 +27,8 @@ _PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: That pipeline drops white space between ASCII characters, and takes each digit as a token of its own.
-_SAFE = re.compile(rb"(?<=[\x21-\x7e])[\x20\n\t\r](?=[\x21-\x7e])|(?<=[0-9])(?=[0-9])")
+#: That pipeline drops white space, and takes each digit as a token of its own.
+_SAFE = re.compile(rb"(?<=[0-9])(?=[0-9])")
 #: Special strings that hold no white space and no two digits in a row can't lie across such a boundary.
 _ACROSS = re.compile(r"\s|[0-9][0-9]")
 
@@ -59,49 +60,71 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def parts(text: bytes, most: int = PART_BYTES) -> list[bytes]:
-    """The text cut at the first safe boundary after each `most` bytes; longer parts have none."""
-    out, at = [], 0
-    while len(text) - at > most:
-        m = _SAFE.search(text, at + most)
-        if not m:
-            break
-        out.append(text[at : m.start()])
-        at = m.start()
-    return [*out, text[at:]]
+def pieces(text: bytes) -> list[bytes]:
+    """The text without white space, cut there and, in longer runs, at the first safe boundary after each PART_BYTES."""
+    out = text.split()
+    if len(text) > PART_BYTES and max(map(len, out), default=0) > PART_BYTES:
+        cut, out = out, []
+        for piece in cut:
+            at = 0
+            while len(piece) - at > PART_BYTES and (m := _SAFE.search(piece, at + PART_BYTES)):
+                out.append(piece[at : m.start()])
+                at = m.start()
+            out.append(piece[at:])
+    return out
 
 
-def _lengths(lengths, texts: list[bytes], cut: bool) -> list[int]:
+def _encoded(lengths, texts: list[bytes]) -> list[int]:
     """The length of each text, from calls of about BATCH_BYTES each."""
-    out = [0] * len(texts)
-    batch: list[str] = []
-    owners: list[int] = []
+    out, batch, size = [], [], 0
+    for text in texts:
+        if batch and size + len(text) > BATCH_BYTES:
+            out += lengths(batch)
+            batch, size = [], 0
+        batch.append(text.decode())
+        size += len(text)
+    return out + (lengths(batch) if batch else [])
+
+
+class Memory(dict):
+    """Lengths by piece, and the bytes of the pieces."""
+
     size = 0
 
-    def flush():
-        for i, n in zip(owners, lengths(batch) if batch else ()):
-            out[i] += n
-        batch.clear()
-        owners.clear()
-
-    for i, text in enumerate(texts):
-        for part in parts(text) if cut else [text]:
-            if size + len(part) > BATCH_BYTES:
-                flush()
-                size = 0
-            batch.append(part.decode())
-            owners.append(i)
-            size += len(part)
-    flush()
+    def learn(self, lengths, found: list[bytes]) -> None:
+        self.size += sum(map(len, found))
+        self.update(zip(found, _encoded(lengths, found)))
+
+
+def text_lengths(lengths, texts: list[bytes], memory: Memory | None) -> list[int]:
+    """Tokens of each text; in pieces if there is a memory for them."""
+    if memory is None:
+        return _encoded(lengths, texts)
+    out, at = [], 0
+    while at < len(texts):  # so many texts at once that their pieces fit in memory
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= BATCH_BYTES * 4):
+            size += len(texts[to])
+            to += 1
+        cut = [pieces(t) for t in texts[at:to]]
+        every = set().union(*cut)
+        new = [x for x in every if x not in memory]
+        if new and memory.size + sum(map(len, new)) > CACHE_BYTES:
+            memory.clear()
+            memory.size, new = 0, list(every)
+        memory.learn(lengths, new)
+        out += [sum(map(memory.__getitem__, x)) for x in cut]
+        at = to
     return out
 
 
 def _counted(path: str, id_column: str):
     def run(batches):
         lengths, cut = _tokenizer(path)
+        memory = Memory() if cut else None
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            n = _lengths(lengths, texts, cut)
+            n = text_lengths(lengths, texts, memory)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array([len(x) for x in texts], pa.int64()), pa.array(n, pa.int64())], [id_column, "n_bytes", "n_tokens"])
 
     return run
@@ -112,7 +135,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_column: str =
 
     path: the tokenizer's file (.json or .model), at the same place on every worker. A null text is
     empty: 0 bytes, 0 tokens. Rows without an id and repeated rows are counted each. Other columns of docs
-    are not read. Long texts are cut only for a .json with the very normalizer and pre-tokenizer above;
+    are not read. Texts are cut only for a .json with the very normalizer and pre-tokenizer above;
     other tokenizers encode whole texts. No shuffle."""
     session(docs)
     kind = docs.schema[id_column].dataType.simpleString()
