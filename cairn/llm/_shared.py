@@ -80,7 +80,7 @@ def scratch(spark: SparkSession):
     try:
         yield lambda *tables: kept.update(_saved[t] for t in tables if t in _saved)
     finally:
-        _scopes.remove(mine)
+        _scopes.pop()
         for path in mine:
             if path not in kept:
                 _delete(spark, path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import save, session, slices, table, utf8
+from cairn.llm._shared import save, scratch, session, slices, table, utf8
 from cairn.llm.quality import fold
 
 #: Texts that each side of a machine learns from, shared by the side's languages, by a hash of the id; hashed features.
@@ -148,5 +148,7 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score; rows whose crc32(doc_id) mod 4 is 2 are never learned from."""
     docs, keep = table(spark, sf_dir, "documents"), fold("doc_id", 4) != 2
-    out = identify(docs, learn(docs.where(keep)))
+    with scratch(spark):
+        model = learn(docs.where(keep))
+    out = identify(docs, model)
     return out.select("doc_id", (~keep).alias("held_out"), "lang_pred", "score")

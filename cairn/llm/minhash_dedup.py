@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import Forest, blocks, components, dealt_join, grouped, mix64, save, session, slices, table, utf8, window_hashes, word_hashes, words
+from cairn.llm._shared import Forest, blocks, components, dealt_join, forget, grouped, mix64, save, session, slices, table, utf8, window_hashes, word_hashes, words
 
 WIDTH, COORDINATES = 5, 128
 #: Most chance that a pair at the threshold shares no band.
@@ -108,8 +108,8 @@ def _signed(batches, n_bands: int, n_rows: int):
             known = part.column("id").is_valid().to_pylist()
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if own else None for s, own in zip(sets, known)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "digest", "low", "bands"],
+                [part.column("id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["id", "text_key", "n_shingles", "digest", "low", "bands"],
             )
 
 
@@ -204,7 +204,7 @@ def _in_blocks(df: DataFrame, key: str, run) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per row of docs.
+    """(id, n_shingles, component_id, kept, text_key), one row per row of docs.
 
     Words are runs of other than space, tab, CR, LF, VT and FF, with A-Z lower-cased; a document's set is
     its distinct runs of five words, or its whole sequence as one with fewer words. Two documents link
@@ -212,27 +212,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     id reachable and kept says that the row has that id. Null and empty texts have no shingle and are
     their own component. Repeated texts fall in one class before anything is compared. Ids must be
     integers. A row without an id links with nothing, has no component_id and is kept; rows that share an
-    id are one document, each with the component of its own text. Other columns are not read."""
+    id are one document, each with the component of its own text; text_key, xxhash64 of the text, tells
+    them apart. Other columns are not read."""
     session(docs)
     kind = docs.schema[id_column].dataType
-    src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = save(src.mapInArrow(_signatures(*banding(percent)), "id long, n_shingles long, digest binary, low binary, bands array<long>"))
+    src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("text_key"))
+    signed = save(src.mapInArrow(_signatures(*banding(percent)), "id long, text_key long, n_shingles long, digest binary, low binary, bands array<long>"))
     some = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = save(some.groupBy("digest").agg(F.min(F.struct("id", "low", "bands")).alias("first")).select("digest", "first.*"))
     cut = _cut(percent / 100)
     banded = classes.select("id", "low", F.explode("bands").alias("band"))
     shared = classes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    likely = _in_blocks(save(banded.join(shared, "band", "left_semi")), "band", _likely("band", cut))
-    places = components(likely).withColumnRenamed("node", "id").withColumnRenamed("component", "place")
-    texts = src.join(places.select("id"), "id", "left_semi")
-    sets = texts.mapInArrow(_sets, "id long, shingles binary")
-    links = _in_blocks(save(places.join(classes.select("id", "low"), "id").join(sets, "id")), "place", _confirmed("place", cut, percent))
-    found = components(links).withColumnRenamed("node", "first_id").withColumnRenamed("component", "component_")
+    met = save(banded.join(shared, "band", "left_semi"))
+    joined = components(_in_blocks(met, "band", _likely("band", cut)))
+    forget(met)
+    places = joined.withColumnsRenamed({"node": "id", "component": "place"})
+    sets = src.join(places.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
+    met = save(places.join(classes.select("id", "low"), "id").join(sets, "id"))
+    found = components(_in_blocks(met, "place", _confirmed("place", cut, percent))).withColumnsRenamed({"node": "first_id", "component": "component_"})
+    forget(met, joined)
     firsts = classes.select("digest", F.col("id").alias("first_id")).join(found, "first_id", "left").select("digest", F.coalesce("component_", "first_id").alias("component_id"))
-    out = dealt_join(signed.select("id", "n_shingles", "digest"), firsts, "digest", "id", "left")
+    out = dealt_join(signed.select("id", "text_key", "n_shingles", "digest"), firsts, "digest", "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id")).withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id"), "text_key").select(id_column, "n_shingles", "component_id", F.col(id_column).eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm._shared import one_label, save, session, slices, table, utf8, word_hashes, words
+from cairn.llm._shared import one_label, save, scratch, session, slices, table, utf8, word_hashes, words
 
 #: At most so many labelled rows are fitted on, taken by a hash of the id.
 SAMPLE = 20_000
@@ -144,6 +144,7 @@ def fold(id_column: str, parts: int) -> Column:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose crc32(doc_id) mod 4 is 2 are never learned from."""
     docs = table(spark, sf_dir, "documents")
-    model = learn(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    with scratch(spark):
+        model = learn(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
     out = scored(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= ACCEPT).cast("int").alias("predicted"))

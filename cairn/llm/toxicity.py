@@ -19,7 +19,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import one_label, save, session, slices, table
+from cairn.llm._shared import one_label, save, scratch, session, slices, table
 from cairn.llm.quality import fold
 
 #: Labelled texts that lexicons are made from and texts with a posterior that the classifier is fitted on, by a hash of the id.
@@ -253,5 +253,7 @@ def score(docs: DataFrame, model: dict[str, float], id_column: str = "doc_id", t
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose crc32(doc_id) mod 3 is 1 are never learned from."""
     docs, keep = table(spark, sf_dir, "documents"), fold("doc_id", 3) != 1
-    out = score(docs, learn(docs.where(keep), table(spark, sf_dir, "labels").where(keep)))
+    with scratch(spark):
+        model = learn(docs.where(keep), table(spark, sf_dir, "labels").where(keep))
+    out = score(docs, model)
     return out.select("doc_id", (~keep).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
