@@ -203,8 +203,8 @@ def _in_blocks(df: DataFrame, key: str, run) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept, text_key), one row per row of docs.
+def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", text_key: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row per row of docs.
 
     Words are runs of other than space, tab, CR, LF, VT and FF, with A-Z lower-cased; a document's set is
     its distinct runs of five words, or its whole sequence as one with fewer words. Two documents link
@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     id reachable and kept says that the row has that id. Null and empty texts have no shingle and are
     their own component. Repeated texts fall in one class before anything is compared. Ids must be
     integers. A row without an id links with nothing, has no component_id and is kept; rows that share an
-    id are one document, each with the component of its own text; text_key, xxhash64 of the text, tells
-    them apart. Other columns are not read."""
+    id are one document, each with the component of its own text; with text_key a column of that name,
+    xxhash64 of the text, tells them apart. Other columns are not read."""
     session(docs)
     kind = docs.schema[id_column].dataType
     src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("text_key"))
@@ -234,8 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     firsts = classes.select("digest", F.col("id").alias("first_id")).join(found, "first_id", "left").select("digest", F.coalesce("component_", "first_id").alias("component_id"))
     out = dealt_join(signed.select("id", "text_key", "n_shingles", "digest"), firsts, "digest", "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id"), "text_key").select(id_column, "n_shingles", "component_id", F.col(id_column).eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+    kept = F.col("id").eqNullSafe(component).alias("kept")
+    return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id"), kept, *["text_key"] * text_key)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"))
