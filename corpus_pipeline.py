@@ -23,7 +23,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id stay, as do null and empty texts. Rows that share an id are judged each by its own
     text, so that one can go and another stay; repeated rows share their fate."""
     with scratch(spark) as keep:
-        gone = save(minhash_dedup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id", "text_key").distinct())
+        gone = save(minhash_dedup.near_duplicates(docs, percent=80, text_key=True).where("NOT kept").select("doc_id", "text_key").distinct())
         keep(gone)
     return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"]), "left_anti")
 
