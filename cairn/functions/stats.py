@@ -1,32 +1,37 @@
 """Association and rank statistics as aggregates of aggregates; no dense pivot, no driver loop over rows."""
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.tables import before
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Long contingency table (a, b, n); rows with a missing key are left out."""
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-
-
-def chi_square(table: DataFrame) -> DataFrame:
-    """One row (n, rows, cols, chi2, dof) of a long table; Yates' correction for 2 x 2 only."""
-    rows = table.groupBy("a").agg(F.sum("n").alias("r"))
-    cols = table.groupBy("b").agg(F.sum("n").alias("c"))
-    cells = table.join(rows, "a").join(cols, "b")
-    part = cells.agg(F.sum("n").alias("n"), F.countDistinct("a").alias("rows"), F.countDistinct("b").alias("cols"), F.sum(F.col("n").cast("double") * F.col("n") / (F.col("r").cast("double") * F.col("c"))).alias("s"))
-    # a 2 x 2 table, zero cells included, follows from its margins and one corner
-    low_r, low_c = rows.agg(F.min_by("a", "a").alias("ra"), F.min_by("r", "a").alias("r1"), F.max_by("r", "a").alias("r2")), cols.agg(F.min_by("b", "b").alias("cb"), F.min_by("c", "b").alias("c1"), F.max_by("c", "b").alias("c2"))
-    one = F.broadcast(low_r.withColumn("k", F.lit(1))).join(F.broadcast(low_c.withColumn("k", F.lit(1))), "k")
-    corner = table.join(F.broadcast(one), (F.col("a") == F.col("ra")) & (F.col("b") == F.col("cb"))).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n11"))
-    out = part.withColumn("k", F.lit(1)).join(F.broadcast(one), "k", "left").join(F.broadcast(corner.withColumn("k", F.lit(1))), "k", "left")
-    n, off = F.col("n").cast("double"), F.abs(F.col("n11") - F.col("r1").cast("double") * F.col("c1") / F.col("n"))
-    prod = F.col("r1").cast("double") * F.col("r2") * F.col("c1") * F.col("c2")
-    yates = F.pow(F.greatest(off - F.least(F.lit(0.5), off), F.lit(0.0)), 2) * F.pow(n, 3) / prod
+
+def crosstab(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Long contingency table (*by, a, b, n); rows with a missing key are left out."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+
+
+def chi_square(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (*by, n, rows, cols, chi2, dof) of each long table; Yates' correction for 2 x 2 only.
+
+    One pass over the cells: their margins are window sums, all else is one aggregate. In a 2 x 2 table every
+    cell is as far from its expectation as any other, so that one cell tells the correction."""
+    row, col = Window.partitionBy(*by, "a"), Window.partitionBy(*by, "b")
+    cells = table.withColumn("r", F.sum("n").over(row)).withColumn("new_r", F.min("b").over(row) == F.col("b"))
+    cells = cells.withColumn("c", F.sum("n").over(col)).withColumn("new_c", F.min("a").over(col) == F.col("a"))
+    part = cells.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.count(F.when(F.col("new_r"), 1)).alias("rows"), F.count(F.when(F.col("new_c"), 1)).alias("cols"),
+        F.sum(F.col("n").cast("double") * F.col("n") / (F.col("r").cast("double") * F.col("c"))).alias("s"),
+        F.max(F.struct("r", "c", F.col("n").alias("m"))).alias("cell"),
+    )
+    n, r, c = F.col("n").cast("double"), F.col("cell.r").cast("double"), F.col("cell.c").cast("double")
+    off = F.abs(F.col("cell.m") - r * c / n)
+    yates = F.pow(F.greatest(off - F.least(F.lit(0.5), off), F.lit(0.0)), 2) * F.pow(n, 3) / (r * (n - r) * c * (n - c))
     chi = F.when((F.col("rows") == 2) & (F.col("cols") == 2), yates).otherwise(n * (F.col("s") - 1))
-    return out.select("n", "rows", "cols", chi.alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("dof"))
+    return part.select(*by, "n", "rows", "cols", chi.alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("dof"))
 
 
 def cramers_v(stat: DataFrame) -> DataFrame:
@@ -48,20 +53,58 @@ def chi2_tail(x: float, k: int) -> float:
     return math.erfc(math.sqrt(x / 2)) + math.fsum(terms)
 
 
+def _erfc(z: Column) -> Column:
+    """The complementary error function of z >= 0: a series of positive terms under 2, a continued fraction from 2 on."""
+    square = z * z
+    step = lambda s, i: F.struct((s["term"] * 2 * square / (2 * i + 1)).alias("term"), (s["sum"] + s["term"] * 2 * square / (2 * i + 1)).alias("sum"))
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda s: s["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(100), F.lit(1), F.lit(-1)), F.lit(1.0), lambda t, i: 1 + i / (2 * square) / t)
+    return F.when(z < 2, 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * series).otherwise(F.exp(-square) / (z * math.sqrt(math.pi)) / fraction)
+
+
+def p_value(x: Column, dof: Column) -> Column:
+    """P(chi-square with dof degrees of freedom > x) as a column; 1 for x <= 0, NULL for dof < 1 or NULL x."""
+    x, k = x.cast("double"), dof.cast("int")
+    odd = k % 2
+    n = (k - odd) / 2  # terms of the sum
+    first = F.when(odd == 1, 0.5 * F.log(2 * x / math.pi) - x / 2).otherwise(-x / 2)
+    state = F.struct(first.alias("log"), F.lit(0.0).alias("sum"))
+    added = lambda s, i: F.struct((s["log"] + F.when(odd == 1, F.log(x) - F.log(2 * i + 1)).otherwise(F.log(x / 2) - F.log(i))).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum"))
+    total = F.aggregate(F.when(n >= 1, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), state, added, lambda s: s["sum"])
+    tail = total + F.when(odd == 1, _erfc(F.sqrt(x / 2))).otherwise(0.0)
+    return F.when(k < 1, None).when(x <= 0, 1.0).when(x.isNotNull(), tail)
+
+
 def kruskal(df: DataFrame, group: str, value: str, least: int = 10) -> DataFrame:
-    """One row (groups, n, h, dof, underpowered): H with average ranks and tie correction over groups of at
-    least `least` values; NULL h with fewer than two of them. Ranks come from counts of distinct values."""
+    """One row (groups, n, h, dof, underpowered, p): H with average ranks and tie correction over all groups.
+
+    With fewer than two groups of at least `least` values the test is underpowered, and h, dof and p are
+    NULL, as they are where all values are equal. Ranks come from counts of distinct values, within ranges."""
     own = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("x"))
-    big = own.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") >= least)
-    counts = own.join(big, "g").groupBy("x", "g").agg(F.count("*").alias("n"))
+    counts = own.groupBy("x", "g").agg(F.count("*").alias("n"))
     values = counts.groupBy("x").agg(F.sum("n").alias("t"))
-    ranked = values.select("x", "t", (F.sum("t").over(Window.orderBy("x")) - F.col("t") + (F.col("t") + 1) / 2).alias("rank"))
-    sums = counts.join(ranked, "x").groupBy("g").agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("m"))
-    ties = ranked.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
-    total = sums.agg(F.count("*").alias("groups"), F.sum("m").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"))
+    ranked = before(values, "x", F.col("t")).select("x", "t", (F.col("before") + (F.col("t") + 1) / 2).alias("rank"))
+    tie = F.when(F.min("g").over(Window.partitionBy("x")) == F.col("g"), F.pow(F.col("t").cast("double"), 3) - F.col("t")).otherwise(0.0)
+    cells = counts.join(ranked, "x").withColumn("tie", tie)
+    sums = cells.groupBy("g").agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("m"), F.sum("tie").alias("ties"))
+    total = sums.agg(F.count("*").alias("groups"), F.sum("m").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("ties").alias("ties"), F.count(F.when(F.col("m") >= least, 1)).alias("able"))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, 3) - n))
-    return total.withColumn("k", F.lit(1)).join(F.broadcast(ties.withColumn("k", F.lit(1))), "k").select("groups", "n", F.when(F.col("groups") >= 2, h).alias("h"), (F.col("groups") - 1).alias("dof"), (F.col("groups") < 2).alias("underpowered"))
+    spread = 1 - F.col("ties") / (F.pow(n, 3) - n)
+    able = (F.col("able") >= 2) & (F.col("ties") < F.pow(n, 3) - n)
+    out = total.select("groups", "n", F.when(able, (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / spread).alias("h"), F.when(F.col("able") >= 2, F.col("groups") - 1).alias("dof"), (F.col("able") < 2).alias("underpowered"))
+    return out.withColumn("p", p_value(F.col("h"), F.col("dof")))
+
+
+def chi_square_test(df: DataFrame, group: str, label: str, least: int = 10) -> DataFrame:
+    """One row (groups, n, chi2, dof, underpowered, p): underpowered, with NULL statistics, where fewer than two
+    groups hold `least` labels or the table has fewer than two rows or columns."""
+    table = crosstab(df, group, label)
+    power = table.groupBy("a").agg(F.sum("n").alias("m")).agg(F.count(F.when(F.col("m") >= least, 1)).alias("able"))
+    able = (F.col("able") >= 2) & (F.col("rows") >= 2) & (F.col("cols") >= 2)
+    both = chi_square(table).crossJoin(F.broadcast(power))  # one row each
+    out = both.select(F.col("rows").alias("groups"), F.coalesce("n", F.lit(0)).alias("n"), F.when(able, F.col("chi2")).alias("chi2"), F.when(able, F.col("dof")).alias("dof"), (~able).alias("underpowered"))
+    return out.withColumn("p", p_value(F.col("chi2"), F.col("dof")))
 
 
 def _pairs(n: Column) -> Column:
@@ -70,11 +113,12 @@ def _pairs(n: Column) -> Column:
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, ari); labels of noise count like any other; 1 where the denominator is 0."""
-    cells = crosstab(df, a, b)
-    s = cells.agg(F.sum(_pairs(F.col("n"))).alias("s"), F.sum("n").alias("n"), F.lit(1).alias("k"))
-    for key, name in (("a", "sa"), ("b", "sb")):
-        s = s.join(F.broadcast(cells.groupBy(key).agg(F.sum("n").alias("m")).agg(F.sum(_pairs(F.col("m"))).alias(name), F.lit(1).alias("k"))), "k")
-    expected = F.col("sa") * F.col("sb") / _pairs(F.col("n"))
+    row, col = Window.partitionBy("a"), Window.partitionBy("b")
+    cells = crosstab(df, a, b).withColumn("r", F.sum("n").over(row)).withColumn("new_r", F.min("b").over(row) == F.col("b"))
+    cells = cells.withColumn("c", F.sum("n").over(col)).withColumn("new_c", F.min("a").over(col) == F.col("a"))
+    one = lambda flag, size: F.sum(F.when(F.col(flag), _pairs(F.col(size))).otherwise(0.0))
+    s = cells.agg(F.sum("n").alias("n"), F.sum(_pairs(F.col("n"))).alias("s"), one("new_r", "r").alias("sa"), one("new_c", "c").alias("sb"))
+    expected = F.when(F.col("n") > 1, F.col("sa") * F.col("sb") / _pairs(F.col("n"))).otherwise(0.0)
     bottom = (F.col("sa") + F.col("sb")) / 2 - expected
     return s.select("n", F.when(F.abs(bottom) < 1e-12, 1.0).otherwise((F.col("s") - expected) / bottom).alias("ari"))
 
@@ -85,4 +129,5 @@ def purity(df: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def gate(v: Column, stop: float = 0.35, caveat: float = 0.20) -> Column:
+    """The verdict on an association v; one that can't be told (NULL) stops nothing."""
     return F.when(v >= stop, "STOP").when(v >= caveat, "PROCEED_WITH_CAVEAT").otherwise("PROCEED")

@@ -1,16 +1,24 @@
-"""Image kernels over decoded arrays, and per-image metrics. Decoding needs a library that is not assumed here."""
+"""Image kernels over decoded pixels and per-image metrics as Spark expressions. Decoding needs a library that is not assumed here."""
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shades_of_gray(image: np.ndarray, power: int = 6) -> np.ndarray:
-    """Colour constancy (Finlayson and Trezzi): channels divided by the unit Minkowski illuminant times sqrt(3)."""
-    x = image.astype(np.float64)
-    light = np.power(np.power(x, power).mean(axis=(0, 1)), 1 / power)
-    light = light / max(np.sqrt((light**2).sum()), 1e-12)
-    return np.clip(x / np.maximum(light * np.sqrt(3), 1e-12), 0, 255).astype(np.uint8)
+def shades_of_gray(pixels: DataFrame, image: str, channels: list[str], power: int = 6) -> DataFrame:
+    """(image, one gain for each channel) of pixels (image, *channels): colour constancy by Finlayson and Trezzi.
+
+    The illuminant is the Minkowski mean of each channel, made a unit vector; a channel is divided by its
+    part times the root of the number of channels. A black channel's gain is NULL."""
+    light = pixels.groupBy(image).agg(*(F.pow(F.avg(F.pow(F.col(c).cast("double"), power)), 1 / power).alias(c) for c in channels))
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in channels), F.lit(0.0)))
+    return light.select(image, *(F.when(F.col(c) > 0, length / (F.col(c) * len(channels) ** 0.5)).alias(c) for c in channels))
+
+
+def corrected(pixels: DataFrame, gains: DataFrame, image: str, channels: list[str]) -> DataFrame:
+    """pixels with each channel times its gain, cut to 0 to 255; a channel without a gain stays."""
+    own = gains.select(image, *(F.col(c).alias(f"{c}_gain") for c in channels))
+    fixed = {c: F.least(F.greatest(F.col(c) * F.coalesce(F.col(f"{c}_gain"), F.lit(1.0)), F.lit(0.0)), F.lit(255.0)) for c in channels}
+    return pixels.join(own, image).select(*(fixed[c].alias(c) if c in fixed else F.col(c) for c in pixels.columns))
 
 
 def normalise(values: Column, mean: float, std: float) -> Column:
@@ -18,4 +26,5 @@ def normalise(values: Column, mean: float, std: float) -> Column:
 
 
 def fallback_rate(df: DataFrame, flag: str) -> DataFrame:
+    """One row (fallback_rate): the share of images whose flag is set; those without a flag don't count."""
     return df.agg(F.avg(F.col(flag).cast("double")).alias("fallback_rate"))

@@ -5,12 +5,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.tables import before, dealt_join
+
+#: Levels that a display table (dense crosstab, one column a level) may have.
+LEVELS = 10_000
+
 
 def cohort(meta: DataFrame, present: DataFrame, key: str, where: Column) -> DataFrame:
     """Rows that meet `where` and whose key is in `present`; the cheap predicate is applied before the semi-join."""
     return meta.where(where).join(present.select(key).distinct(), key, "left_semi")
 
 
+def single_source(df: DataFrame, key: str, value, least: int = 100) -> DataFrame:
+    """Rows of one source; an error unless there are more than `least` of them."""
+    own = df.where(F.col(key) == value)
+    n = own.limit(least + 1).count()
+    if n <= least:
+        raise ValueError(f"only {n} rows of {value!r}, more than {least} are needed")
+    return own
+
+
+def without_noise(df: DataFrame, cluster: str) -> DataFrame:
+    """Rows in a cluster: neither noise (-1) nor without a label."""
+    return df.where(F.col(cluster) != -1)
+
+
 def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
     """One row of counts: total and what is left after each stage, in one pass."""
     kept, aggs = F.lit(True), [F.count("*").alias("total")]
@@ -23,18 +42,37 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
 def value_counts(df: DataFrame, key: str) -> DataFrame:
     """(key, n, fraction), NULL left out."""
     n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return n.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    total = n.agg(F.sum("n").alias("total_"))
+    return n.join(F.broadcast(total)).select(key, "n", (F.col("n") / F.col("total_")).alias("fraction"))
+
+
+def filled_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n): non-null values of each group; groups without any have 0."""
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"))
+
+
+def levels(df: DataFrame, key: str) -> list:
+    """The sorted distinct values of a key that names rows or columns of a display table; an error if there are more than LEVELS."""
+    found = [r[0] for r in df.where(F.col(key).isNotNull()).select(key).distinct().limit(LEVELS + 1).collect()]
+    if len(found) > LEVELS:
+        raise ValueError(f"more than {LEVELS} levels of {key}; keep the table long")
+    return sorted(found)
 
 
 def row_fractions(table: DataFrame) -> DataFrame:
     """A long table (a, b, n) made dense, with each cell's fraction of its row."""
     rows = table.groupBy("a").agg(F.sum("n").alias("row_n"), F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("cells"))
-    levels = [r["b"] for r in table.select("b").distinct().orderBy("b").collect()]  # columns of a display table
-    wide = rows.withColumn("b", F.explode(F.array(*map(F.lit, levels)))) if levels else rows.withColumn("b", F.lit(None))
+    columns = levels(table, "b")
+    wide = rows.withColumn("b", F.explode(F.array(*map(F.lit, columns)))) if columns else rows.withColumn("b", F.lit(None))
     n = F.coalesce(F.try_element_at("cells", F.col("b")), F.lit(0))
     return wide.select("a", "b", n.alias("n"), (n / F.col("row_n")).alias("fraction"))
 
 
+def row_percent(table: DataFrame) -> DataFrame:
+    """A long table (a, b, n) made dense, with each cell's percentage of its row to 2 places, half to even."""
+    return row_fractions(table).select("a", "b", "n", F.bround(F.col("fraction") * 100, 2).alias("percent"))
+
+
 def top_k_or_other(df: DataFrame, key: str, k: int, other: str = "Other") -> DataFrame:
     """df with `bucket`: the key if among the k commonest (ties by key), else `other`, as are NULLs."""
     top = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k).select(key, F.lit(True).alias("top"))
@@ -45,7 +83,7 @@ def merge_small(df: DataFrame, key: str, least: int, missing: str = "Anonymous",
     """df with `batch`: NULL becomes `missing` first, then groups under `least` rows become `other`."""
     own = df.withColumn("batch", F.coalesce(key, F.lit(missing)))
     small = own.groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") < least).select("batch", F.lit(True).alias("small"))
-    return own.join(small, "batch", "left").withColumn("batch", F.when(F.col("small"), other).otherwise(F.col("batch"))).drop("small")
+    return dealt_join(own, small, "batch", F.struct(*(F.col(f"`{c}`") for c in df.columns)), "left").withColumn("batch", F.when(F.col("small"), other).otherwise(F.col("batch"))).drop("small")
 
 
 def fill_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -78,19 +116,28 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def codes(df: DataFrame, key: str) -> DataFrame:
     """(key, code): codes of the sorted distinct non-null values, from 0."""
-    levels = df.where(F.col(key).isNotNull()).select(key).distinct()
-    return levels.withColumn("code", F.row_number().over(Window.orderBy(key)) - 1)
+    own = df.where(F.col(key).isNotNull()).select(key).distinct()
+    return before(own, key, F.lit(1), "code").withColumn("code", F.col("code").cast("int"))
 
 
 def one_hot(df: DataFrame, key: str, prefix: str) -> DataFrame:
     """df with an int column for each sorted level but the first; NULL is the first level."""
-    levels = [r[0] for r in df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key).collect()]
-    return df.select("*", *(F.coalesce((F.col(key) == x).cast("int"), F.lit(0)).alias(f"{prefix}{x}") for x in levels[1:]))
+    return df.select("*", *(F.coalesce((F.col(key) == x).cast("int"), F.lit(0)).alias(f"{prefix}{x}") for x in levels(df, key)[1:]))
+
+
+def median(df: DataFrame, column: str) -> DataFrame:
+    """One row (median): the exact one, from counts of distinct values in ranges; NULL without values."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("t"))
+    total = values.agg(F.sum("t").alias("total"))
+    at = before(values, "x", F.col("t")).join(F.broadcast(total))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("t"))
+    return at.agg(((F.max(F.when(holds(low), F.col("x"))) + F.max(F.when(holds(high), F.col("x")))) / 2).alias("median"))
 
 
 def median_fill(df: DataFrame, column: str) -> DataFrame:
     """df with NULLs of a numeric column replaced by its exact median."""
-    mid = df.agg(F.percentile(column, 0.5).alias("median_"))
+    mid = median(df, column).withColumnRenamed("median", "median_")
     return df.join(F.broadcast(mid)).withColumn(column, F.coalesce(F.col(column).cast("double"), "median_")).drop("median_")
 
 
@@ -104,6 +151,45 @@ def require_none(missing: DataFrame, what: str) -> None:
         raise ValueError(f"{n} {what}")
 
 
-def pivot_grid(df: DataFrame, index: str, column: str, values: Sequence, cell: str) -> DataFrame:
-    """A dense display grid with a column for each of `values`; gaps are NULL."""
-    return df.groupBy(index).pivot(column, list(values)).agg(F.first(cell, ignorenulls=True))
+def ordered_lookup(ids: DataFrame, facts: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of facts for the keys of ids, with ids' columns, in the order of ids' `order`; an error if a key has none."""
+    require_none(missing_keys(ids, facts, key), "keys have no row")
+    return ids.join(facts, key).orderBy(order)
+
+
+def pivot_grid(df: DataFrame, index: str, column: str, values: Sequence, cell: str, rows: Sequence | None = None) -> DataFrame:
+    """A dense display grid with a column for each of `values` and, where given, a row for each of `rows`; gaps are NULL."""
+    grid = df.groupBy(index).pivot(column, list(values)).agg(F.first(cell, ignorenulls=True))
+    if rows is None:
+        return grid
+    axis = df.sparkSession.createDataFrame([(x,) for x in rows], f"`{index}` {df.schema[index].dataType.simpleString()}")
+    return axis.join(grid, index, "left")
+
+
+def unnested(df: DataFrame, column: str, outer: str = "outer", inner: str = "inner", value: str = "value") -> DataFrame:
+    """(outer, inner, value) of a map of maps."""
+    return df.select(F.explode(column).alias(outer, "in_")).select(outer, F.explode("in_").alias(inner, value))
+
+
+def as_list(df: DataFrame, order: str, value: str) -> DataFrame:
+    """One row (values): the values by `order`. Meant for the few rows of a report."""
+    return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
+
+
+def as_map(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row (values): a map by key, keys as strings, in their order. Meant for the few rows of a report."""
+    return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))).alias("values"))
+
+
+def grid(spark, **axes: Sequence) -> DataFrame:
+    """(ord, *axes): all combinations of a few literal values, the last axis fastest, with their ordinal."""
+    out = spark.range(1).select(F.lit(0).alias("ord"))
+    for name, values in axes.items():
+        out = out.select("*", F.posexplode(F.array(*map(F.lit, values))).alias("pos_", name)).withColumn("ord", F.col("ord") * len(values) + F.col("pos_")).drop("pos_")
+    return out
+
+
+def split_bad(df: DataFrame, ok: str, value: str, reason: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose step went well, without the flag and reason, and the others, without the value. A NULL flag is a failure."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    return df.where(good).drop(ok, reason), df.where(~good).drop(ok, value)

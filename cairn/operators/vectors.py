@@ -1,12 +1,15 @@
 """Vectors as array<double> columns, and pairwise operators in tiles: points are cut into blocks, a task
-compares one block with another by a matrix product, and only sums or the nearest few leave it."""
+compares one block with another by a product of matrices, and only sums, the nearest few or a forest leave it."""
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 1024
+from cairn.operators.tables import dealt_join
+
+#: Points in a block, and rows of a tile whose distances are held at once.
+TILE, STRIP = 2048, 256
 
 
 def double(v: str | Column) -> Column:
@@ -27,7 +30,33 @@ def unit(v: Column) -> Column:
 
 
 def has_nan(v: Column) -> Column:
-    return F.exists(v, lambda x: F.isnan(x))
+    """Whether any component is NaN or NULL; NULL for no vector."""
+    return F.exists(v, lambda x: x.isNull() | F.isnan(x))
+
+
+def norm_summary(df: DataFrame, vector: str) -> DataFrame:
+    """One row (n, missing, with_nan, zero, mean): rows, rows without a vector, vectors with NaN, of norm 0, and the mean norm of the rest."""
+    v = double(vector)
+    bad = F.coalesce(has_nan(v), F.lit(False))
+    n = F.when(~bad, norm(v))
+    return df.agg(F.count("*").alias("n"), F.count(F.when(F.col(vector).isNull(), 1)).alias("missing"), F.count(F.when(bad, 1)).alias("with_nan"), F.count(F.when(n == 0, 1)).alias("zero"), F.avg(F.when(n > 0, n)).alias("mean"))
+
+
+def lookup(ids: DataFrame, vectors: DataFrame, key: str, vector: str, missing: str = "skip") -> DataFrame:
+    """ids with their vectors. Of ids without one, "skip" leaves the row out, "null" keeps it with NULL, "fail" raises an error."""
+    if missing not in ("skip", "null", "fail"):
+        raise ValueError(missing)
+    if missing == "fail":
+        n = ids.join(vectors.select(key).distinct(), key, "left_anti").count()
+        if n:
+            raise ValueError(f"{n} ids have no vector")
+    return ids.join(vectors.select(key, vector), key, "left" if missing == "null" else "inner")
+
+
+def similarity_grid(patches: DataFrame, centroid: DataFrame, key: str, patch: str, vector: str, side: int) -> DataFrame:
+    """(key, row, col, similarity): the cosine of each patch of an image with the one row (centroid), at its place on the grid."""
+    near = dot(unit(double(vector)), unit(F.col("centroid")))
+    return patches.join(F.broadcast(centroid.select("centroid"))).select(key, F.floor(F.col(patch) / side).cast("int").alias("row"), (F.col(patch) % side).cast("int").alias("col"), near.alias("similarity"))
 
 
 def group_mean(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -44,22 +73,39 @@ def standardize(df: DataFrame, column: str) -> DataFrame:
 
 
 def _tiles(df: DataFrame, queries: DataFrame, run, schema: str) -> DataFrame:
-    """run(queries, points) on every pair of a block of queries and one of points (id, label, vec)."""
-    blocks = max(1, -(-df.count() // TILE))
+    """run(queries, points) on every pair of a block of queries and one of points, tables with an id; blocks have TILE rows or so."""
+    df = df.select(*(F.col(c).alias(c) for c in df.columns))  # new names for Spark, as both may come from one table
+    sizes = [max(1, -(-d.count() // TILE)) for d in (queries, df)]
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = queries.withColumn("qb", block(max(1, -(-queries.count() // TILE)))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    p = df.withColumn("pb", block(blocks))
-    qs = [r[0] for r in q.select("qb").distinct().collect()]
-    p = p.withColumn("qb", F.explode(F.array(*map(F.lit, qs)))) if qs else p.withColumn("qb", F.lit(0))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("qb", block(sizes[0])).withColumn("pb", every(sizes[1]))
+    p = df.withColumn("pb", block(sizes[1])).withColumn("qb", every(sizes[0]))
     return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(run, schema)
 
 
-def _distances(q: pd.DataFrame, p: pd.DataFrame) -> np.ndarray:
-    a, b = np.stack(q["vec"].to_numpy()).astype(float), np.stack(p["vec"].to_numpy()).astype(float)
-    out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return out
+def _matrix(pdf: pd.DataFrame, column: str = "vec") -> np.ndarray:
+    return np.stack(pdf[column].to_numpy()).astype(float)
+
+
+def _strips(a: np.ndarray, b: np.ndarray):
+    """(first row, squared distances, their possible error) of strips of a against b, by a product of matrices about the mean of b; close to 0 they are subtracted out exactly."""
+    mid = b.mean(axis=0)
+    x, y = a - mid, b - mid
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    top = yy.max(initial=0.0)
+    error = 1e-12 * (xx.max(initial=0.0) + top)
+    for at in range(0, len(a), STRIP):
+        to = min(at + STRIP, len(a))
+        d = xx[at:to, None] + yy[None, :] - 2 * (x[at:to] @ y.T)
+        i, j = np.nonzero(d <= 1e-6 * (xx[at:to, None] + top))
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            d[p, q] = ((a[at + p] - b[q]) ** 2).sum(axis=1)
+        yield at, np.maximum(d, 0.0, out=d), error
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(np.sqrt(((a - b) ** 2).sum(axis=-1)), 12)
 
 
 def points(df: DataFrame, key: str, vector: str, label: str | None = None) -> DataFrame:
@@ -70,46 +116,72 @@ def nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(id, neighbor, distance, rank): the k nearest other points, Euclidean, ties by id. Inputs from points()."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
-        d, ids = np.round(_distances(q, p), 12), p["id"].to_numpy()
-        d[q["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        near = np.stack([np.lexsort((ids, row))[:k] for row in d])
-        i = np.repeat(np.arange(len(q)), near.shape[1])
-        out = pd.DataFrame({"id": q["id"].to_numpy()[i], "neighbor": ids[near.ravel()], "distance": d[i, near.ravel()]})
-        return out[np.isfinite(out["distance"])]
+        out = {"id": [], "neighbor": [], "distance": []}
+        if len(q) and len(p):
+            a, b, own, ids = _matrix(q), _matrix(p), q["id"].to_numpy(), p["id"].to_numpy()
+            for at, d, error in _strips(a, b):
+                for i, row in enumerate(d, at):
+                    row[ids == own[i]] = np.inf
+                    if len(row) > k:  # all that may be among the nearest k, then exact distances
+                        bound = np.partition(row, k - 1)[k - 1]
+                        j = np.flatnonzero(row <= bound + 2 * error + 1e-9 * bound) if np.isfinite(bound) else np.flatnonzero(np.isfinite(row))
+                    else:
+                        j = np.flatnonzero(np.isfinite(row))
+                    far = _exact(b[j], a[i])
+                    j = j[np.lexsort((ids[j], far))[:k]]
+                    out["id"] += [own[i]] * len(j)
+                    out["neighbor"] += ids[j].tolist()
+                    out["distance"] += _exact(b[j], a[i]).tolist()
+        return pd.DataFrame(out)
 
     found = _tiles(df, queries, run, "id long, neighbor long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def linked(df: DataFrame, eps: float) -> DataFrame:
-    """(id, neighbor): links whose components are those of all pairs at a distance of at most eps. Inputs from points().
+def forest(df: DataFrame, eps: list[float]) -> DataFrame:
+    """(id, neighbor, w): links among which are those of a minimum spanning forest of all pairs at a mutual
+    reachability of at most the greatest of eps, of points with a column core: the greatest of both cores and
+    the distance. Which side of each eps a pair is on is told exactly.
 
-    Each pair is compared in one tile, and a tile emits a spanning forest of its close pairs only."""
+    Each pair is compared in one tile, and a tile emits a minimum spanning forest of its own pairs only:
+    what is not in it is in no forest of the whole."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         links = []
         if len(q) and len(p) and q["qb"].iloc[0] <= q["pb"].iloc[0]:
-            near = np.round(_distances(q, p), 12) <= eps
-            sides, ids = (near, near.T), (q["id"].to_numpy(), p["id"].to_numpy())
-            free = [np.ones(len(q), bool), np.ones(len(p), bool)]
-            for start in range(len(q)):
-                queue = [(0, start)] if free[0][start] else []
-                free[0][start] = False
-                while queue:
-                    side, i = queue.pop(0)
-                    for j in np.flatnonzero(sides[side][i] & free[1 - side]).tolist():
-                        free[1 - side][j] = False
-                        queue.append((1 - side, j))
-                        links.append((ids[side][i], ids[1 - side][j]))
-        a = np.array(links, np.int64).reshape(-1, 2)
-        a = a[a[:, 0] != a[:, 1]]
-        return pd.DataFrame({"id": a[:, 0], "neighbor": a[:, 1]})
-
-    own = df.select(*(F.col(c).alias(c) for c in df.columns))  # new names for Spark, as both sides come from one table
-    return _tiles(df, own, run, "id long, neighbor long")
+            a, b, ids = _matrix(q), _matrix(p), (q["id"].to_numpy(), p["id"].to_numpy())
+            w = np.empty((len(a), len(b)))
+            for at, d, error in _strips(a, b):
+                w[at : at + len(d)] = np.round(np.sqrt(d), 12)
+                for e in eps:
+                    i, j = np.nonzero(np.abs(d - e * e) <= 2 * error + 1e-9 * e * e)
+                    w[at + i, j] = _exact(a[at + i], b[j])
+            w = np.maximum(w, np.maximum(q["core"].to_numpy()[:, None], p["core"].to_numpy()[None, :]))
+            w[w > max(eps)] = np.inf
+            w[ids[0][:, None] == ids[1][None, :]] = np.inf
+            n, m = w.shape
+            best, near, free = np.full(n + m, np.inf), np.zeros(n + m, np.int64), np.ones(n + m, bool)
+            for _ in range(n + m):  # Prim's algorithm on the two sides of the tile
+                left = np.where(free, best, np.inf)
+                at = int(left.argmin())
+                if np.isinf(left[at]):
+                    rest = np.flatnonzero(free)
+                    if not len(rest):
+                        break
+                    at = int(rest[0])
+                else:
+                    x, y = sorted((at, int(near[at])))
+                    links.append((ids[0][x], ids[1][y - n], best[at]))
+                free[at] = False
+                side = slice(n, n + m) if at < n else slice(0, n)
+                row = w[at] if at < n else w[:, at - n]
+                closer = row < best[side]
+                best[side][closer] = row[closer]
+                near[side][closer] = at
+        return pd.DataFrame(links, columns=["id", "neighbor", "w"]).astype({"id": "int64", "neighbor": "int64", "w": "float64"})
+
+    return _tiles(df, df, run, "id long, neighbor long, w double")
 
 
 def silhouette(df: DataFrame) -> DataFrame:
@@ -121,25 +193,37 @@ def silhouette(df: DataFrame) -> DataFrame:
             return pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": []})
         names, code = np.unique(p["label"].to_numpy().astype(str), return_inverse=True)
         hot = np.eye(len(names))[code]
-        sums = _distances(q, p) @ hot
+        sums = np.concatenate([np.sqrt(d) @ hot for _, d, _ in _strips(_matrix(q), _matrix(p))])
         i, j = np.indices(sums.shape)
         return pd.DataFrame({"id": q["id"].to_numpy()[i.ravel()], "label": q["label"].to_numpy()[i.ravel()], "other": names[j.ravel()], "total": sums.ravel(), "n": hot.sum(axis=0).astype(int)[j.ravel()]})
 
     sums = _tiles(own, own, run, "id long, label string, other string, total double, n long").groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mine = F.col("label") == F.col("other")
     each = sums.groupBy("id", "label").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
-    return each.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    return each.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s"))
 
 
 def davies_bouldin(df: DataFrame) -> DataFrame:
-    """One row (db): the mean over clusters of the worst (S_i + S_j) / M_ij."""
+    """One row (db): the mean over clusters of the worst (S_i + S_j) / M_ij; centres are compared in tiles."""
     own = df.where("label IS NOT NULL")
     centers = group_mean(own, "label", "vec").select("label", "centroid")
-    spread = own.join(F.broadcast(centers), "label").withColumn("d", norm(F.zip_with("vec", "centroid", lambda x, y: x - y))).groupBy("label").agg(F.avg("d").alias("s"), F.first("centroid").alias("c"))
-    other = spread.select(F.col("label").alias("l2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    pairs = spread.join(other, F.col("label") != F.col("l2"))
-    ratio = (F.col("s") + F.col("s2")) / norm(F.zip_with("c", "c2", lambda x, y: x - y))
-    return pairs.groupBy("label").agg(F.max(ratio).alias("worst")).agg(F.avg("worst").alias("db"))
+    spread = dealt_join(own, centers, "label", "id").withColumn("d", norm(F.zip_with("vec", "centroid", lambda x, y: x - y))).groupBy("label").agg(F.avg("d").alias("s"))
+    clusters = spread.join(centers, "label").select(F.xxhash64("label").alias("id"), "label", "s", F.col("centroid").alias("vec"))
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(q) and len(p):
+            b, s, names = _matrix(p), p["s"].to_numpy(), p["label"].to_numpy()
+            for label, spread_, at in zip(q["label"], q["s"], _matrix(q)):
+                apart = names != label
+                if apart.any():
+                    far = np.sqrt(((b[apart] - at) ** 2).sum(axis=1))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        rows.append((label, float(np.nanmax(np.where(far > 0, (s[apart] + spread_) / far, np.inf)))))
+        return pd.DataFrame(rows, columns=["label", "worst"])
+
+    worst = _tiles(clusters, clusters, run, "label string, worst double")
+    return worst.groupBy("label").agg(F.max("worst").alias("worst")).agg(F.avg("worst").alias("db"))
 
 
 def mixing(near: DataFrame, labels: DataFrame) -> DataFrame:

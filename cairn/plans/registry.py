@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import stats
-from cairn.operators import gates, models, relational, sampling, vectors
+from cairn.operators import gates, media, models, relational, sampling, vectors
+from cairn.operators.tables import dealt_join
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -125,11 +126,42 @@ def overlap_venn(spark, d):
     return relational.overlap(_t(spark, d, "orders").select("o_custkey"), _t(spark, d, "customer").select("c_custkey"))
 
 
-@query("""WITH f AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer), k AS (SELECT g, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY x) AS t FROM f),
-s AS (SELECT g, sum(rk) AS r, count(*) AS m FROM k GROUP BY 1), tie AS (SELECT sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM k), a AS (SELECT count(*) AS groups, CAST(sum(m) AS BIGINT) AS n, sum(r * r / m) AS s FROM s WHERE m >= 10)
-SELECT groups, n, round((12.0 / (CAST(n AS DOUBLE) * (n + 1)) * s - 3.0 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)), 4) AS h, groups - 1 AS dof, groups < 2 AS underpowered FROM a, tie""")
+def _kruskal(f: str) -> str:
+    return f"""WITH f AS ({f}), k AS (SELECT g, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY x) AS t FROM f WHERE g IS NOT NULL AND x IS NOT NULL),
+s AS (SELECT g, sum(rk) AS r, count(*) AS m FROM k GROUP BY 1), tie AS (SELECT sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM k), a AS (SELECT count(*) AS groups, CAST(sum(m) AS BIGINT) AS n, sum(r * r / m) AS s, count(*) FILTER (m >= 10) AS able FROM s),
+h AS (SELECT groups, n, able, CASE WHEN able >= 2 THEN (12.0 / (CAST(n AS DOUBLE) * (n + 1)) * s - 3.0 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)) END AS h FROM a, tie)
+SELECT groups, n, round(h, 4) AS h, CASE WHEN able >= 2 THEN groups - 1 END AS dof, able < 2 AS underpowered"""
+
+
+def _tail(x: str, k: str) -> str:
+    """The chi-square tail for an even number of degrees of freedom."""
+    return f"round(list_sum(list_transform(range(0, CAST({k} / 2 AS BIGINT)), lambda i: exp(-{x} / 2 + i * ln({x} / 2) - lgamma(i + 1)))), 6)"
+
+
+@query(_kruskal("SELECT c_mktsegment AS g, c_acctbal AS x FROM customer") + f", {_tail('h', '(groups - 1)')} AS p FROM h")
 def kruskal_by_group(spark, d):
-    return stats.kruskal(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("h", _r("h", 4))
+    return stats.kruskal(_t(spark, d, "customer"), "c_mktsegment", "c_acctbal").withColumn("h", _r("h", 4)).withColumn("p", _r("p"))
+
+
+_SMALL = "CASE WHEN s_suppkey <= 4 THEN 'few' WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END"
+
+
+@query(_kruskal(f"SELECT {_SMALL} AS g, s_acctbal AS x FROM supplier") + f", {_tail('h', '(groups - 1)')} AS p FROM h")
+def kruskal_small_group(spark, d):
+    """A group of four values counts in the statistic; it only doesn't make the test powerful."""
+    own = _t(spark, d, "supplier").select(F.expr(_SMALL).alias("g"), F.col("s_acctbal").alias("x"))
+    return stats.kruskal(own, "g", "x").withColumn("h", _r("h", 4)).withColumn("p", _r("p"))
+
+
+@query(_chi("orders", "o_orderstatus", "o_orderpriority") + f", y AS (SELECT *, (nr - 1) * (nc - 1) AS dof FROM x) SELECT nr AS groups, n, round(chi2, 6) AS chi2, dof, false AS underpowered, {_tail('chi2', 'dof')} AS p FROM y")
+def chi2_power_guard(spark, d):
+    return stats.chi_square_test(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority").withColumn("chi2", _r("chi2")).withColumn("p", _r("p"))
+
+
+@query("SELECT count(DISTINCT lang) AS groups, count(*) AS n, -1.0::DOUBLE AS chi2, true AS underpowered FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND toxic IS NOT NULL")
+def chi2_underpowered(spark, d):
+    own = _t(spark, d, "documents").where("lang = 'en'").select("doc_id", "lang").join(_t(spark, d, "labels"), "doc_id")
+    return stats.chi_square_test(own, "lang", "toxic").select("groups", "n", F.coalesce("chi2", F.lit(-1.0)).alias("chi2"), "underpowered")
 
 
 _ARI = """WITH ct AS (SELECT label AS a, list_position(embedding, list_max(embedding)) % 10 AS b, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1, 2),
@@ -166,7 +198,7 @@ j AS (SELECT vec_id, v.label AS label, sum(x * m) / ((sqrt(sum(x * x)) + 1e-8) *
 def _cosines(spark, d):
     e = _t(spark, d, "embeddings")
     c = vectors.group_mean(e, "label", "embedding").select("label", "centroid")
-    return e.join(F.broadcast(c), "label").select("vec_id", "label", vectors.dot(vectors.unit(vectors.double("embedding")), vectors.unit(F.col("centroid"))).alias("cosine"))
+    return dealt_join(e, c, "label", "vec_id").select("vec_id", "label", vectors.dot(vectors.unit(vectors.double("embedding")), vectors.unit(F.col("centroid"))).alias("cosine"))
 
 
 @query(_COSINE + " SELECT vec_id, label, round(cosine, 6) AS cosine FROM j")
@@ -222,7 +254,7 @@ r AS (SELECT doc_id, d.source AS source, d.lang AS lang, purity, row_number() OV
 @query(f"WITH {_CAPS} SELECT doc_id, source FROM r WHERE nth <= CASE WHEN purity >= 0.95 THEN 10 WHEN purity >= 0.7 THEN 20 ELSE nth END")
 def balanced_subsample(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "source", "lang")
-    own = docs.join(F.broadcast(stats.purity(docs, "source", "lang")), "source")
+    own = dealt_join(docs, stats.purity(docs, "source", "lang").drop("n"), "source", "doc_id")
     return sampling.capped(own, "source", "doc_id", sampling.tier_cap(F.col("purity"), 10, 20)).select("doc_id", "source")
 
 
@@ -295,13 +327,23 @@ def median_fill(spark, d):
     return relational.median_fill(own, "quality")
 
 
-@query()
+_EXCLUDE = "WITH " + _cross("documents", "source", "lang") + """, tot AS (SELECT a, sum(n) AS r, max(n) / CAST(sum(n) AS DOUBLE) AS purity FROM ct GROUP BY 1),
+ord AS (SELECT a, row_number() OVER (ORDER BY r DESC, a) AS dies FROM tot WHERE purity > 0.58 AND r >= 20), steps AS (SELECT unnest(range(0, (SELECT count(*) + 1 FROM ord))) AS step),
+alive AS (SELECT step, ct.a AS a, b, n, sum(n) OVER (PARTITION BY step, ct.a) AS r, sum(n) OVER (PARTITION BY step, b) AS c FROM steps, ct LEFT JOIN ord ON ct.a = ord.a WHERE dies IS NULL OR dies > step),
+x AS (SELECT step, CAST(sum(n) AS BIGINT) AS n, least(count(DISTINCT a), count(DISTINCT b)) - 1 AS k, sum(CAST(n AS DOUBLE) * n / (CAST(r AS DOUBLE) * c)) - 1 AS phi FROM alive GROUP BY 1),
+v AS (SELECT step, n, CASE WHEN k > 0 THEN sqrt(phi / k) ELSE 0 END AS v, (SELECT count(*) FROM ord) - step AS candidates FROM x), e AS (SELECT min(step) AS last FROM v WHERE v < 0.01 OR candidates = 0)
+SELECT step, n, round(v, 6) AS v, candidates, CASE WHEN step < last THEN a END AS dropped FROM v JOIN e ON step <= last LEFT JOIN ord ON dies = step + 1"""
+
+
+@query(_EXCLUDE)
 def remediation_exclusion(spark, d):
-    trace, _ = gates.iterative_exclusion(_t(spark, d, "documents"), "source", "lang", stop=0.01)
-    return spark.createDataFrame([(i, t["n"], round(t["v"], 6), t["candidates"], t["dropped"]) for i, t in enumerate(trace)], "step int, n long, v double, candidates int, dropped string")
+    return gates.exclusion_trace(_t(spark, d, "documents"), "source", "lang", stop=0.01, pure=0.58, least=20).withColumn("v", _r("v"))
 
 
-@query()
+@query(f"WITH {_CAPS}, s AS (SELECT * FROM (VALUES (0, 200, 400), (1, 100, 300), (2, 50, 200), (3, 30, 150), (4, 20, 100), (5, 10, 75), (6, 5, 50)) t(scheme, pure, mid))" + """,
+ct AS (SELECT scheme, source AS a, lang AS b, count(*) AS n FROM r, s WHERE lang IS NOT NULL AND nth <= CASE WHEN purity >= 0.95 THEN pure WHEN purity >= 0.7 THEN mid ELSE nth END GROUP BY 1, 2, 3),
+m AS (SELECT *, sum(n) OVER (PARTITION BY scheme, a) AS r, sum(n) OVER (PARTITION BY scheme, b) AS c FROM ct)
+SELECT scheme, CAST(sum(n) AS BIGINT) AS n, round(sqrt((sum(CAST(n AS DOUBLE) * n / (CAST(r AS DOUBLE) * c)) - 1) / (least(count(DISTINCT a), count(DISTINCT b)) - 1)), 6) AS v FROM m GROUP BY 1""")
 def remediation_balanced(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "source", "lang")
     return gates.balanced_schemes(docs, "source", "lang", "doc_id").withColumn("v", _r("v"))
@@ -312,16 +354,216 @@ def pca_projection(spark, d):
     return models.pca(_t(spark, d, "embeddings"), "embedding", 2).select("vec_id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
 
 
+@query("SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '0', CAST(vec_id AS VARCHAR))), vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings WHERE label IS NOT NULL")
+def probe_folds(spark, d):
+    return models.probe_folds(_t(spark, d, "embeddings"), "label", "vec_id").select("vec_id", "label", "fold")
+
+
 @query()
 def batch_probe(spark, d):
     return models.batch_probe(_t(spark, d, "embeddings"), "embedding", "label", "vec_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS (SELECT vec_id, vec_id % 5 AS batch, unnest({_V}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT batch, i, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM f GROUP BY 1, 2),
+w AS (SELECT *, sum(n * m) OVER (PARTITION BY i) / sum(n) OVER (PARTITION BY i) AS mean, sum(n * v) OVER (PARTITION BY i) / sum(n) OVER (PARTITION BY i) AS pooled FROM s),
+g AS (SELECT *, sqrt(pooled) AS sd, CASE WHEN pooled > 0 THEN (m - mean) / sqrt(pooled) ELSE 0 END AS g, CASE WHEN pooled > 0 AND n > 1 THEN v / pooled * n / (n - 1) ELSE 1 END AS d FROM w),
+h AS (SELECT *, avg(g) OVER (PARTITION BY batch) AS g0, greatest(var_samp(g) OVER (PARTITION BY batch), 1e-12) AS t2, avg(d) OVER (PARTITION BY batch) AS md, greatest(var_samp(d) OVER (PARTITION BY batch), 1e-12) AS s2 FROM g),
+p AS (SELECT *, (2 * s2 + md * md) / s2 AS a, (md * s2 + md * md * md) / s2 AS b FROM h),
+e AS (SELECT 0 AS k, batch, i, n, g, d, g0, t2, a, b, g AS gs, d AS ds FROM p UNION ALL
+SELECT k + 1, batch, i, n, g, d, g0, t2, a, b, (n * t2 * g + ds * g0) / (n * t2 + ds), ((n - 1) * d + n * (g - (n * t2 * g + ds * g0) / (n * t2 + ds)) ** 2 + 2 * b) / 2 / (n / 2.0 + a - 1) FROM e WHERE k < 30),
+c AS (SELECT e.batch AS batch, e.i AS i, mean, sd, gs, greatest(ds, 1e-12) AS ds FROM e JOIN p ON e.batch = p.batch AND e.i = p.i WHERE k = 30)
+SELECT vec_id, list(round(CASE WHEN sd > 0 THEN ((x - mean) / sd - gs) / sqrt(ds) * sd + mean ELSE x END, 5) ORDER BY f.i) AS vec FROM f JOIN c ON f.batch = c.batch AND f.i = c.i GROUP BY 1""")
 def combat(spark, d):
-    return models.combat(_t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5), "vec_id", "embedding", "batch")
+    out = models.combat(_t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5), "vec_id", "embedding", "batch")
+    return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
 
 
 @query()
+def combat_covariates(spark, d):
+    own = _t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5).withColumn("age", F.col("vec_id") % 7).withColumn("sex", (F.col("label") % 2).cast("double"))
+    return models.combat(own, "vec_id", "embedding", "batch", covariates=["age", "sex"])
+
+
+_CLUSTERS = f"""WITH RECURSIVE {_PAIRS}), core AS (SELECT id FROM (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS k FROM q) WHERE k = 4 AND dist <= 0.9),
+links AS (SELECT id, nb FROM q WHERE dist <= 0.9 AND id IN (SELECT id FROM core) AND nb IN (SELECT id FROM core)), reach(id, root) AS (SELECT id, id FROM core UNION SELECT nb, root FROM reach JOIN links ON reach.id = links.id),
+lab AS (SELECT id, min(root) AS root FROM reach GROUP BY 1), big AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS cluster FROM lab GROUP BY 1 HAVING count(*) >= 5)"""
+
+
+@query(_CLUSTERS + " SELECT e.vec_id AS id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM embeddings e LEFT JOIN lab ON lab.id = e.vec_id LEFT JOIN big ON big.root = lab.root")
 def density_clusters(spark, d):
     return models.density_clusters(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding"), 4, 0.9, 5)
+
+
+@query()
+def cluster_sweep(spark, d):
+    """The cuts at two distances of one density tree, with their metrics; select_config picks among such rows."""
+    return models.sweep(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding"), [4], [0.9, 1.0], 5)
+
+
+@query()
+def cluster_stability(spark, d):
+    """Clusters of two seeded shares of the groups of points against those of all."""
+    e = _t(spark, d, "embeddings")
+    points = vectors.points(e, "vec_id", "embedding").join(e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 100).alias("lesion")), "id")
+    return models.stability(points, models.density_clusters(points, 4, 0.9, 5), "lesion", [1000, 1001], 4, 0.9, 5)
+
+
+@query()
+def method_agreement(spark, d):
+    """Clusters of the vectors as they are against those after batch correction."""
+    e = _t(spark, d, "embeddings")
+    fixed = models.combat(e.withColumn("batch", F.col("vec_id") % 5), "vec_id", "embedding", "batch")
+    a, b = (models.density_clusters(vectors.points(x, "vec_id", c), 4, 0.9, 5) for x, c in ((e, "embedding"), (fixed, "vec")))
+    return models.agreement(a, b)
+
+
+@query("WITH " + _cross("documents", "source", "lang") + """, grid AS (SELECT a, b FROM (SELECT DISTINCT a FROM ct), (SELECT DISTINCT b FROM ct))
+SELECT a, b, coalesce(n, 0) AS n, round_even(coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY a) AS DOUBLE) * 100, 2) AS percent FROM grid LEFT JOIN ct USING (a, b)""")
+def crosstab_row_pct(spark, d):
+    return relational.row_percent(stats.crosstab(_t(spark, d, "documents"), "source", "lang"))
+
+
+@query("SELECT source, count(quality) AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE source IS NOT NULL GROUP BY 1")
+def filled_counts(spark, d):
+    own = _t(spark, d, "documents").select("doc_id", "source").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return relational.filled_counts(own, "source", "quality")
+
+
+@query('SELECT list(n ORDER BY event_type) AS "values" FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)')
+def report_list(spark, d):
+    return relational.as_list(_t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n")
+
+
+@query("SELECT list(event_type ORDER BY event_type) AS k, list(n ORDER BY event_type) AS v FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def report_map(spark, d):
+    one = relational.as_map(_t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n")
+    return one.select(F.map_keys("values").alias("k"), F.map_values("values").alias("v"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT CASE WHEN label > 0 THEN label END) AS n_clusters, round(avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END), 6) AS noise_frac FROM embeddings WHERE label IS NOT NULL")
+def cluster_shape(spark, d):
+    return gates.cluster_shape(_t(spark, d, "embeddings").select((F.col("label") - 1).alias("c")), "c").withColumn("noise_frac", _r("noise_frac"))
+
+
+@query("SELECT vec_id, label - 1 AS cluster FROM embeddings WHERE label - 1 <> -1")
+def without_noise(spark, d):
+    return relational.without_noise(_t(spark, d, "embeddings").select("vec_id", (F.col("label") - 1).alias("cluster")), "cluster")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE source = 'src1'")
+def single_source(spark, d):
+    return relational.single_source(_t(spark, d, "documents").select("doc_id", "n_chars", "source"), "source", "src1", least=5).drop("source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr', 'xx') ORDER BY doc_id")
+def in_set_sorted(spark, d):
+    return _t(spark, d, "documents").where(F.col("lang").isin("de", "fr", "xx")).select("doc_id", "lang").orderBy("doc_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src0'")
+def not_equal_keeping_null(spark, d):
+    return _t(spark, d, "documents").where(~F.col("source").eqNullSafe("src0")).select("doc_id", "source")
+
+
+@query(f"WITH n AS (SELECT sqrt(list_sum(list_transform({_V}, lambda x: x * x))) AS n FROM embeddings) SELECT count(*) AS n, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (isnan(n)) AS with_nan, count(*) FILTER (n = 0) AS zero, round(avg(n) FILTER (n > 0), 6) AS mean FROM n")
+def norm_summary(spark, d):
+    return vectors.norm_summary(_t(spark, d, "embeddings"), "embedding").withColumn("mean", _r("mean"))
+
+
+@query("SELECT row_number() OVER (ORDER BY l.doc_id DESC) AS ord, l.doc_id AS doc_id, source FROM labels l JOIN documents d ON l.doc_id = d.doc_id ORDER BY ord")
+def ordered_lookup(spark, d):
+    labels = _t(spark, d, "labels")
+    ids = relational.before(labels.select("doc_id", (-F.col("doc_id")).alias("place")), "place", F.lit(1), "ord").select("doc_id", (F.col("ord") + 1).alias("ord"))
+    return relational.ordered_lookup(ids, _t(spark, d, "documents").select("doc_id", "source"), "doc_id", "ord").select("ord", "doc_id", "source")
+
+
+@query("SELECT doc_id, len(embedding) AS size FROM documents JOIN embeddings ON doc_id = vec_id")
+def lookup_skip_missing(spark, d):
+    have = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vectors.lookup(_t(spark, d, "documents").select("doc_id"), have, "doc_id", "embedding").select("doc_id", F.size("embedding").cast("long").alias("size"))
+
+
+@query("SELECT doc_id, embedding IS NULL AS missing FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+def lookup_null_missing(spark, d):
+    have = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vectors.lookup(_t(spark, d, "documents").select("doc_id"), have, "doc_id", "embedding", "null").select("doc_id", F.col("embedding").isNull().alias("missing"))
+
+
+@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en FROM documents GROUP BY 1")
+def map_of_maps_wide(spark, d):
+    cells = stats.crosstab(_t(spark, d, "documents"), "source", "lang")
+    nested = cells.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m")).select(F.create_map("a", "m").alias("maps"))
+    return relational.unnested(nested, "maps", "source", "lang").groupBy("source").pivot("lang", ["de", "en"]).agg(F.first("value")).fillna(0)
+
+
+@query("SELECT (s - 1) * 3 + l AS ord, s AS step, l / 2.0 AS low, count(*) FILTER (value > l / 2.0 AND user_id % s = 0) AS n FROM events, (SELECT unnest([1, 2]) AS s), (SELECT unnest([0, 1, 2]) AS l) GROUP BY 1, s, l")
+def parameter_grid(spark, d):
+    """Events that meet every combination of two parameters, in one pass over them."""
+    own = _t(spark, d, "events").select("value", "user_id").crossJoin(F.broadcast(relational.grid(spark, step=[1, 2], low=[0.0, 0.5, 1.0])))
+    return own.groupBy("ord", "step", "low").agg(F.count(F.when((F.col("value") > F.col("low")) & (F.col("user_id") % F.col("step") == 0), 1)).alias("n"))
+
+
+@query("SELECT t AS event_type, coalesce(n.u0, -1) AS u0, coalesce(n.u1, -1) AS u1 FROM (SELECT unnest(['click', 'none', 'view']) AS t) LEFT JOIN (SELECT event_type, CASE WHEN count(*) FILTER (user_id % 3 = 0) > 0 THEN count(*) FILTER (user_id % 3 = 0) END AS u0, CASE WHEN count(*) FILTER (user_id % 3 = 1) > 0 THEN count(*) FILTER (user_id % 3 = 1) END AS u1 FROM events GROUP BY 1) n ON n.event_type = t")
+def pivot_dense(spark, d):
+    n = _t(spark, d, "events").groupBy("event_type", F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("u")).agg(F.count("*").alias("n"))
+    return relational.pivot_grid(n, "event_type", "u", ["u0", "u1"], "n", ["click", "none", "view"]).fillna(-1)
+
+
+@query("WITH " + _cross("documents", "source", "lang") + """, a AS (SELECT sum(m) / CAST(sum(n) AS DOUBLE) AS accuracy FROM (SELECT max(n) AS m, sum(n) AS n FROM ct GROUP BY a)), c AS (SELECT count(DISTINCT lang) AS n_batches FROM documents)
+SELECT round(accuracy, 6) AS accuracy, n_batches, round(1.0 / n_batches, 6) AS chance, CASE WHEN accuracy >= 1.0 / n_batches + 0.1 THEN 'PROCEED' ELSE 'SKIP_HARMONIZATION' END AS verdict FROM a, c""")
+def batch_signal(spark, d):
+    docs = _t(spark, d, "documents")
+    best = stats.crosstab(docs, "source", "lang").groupBy("a").agg(F.max("n").alias("m"), F.sum("n").alias("n")).agg((F.sum("m") / F.sum("n")).alias("accuracy"))
+    one = best.join(F.broadcast(gates.chance(docs, "lang")))
+    return one.select(_r("accuracy").alias("accuracy"), "n_batches", _r("chance").alias("chance"), gates.batch_signal(F.col("accuracy"), F.col("n_batches")).alias("verdict"))
+
+
+_METRICS = "SELECT l_returnflag AS name, avg(l_tax) AS batch_acc, avg(l_discount) AS mixing, avg(l_quantity) AS bio_silhouette FROM lineitem GROUP BY 1"
+_PASSED = f"WITH m AS ({_METRICS}), p AS (SELECT a.name AS name, a.batch_acc < 0.1 AND a.mixing > r.mixing AND a.bio_silhouette >= 0.85 * r.bio_silhouette AS passed FROM m a JOIN m r ON r.name = 'A' AND a.name <> 'A')"
+
+
+def _metrics(spark, d):
+    return _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("name")).agg(F.avg("l_tax").alias("batch_acc"), F.avg("l_discount").alias("mixing"), F.avg("l_quantity").alias("bio_silhouette"))
+
+
+@query(_PASSED + " SELECT name, passed FROM p")
+def acceptance_gate(spark, d):
+    return gates.accepted(_metrics(spark, d), F.lit(0.0), raw="A")
+
+
+@query(_PASSED + ", x AS (SELECT bool_or(passed) FILTER (name = 'N') AS a, bool_or(passed) FILTER (name = 'R') AS b FROM p) SELECT CASE WHEN NOT a AND b THEN 'R' ELSE 'N' END AS used, a OR b AS passed FROM x")
+def acceptance_retry(spark, d):
+    return gates.with_retry(_metrics(spark, d), F.lit(0.0), "N", "R", raw="A")
+
+
+@query(f"""WITH {_CENTERS}, v AS (SELECT vec_id, unnest({_V}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT vec_id // 16 AS image, CAST(vec_id % 16 // 4 AS INTEGER) AS "row", CAST(vec_id % 4 AS INTEGER) AS col, round(sum(x * m) / ((sqrt(sum(x * x)) + 1e-8) * (sqrt(sum(m * m)) + 1e-8)), 6) AS similarity FROM v JOIN c ON v.i = c.i WHERE c.label = 0 GROUP BY vec_id""")
+def similarity_grid(spark, d):
+    e = _t(spark, d, "embeddings")
+    center = vectors.group_mean(e.where("label = 0"), "label", "embedding")
+    patches = e.select(F.floor(F.col("vec_id") / 16).alias("image"), (F.col("vec_id") % 16).alias("patch"), "embedding")
+    return vectors.similarity_grid(patches, center, "image", "patch", "embedding", 4).withColumn("similarity", _r("similarity"))
+
+
+@query(f"SELECT vec_id, list_transform({_V}, lambda x: round((x / 255.0 - 0.485) / 0.229, 6)) AS x FROM embeddings")
+def pixel_normalise(spark, d):
+    return _t(spark, d, "embeddings").select("vec_id", F.transform(media.normalise(vectors.double("embedding"), 0.485, 0.229), lambda x: F.round(x, 6)).alias("x"))
+
+
+@query("SELECT round(avg(CASE WHEN lang <> 'en' THEN 1.0 ELSE 0.0 END), 6) AS fallback_rate FROM documents")
+def fallback_rate(spark, d):
+    return media.fallback_rate(_t(spark, d, "documents").select((F.col("lang") != "en").alias("used")), "used").withColumn("fallback_rate", _r("fallback_rate"))
+
+
+@query("""WITH l AS (SELECT l_shipdate::DATE AS image, avg(l_quantity ** 6) ** (1 / 6.0) AS r, avg((l_discount * 100) ** 6) ** (1 / 6.0) AS g, avg((l_tax * 100) ** 6) ** (1 / 6.0) AS b FROM lineitem GROUP BY 1)
+SELECT CAST(image AS VARCHAR) AS image, round(CASE WHEN r > 0 THEN sqrt(r * r + g * g + b * b) / (r * sqrt(3)) END, 5) AS r, round(CASE WHEN g > 0 THEN sqrt(r * r + g * g + b * b) / (g * sqrt(3)) END, 5) AS g, round(CASE WHEN b > 0 THEN sqrt(r * r + g * g + b * b) / (b * sqrt(3)) END, 5) AS b FROM l""")
+def shades_of_gray(spark, d):
+    pixels = _t(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("image"), F.col("l_quantity").alias("r"), (F.col("l_discount") * 100).alias("g"), (F.col("l_tax") * 100).alias("b"))
+    return media.shades_of_gray(pixels, "image", ["r", "g", "b"]).select("image", *(_r(c, 5).alias(c) for c in "rgb"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 'short' ELSE 'long' END AS reason FROM documents WHERE NOT n_chars BETWEEN 200 AND 5000")
+def bad_rows(spark, d):
+    own = _t(spark, d, "documents").select("doc_id", F.col("n_chars").between(200, 5000).alias("ok"), F.col("n_chars").alias("value"), F.when(F.col("n_chars") < 200, "short").otherwise("long").alias("reason"))
+    return relational.split_bad(own, "ok", "value", "reason")[1]

@@ -1,10 +1,10 @@
-"""Sources and sinks: explicit schemas, path listings as columns, vectors from .npy bytes, nested JSON reports."""
+"""Sources and sinks: explicit schemas, path listings as columns, vectors from .npy bytes, keyed tables, nested JSON reports."""
 
 import io
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,10 +13,11 @@ def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(id): file stems under path, from a scan that reads no content."""
+def listing(spark: SparkSession, path: str, glob: str = "*", ordered: bool = False) -> DataFrame:
+    """(id): file stems under path, from a scan that reads no content; sorted if asked."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("id"))
+    ids = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("id"))
+    return ids.orderBy("id") if ordered else ids
 
 
 def npy(spark: SparkSession, path: str) -> DataFrame:
@@ -45,3 +46,30 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_vectors(df: DataFrame, path: str) -> None:
     """Parquet instead of one array file a row."""
     df.write.mode("overwrite").parquet(path)
+
+
+def write_crosstab(table: DataFrame, path: str, columns: list) -> None:
+    """A long table (a, b, n) as a wide CSV: its rows' names, and a column of counts for each of `columns` (0 where none)."""
+    write_csv(table.groupBy("a").pivot("b", columns).agg(F.sum("n")).fillna(0), path)
+
+
+def write_report(df: DataFrame, path: str, sections: dict[str, list[str]]) -> None:
+    """One row as nested JSON: columns stay on top but those of `sections`, which become objects of that name."""
+    inner = {c for columns in sections.values() for c in columns}
+    write_json(df.select(*(c for c in df.columns if c not in inner), *(F.struct(*columns).alias(name) for name, columns in sections.items())).coalesce(1), path)
+
+
+def write_keyed(df: DataFrame, path: str, key: str, parts: int = 64) -> None:
+    """Parquet in folders by a hash of the key, so that rows of one key are found without reading the rest."""
+    df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartition(parts, "part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str, key: str, value, parts: int = 64) -> DataFrame:
+    """The rows of one key of what write_keyed wrote with the same `parts`: one folder is read."""
+    table = spark.read.parquet(path)
+    wanted = F.lit(value).cast(table.schema[key].dataType)
+    return table.where((F.col("part") == _part(spark, wanted, parts)) & (F.col(key) == wanted)).drop("part")
+
+
+def _part(spark: SparkSession, value: Column, parts: int) -> int:
+    return spark.range(1).select(F.pmod(F.xxhash64(value), F.lit(parts))).first()[0]
