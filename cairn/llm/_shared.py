@@ -1,9 +1,4 @@
-"""What the training-data operators share: scratch tables, Arrow slices, word and shingle kernels, components."""
-
-import tempfile
-import uuid
-import weakref
-from contextlib import contextmanager
+"""What the training-data operators share: Arrow slices, word and shingle kernels, blocks for comparisons."""
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +6,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.tables import components, dealt_join, forget, save, scratch
+
+__all__ = ["components", "dealt_join", "forget", "save", "scratch"]
+
 #: Bytes of text that one numpy step works on; bounds a task's memory whatever the batch holds.
 SLICE_BYTES = 1 << 20
 
@@ -32,60 +31,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder. Where none is named, local mode takes a temporary one; a cluster is refused, as its workers share no such folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-_saved: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_scopes: list[list[str]] = []
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _saved[out] = path
-    for scope in _scopes:
-        scope.append(path)
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def forget(*saved: DataFrame) -> None:
-    """Delete what save() wrote of these tables, which no plan may read any more; other tables are left alone."""
-    for df in saved:
-        if path := _saved.pop(df, None):
-            _delete(df.sparkSession, path)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Within it, all that save() writes is noted, and deleted at the end but for the tables given to the yielded function."""
-    mine: list[str] = []
-    kept: set[str] = set()
-    _scopes.append(mine)
-    try:
-        yield lambda *tables: kept.update(_saved[t] for t in tables if t in _saved)
-    finally:
-        _scopes.pop()
-        for path in mine:
-            if path not in kept:
-                _delete(spark, path)
-
-
 def one_label(labels: DataFrame, label: str, id_column: str) -> DataFrame:
     """(id, label_), one row per id: of conflicting labels of an id the least; rows without id or label are left out."""
     return labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(F.col(label).cast("int")).alias("label_"))
@@ -188,33 +133,6 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     return mix64(out[keep]), at
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node on an edge; component is the smallest node reachable.
-
-    Min-label hooking with pointer jumping. Every round works on edges between labels only, so that
-    what is settled drops out; a round at least halves the labels that still have an edge, and only
-    the count of those edges reaches the driver."""
-    edges = save(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = save(nodes.withColumn("component", F.col("node")))
-    live = edges
-    while not live.isEmpty():
-        both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = save(both.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("low")).select("label", F.least("label", "low").alias("parent"), F.lit(True).alias("moved")))
-        while not parent.where("moved").isEmpty():
-            up = parent.select(F.col("label").alias("parent"), F.col("parent").alias("next"))
-            jumped = save(parent.drop("moved").join(up, "parent").select("label", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
-            forget(parent)
-            parent = jumped
-        moved = save(labels.join(parent.select(F.col("label").alias("component"), "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
-        pa_, pb = (parent.select(F.col("label").alias(x), F.col("parent").alias(f"{x}_")) for x in "ab")
-        left = save(live.join(pa_, "a").join(pb, "b").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).where("a <> b").distinct())
-        forget(parent, labels, live)
-        labels, live = moved, left
-    forget(live)
-    return labels
-
-
 class Forest:
     """Union-find over the rows of one block; the smaller index becomes the root."""
 
@@ -258,15 +176,6 @@ def grouped(batches, keys: list[str]):
         yield last, pa.Table.from_batches(held)
 
 
-def dealt_join(df: DataFrame, facts: DataFrame, key: str, row: str, how: str = "inner") -> DataFrame:
-    """df joined with facts, which hold few rows per key. The rows of a key are dealt over all shuffle
-    partitions by a hash of `row`, and a fact goes only where its key has rows, so no key meets in one task."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("deal_", F.pmod(F.xxhash64(F.lit(7), row), F.lit(parts)))
-    held = dealt.select(key, "deal_").distinct().join(facts, key)
-    return dealt.join(held, [key, "deal_"], how).drop("deal_")
-
-
 def blocks(df: DataFrame, key: str, row: str, most: int) -> DataFrame:
     """df dealt into blocks for comparisons within `key`: adds block_i <= block_j.
 
