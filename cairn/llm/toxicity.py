@@ -36,24 +36,29 @@ DENSE = (0.012, 0.025)
 VOTERS = 2 * SOURCES + 5
 
 
+#: Bytes of text whose terms a task counts at once, as a term takes far more memory than its letters.
+COUNT_BYTES = 1 << 19
+
+
 def _counted(batches):
-    """For each batch, of each source, word and stem: occurrences in toxic and in other texts, and toxic texts."""
+    """For each slice of texts, of each source, word and stem: occurrences in toxic and in other texts, and toxic texts."""
     for batch in batches:
-        counts: dict[tuple[int, str], list[int]] = {}
-        for text, mark, source in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "source"))):
-            own = Counter(_WORDS.findall((text or "").lower()))
-            terms = Counter({"": sum(own.values())})
-            for w, n in own.items():
-                terms[w] += n
-                for k in STEMS[: max(0, len(w) - STEMS[0])]:
-                    terms[w[:k] + "*"] += n
-            for t, n in terms.items():
-                c = counts.setdefault((source, t), [0, 0, 0])
-                c[0 if mark else 1] += n
-                c[2] += mark
-        rows = [(s, t, *c) for (s, t), c in counts.items()]
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["source", "term", "yes", "no", "texts"])
+        for part in slices(batch, "text", COUNT_BYTES):
+            counts: dict[tuple[int, str], list[int]] = {}
+            for text, mark, source in zip(*(part.column(c).to_pylist() for c in ("text", "label", "source"))):
+                own = Counter(_WORDS.findall((text or "").lower()))
+                terms = Counter({"": sum(own.values())})
+                for w, n in own.items():
+                    terms[w] += n
+                    for k in STEMS[: max(0, len(w) - STEMS[0])]:
+                        terms[w[:k] + "*"] += n
+                for t, n in terms.items():
+                    c = counts.setdefault((source, t), [0, 0, 0])
+                    c[0 if mark else 1] += n
+                    c[2] += mark
+            rows = [(s, t, *c) for (s, t), c in counts.items()]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["source", "term", "yes", "no", "texts"])
 
 
 def lexicons(marked: DataFrame) -> dict[int, set[str]]:
