@@ -1,9 +1,10 @@
 """What the training-data operators share: Arrow slices, word and shingle kernels, blocks for comparisons."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.tables import components, dealt_join, forget, save, scratch
@@ -176,6 +177,53 @@ def grouped(batches, keys: list[str]):
         yield last, pa.Table.from_batches(held)
 
 
+#: Bits of a bitmap, as a power of two: 8 MB, whatever it is made from; and bytes of it that travel as one row.
+BITS, CHUNK = 26, 1 << 12
+
+
+def _chunks(batches):
+    """The slots of a partition as the chunks of a bitmap that have a bit set."""
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    for b in batches:
+        slot = b.column("slot").to_numpy()
+        np.bitwise_or.at(bits, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
+    rows = bits.reshape(-1, CHUNK)
+    some = np.flatnonzero(rows.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["chunk", "bits"])
+
+
+def _ored(batches):
+    for (chunk,), t in grouped(batches, ["chunk"]):
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """The set of a column `slot` as 2**BITS bits: partitions make bitmaps, tasks unite them, and the driver gets 8 MB at most."""
+    schema = "chunk long, bits binary"
+    made = slots.mapInArrow(_chunks, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_ored, schema)
+    out = np.zeros((1 << (BITS - 3)) // CHUNK * CHUNK, np.uint8).reshape(-1, CHUNK)
+    for r in made.collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose key (a hash) isn't in the column gone_key of gone; no column is added or lost.
+
+    A bitmap of fixed size tells for most rows that they stay; only the others are shuffled, with their
+    texts, to meet gone itself."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(bitmap(gone.select(F.shiftrightunsigned("gone_key", 64 - BITS).alias("slot"))))
+
+    @F.pandas_udf("boolean")
+    def doubtful(keys: pd.Series) -> pd.Series:
+        slot = keys.to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+        return pd.Series(bits.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1)
+
+    return docs.where(~doubtful(key)).union(docs.where(doubtful(key)).join(gone, key == gone["gone_key"], "left_anti"))
+
+
 def blocks(df: DataFrame, key: str, row: str, most: int) -> DataFrame:
     """df dealt into blocks for comparisons within `key`: adds block_i <= block_j.
 

@@ -14,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm._shared import dealt_join, grouped, save, session, slices, table, utf8, window_hashes, word_hashes, words
+from cairn.llm._shared import BITS, bitmap, dealt_join, grouped, save, session, slices, table, utf8, window_hashes, word_hashes, words
 
 #: Words in a run; share of an item's runs and of its placeholders' values that must agree; words of a run that are no placeholders.
 WIDTH, SHARE, CONSISTENT, PLAIN = 5, 0.8, 0.8, 2
 #: Share of values that must tell the item's apart: lower, as two slots may well get one value by chance.
 DISTINCT = 0.5
-#: Bits of the bitmap, as a power of two: 8 MB, whatever the benchmark's size.
-BITS = 26
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|ft|feet|inch|inches|l|ml|litres|liters|h|hr|hrs|hour|hours|min|mins|minute|minutes|s|sec|seconds|day|days|week|weeks|month|months|year|years|km/h|mph|dollars|cents|euros|pounds|eur|usd"
 #: A number with its unit (groups 1 and 2, what follows the first digit), a name within a sentence (3), another capitalised word (4). The first character is tried by itself, as searching for that is fast.
 _SLOT = re.compile(rf"[\dA-ZÀ-Þ](?:(?<=\d)(\d*(?:[.,:/]\d+)*)(?:\s?(%|\$|€|£|°|(?:{UNITS})\b))?|(?<=[A-ZÀ-Þ])(?:(?<=[a-zß-ÿ,] .)([a-zß-ÿ]+)\b|(?<=\b.)([a-zß-ÿ]+)\b))")
@@ -230,37 +228,6 @@ def _sizes(counted):
     return run
 
 
-#: Bytes of a bitmap that travel as one row.
-CHUNK = 1 << 12
-
-
-def _chunks(batches):
-    """The slots of a partition as the chunks of a bitmap that have a bit set."""
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for b in batches:
-        slot = b.column("slot").to_numpy()
-        np.bitwise_or.at(bits, slot >> 3, np.left_shift(1, slot & 7).astype(np.uint8))
-    rows = bits.reshape(-1, CHUNK)
-    some = np.flatnonzero(rows.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["chunk", "bits"])
-
-
-def _ored(batches):
-    for (chunk,), t in grouped(batches, ["chunk"]):
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
-
-
-def bitmap(slots: DataFrame) -> np.ndarray:
-    """The set of a column `slot` as 2**BITS bits: partitions make bitmaps, tasks unite them, and the driver gets 8 MB at most."""
-    schema = "chunk long, bits binary"
-    made = slots.mapInArrow(_chunks, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_ored, schema)
-    out = np.zeros((1 << (BITS - 3)) // CHUNK * CHUNK, np.uint8).reshape(-1, CHUNK)
-    for r in made.collect():
-        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_runs, n_found, containment, consistency): one row for each document and item that leaks into it.
 
