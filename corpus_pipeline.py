@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, minhash_dedup, mixing, pii, quality
-from cairn.llm._shared import forget, save, scratch, table
+from cairn.llm._shared import forget, save, scratch, table, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id stay, as do null and empty texts. Rows that share an id are judged each by its own
     text, so that one can go and another stay; repeated rows share their fate."""
     with scratch(spark) as keep:
-        gone = save(minhash_dedup.near_duplicates(docs, percent=80, text_key=True).where("NOT kept").select("doc_id", "text_key").distinct())
+        gone = save(minhash_dedup.near_duplicates(docs, percent=80, text_key=True).where("NOT kept").select(F.xxhash64("doc_id", "text_key").alias("gone_key")).distinct())
         keep(gone)
-    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"]), "left_anti")
+    return without(docs, F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"])), gone)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     key = F.xxhash64(docs["doc_id"], docs["text"])
     with scratch(spark) as keep:
         rows = docs.select(key.alias("row_key"), docs["text"])
-        gone = save(decontamination.leaks(rows, table(spark, sf_dir, "benchmark"), id_column="row_key").select("row_key").distinct())
+        gone = save(decontamination.leaks(rows, table(spark, sf_dir, "benchmark"), id_column="row_key").select(F.col("row_key").alias("gone_key")).distinct())
         keep(gone)
-    return docs.join(gone, key == gone["row_key"], "left_anti")
+    return without(docs, key, gone)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
