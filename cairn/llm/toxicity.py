@@ -33,6 +33,8 @@ STEMS = range(3, 9)
 ODDS, SEEN, SURE = 20, 0.01, 50
 #: Shares of a text's words that begin with a lexicon stem, from which voters vote.
 DENSE = (0.012, 0.025)
+#: Words that a text is taken to have at least where shares are told, so that one word of a short text is not dense.
+SHORT = 100
 VOTERS = 2 * SOURCES + 5
 
 
@@ -107,13 +109,13 @@ def votes(text: str, bits: dict[str, int], heads: set[str]) -> str:
     """One vote a voter, as +, -, or 0 for an abstention."""
     n, found = matches(text, bits, heads)
     words = [t for t in found if not t.endswith("*")]
-    most = lambda held: max((c for t, c in found.items() if t.endswith("*") and held(bits[t])), default=0) / max(n, 1)
+    most = lambda held: max((c for t, c in found.items() if t.endswith("*") and held(bits[t])), default=0) / max(n, SHORT)
     by = {t for t in found if bits[t].bit_count() > SOURCES // 2}  # terms that most sources hold
     out = []
     for s in range(SOURCES):
-        share = most(lambda b: b >> s & 1)
-        out.append("+" if any(bits[t] >> s & 1 for t in words) else "0")
-        out.append("+" if share > DENSE[0] else "0" if words else "-")
+        word, dense = any(bits[t] >> s & 1 for t in words), most(lambda b: b >> s & 1) > DENSE[0]
+        out.append("+" if word else "0" if dense else "-")
+        out.append("+" if dense else "0" if word else "-")
     agreed, densest = sum(t in by for t in words), most(lambda b: b.bit_count() > SOURCES // 2)
     return "".join((
         *out,
@@ -173,16 +175,14 @@ def _posteriors(bits: dict, heads: set[str], post: dict[str, float]):
 
 
 def features(n: int, found: dict[str, int]) -> dict[str, float]:
-    """Of a text of n words: 1 for a word that occurs, a growing share of 1 for a stem by how dense it is; "" is how many different words occur."""
-    out = {t: min(1.0, 40.0 * c / n) if t.endswith("*") else 1.0 for t, c in found.items()}
-    out[""] = math.log1p(sum(not t.endswith("*") for t in found))
-    return out
+    """Of a text of n words: 1 for a word that occurs, a growing share of 1 for a stem by how dense it is."""
+    return {t: min(1.0, 40.0 * c / max(n, SHORT)) if t.endswith("*") else 1.0 for t, c in found.items()}
 
 
 def _featured(index: dict[str, int], heads: set[str]):
     def run(batches):
         for batch in batches:
-            rows = [sorted((index.get(t, len(index)), v) for t, v in features(*matches(text or "", index, heads)).items()) for text in batch.column("text").to_pylist()]
+            rows = [sorted((index[t], v) for t, v in features(*matches(text or "", index, heads)).items()) for text in batch.column("text").to_pylist()]
             at, values = [[i for i, _ in r] for r in rows], [[v for _, v in r] for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("post"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["post", "at", "values"])
 
@@ -196,15 +196,15 @@ def fit(rows: DataFrame, terms: set[str]) -> dict[str, float]:
         return {"!": -4.0}
     index = {t: i for i, t in enumerate(sorted(terms))}
     _, heads = dictionary({0: terms})
-    size = len(index) + 1
+    size = len(index)
     made = rows.select("text", "post").mapInArrow(_featured(index, heads), "post double, at array<int>, values array<double>")
     sparse = F.udf(lambda at, values: Vectors.sparse(size, at, values), VectorUDT())  # no built-in makes sparse vectors; FITTED rows or so
     made = made.select("post", sparse("at", "values").alias("features"))
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("post").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("post")).alias("weight"))))
     both = save(made.select("features", sides.alias("side")).select("features", "side.*").where("weight > 0.001"))
-    model = LogisticRegression(regParam=2e-4, elasticNetParam=0.0, standardization=False, maxIter=100, weightCol="weight").fit(both)
+    model = LogisticRegression(regParam=1e-5, elasticNetParam=0.0, standardization=False, maxIter=200, weightCol="weight").fit(both)
     w = model.coefficients.toArray()
-    return {"!": float(model.intercept), "": float(w[-1])} | {t: float(w[i]) for t, i in index.items() if w[i]}
+    return {"!": float(model.intercept)} | {t: float(w[i]) for t, i in index.items() if w[i]}
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text") -> dict[str, float]:
@@ -231,8 +231,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
 
 
 def _scored(weights: dict[str, float]):
-    _, heads = dictionary({0: {t for t in weights if t not in ("", "!")}})
-    bits = {t: 1 for t in weights if t not in ("", "!")}
+    _, heads = dictionary({0: {t for t in weights if t != "!"}})
+    bits = {t: 1 for t in weights if t != "!"}
 
     def run(batches):
         for batch in batches:
