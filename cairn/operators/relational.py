@@ -83,7 +83,8 @@ def merge_small(df: DataFrame, key: str, least: int, missing: str = "Anonymous",
     """df with `batch`: NULL becomes `missing` first, then groups under `least` rows become `other`."""
     own = df.withColumn("batch", F.coalesce(key, F.lit(missing)))
     small = own.groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") < least).select("batch", F.lit(True).alias("small"))
-    return dealt_join(own, small, "batch", F.struct(*(F.col(f"`{c}`") for c in df.columns)), "left").withColumn("batch", F.when(F.col("small"), other).otherwise(F.col("batch"))).drop("small")
+    row = F.struct(F.lit(0), *(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind))  # maps have no hash
+    return dealt_join(own, small, "batch", row, "left").withColumn("batch", F.when(F.col("small"), other).otherwise(F.col("batch"))).drop("small")
 
 
 def fill_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
