@@ -109,16 +109,16 @@ def test_quality_rules_are_the_paths_of_the_trees():
 
 
 def test_toxicity_scores_are_the_linear_classifier(spark):
-    weights = {"!": -2.0, "": 0.5, "idiot": 3.0, "moron": -1.0, "scu*": 4.0, "scum*": 2.0}
-    texts = ["you IDIOT idiot", "scummy scum is scu", "moron " * 3, "a scumbag among many words here " * 5, "", None, "idiots"]
+    weights = {"!": -2.0, "idiot": 3.0, "moron": -1.0, "scu*": 4.0, "scum*": 2.0}
+    texts = ["you IDIOT idiot", "scummy scum is scu", "moron " * 3, "a scumbag among many words here " * 5, "a scumbag among many words here " * 50, "", None, "idiots"]
 
     def plain(text):
         words = re.findall(r"[^\W\d_]+", (text or "").lower())
         present = {w for w in words if w in weights}
-        z = weights["!"] + weights[""] * math.log1p(len(present)) + sum(weights[w] for w in present)
+        z = weights["!"] + sum(weights[w] for w in present)
         for stem in ("scu", "scum"):
             n = sum(w.startswith(stem) and len(w) > len(stem) for w in words)
-            z += weights[stem + "*"] * min(1.0, 40 * n / max(len(words), 1))
+            z += weights[stem + "*"] * min(1.0, 40 * n / max(len(words), toxicity.SHORT))
         return 1 / (1 + math.exp(-z))
 
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
