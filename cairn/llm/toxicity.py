@@ -202,7 +202,7 @@ def fit(rows: DataFrame, terms: set[str]) -> dict[str, float]:
     made = made.select("post", sparse("at", "values").alias("features"))
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("post").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("post")).alias("weight"))))
     both = save(made.select("features", sides.alias("side")).select("features", "side.*").where("weight > 0.001"))
-    model = LogisticRegression(regParam=1e-5, elasticNetParam=0.0, standardization=False, maxIter=200, weightCol="weight").fit(both)
+    model = LogisticRegression(regParam=2e-5, elasticNetParam=0.0, standardization=False, maxIter=100, weightCol="weight").fit(both)
     w = model.coefficients.toArray()
     return {"!": float(model.intercept)} | {t: float(w[i]) for t, i in index.items() if w[i]}
 
