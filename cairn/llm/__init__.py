@@ -9,6 +9,7 @@ from cairn.llm.minhash_dedup import op3_minhash_dedup
 from cairn.llm.mixing import op4_mixing
 from cairn.llm.pii import op10_pii
 from cairn.llm.quality import op2_quality
+from cairn.llm.token_alignment import op11_token_alignment
 from cairn.llm.token_counts import op1_token_counts
 from cairn.llm.toxicity import op5_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_quality, op3_minhash_dedup, op4_mixing, op5_toxicity,
         op6_decontamination, op7_language_id, op8_embedding_dedup, op9_html_extraction, op10_pii,
+        op11_token_alignment,
     )
 }
 ORACLES = {"op4_mixing": mixing.ORACLE}
