@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from cairn.llm import mixing
+from cairn.llm import centroid_clustering, mixing
+from cairn.llm.centroid_clustering import op13_centroid_clustering
 from cairn.llm.decontamination import op6_decontamination
 from cairn.llm.embedding_dedup import op8_embedding_dedup
 from cairn.llm.html_extraction import op9_html_extraction
@@ -18,7 +19,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_quality, op3_minhash_dedup, op4_mixing, op5_toxicity,
         op6_decontamination, op7_language_id, op8_embedding_dedup, op9_html_extraction, op10_pii,
-        op11_token_alignment,
+        op11_token_alignment, op13_centroid_clustering,
     )
 }
-ORACLES = {"op4_mixing": mixing.ORACLE}
+ORACLES = {"op4_mixing": mixing.ORACLE, "op13_centroid_clustering": centroid_clustering.ORACLE}
