@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.tables import dealt_join
+from cairn.operators.tables import dealt_join, save
 
-#: Points in a block, and rows of a tile whose distances are held at once.
-TILE, STRIP = 2048, 256
+#: Points in a block, rows of a tile whose distances are held at once, Voronoi cells, and rings of a cell.
+TILE, STRIP, PIVOTS, RINGS = 2048, 256, 1024, 32
 
 
 def double(v: str | Column) -> Column:
@@ -109,34 +109,183 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def points(df: DataFrame, key: str, vector: str, label: str | None = None) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("label"), double(vector).alias("vec")).where("vec IS NOT NULL")
+    """(id, label, vec) of the rows whose vector is there and holds finite numbers only."""
+    own = df.select(F.col(key).cast("long").alias("id"), (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("label"), double(vector).alias("vec"))
+    return own.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x - x)))
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(id, neighbor, distance, rank): the k nearest other points, Euclidean, ties by id. Inputs from points()."""
+def _nearest_in(k: int):
+    """Of each query (qid, vec) the k nearest of the classes of a block, ties by least id, as rows of all the ids that these hold."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "neighbor": [], "distance": []}
+        out = {"qid": [], "neighbor": [], "distance": []}
         if len(q) and len(p):
-            a, b, own, ids = _matrix(q), _matrix(p), q["id"].to_numpy(), p["id"].to_numpy()
+            a, b, qid, ids = _matrix(q), _matrix(p), q["qid"].to_numpy(), p["ids"].to_numpy()
+            least = np.array([x[0] for x in ids])
             for at, d, error in _strips(a, b):
                 for i, row in enumerate(d, at):
-                    row[ids == own[i]] = np.inf
+                    j = np.arange(len(row))
                     if len(row) > k:  # all that may be among the nearest k, then exact distances
                         bound = np.partition(row, k - 1)[k - 1]
-                        j = np.flatnonzero(row <= bound + 2 * error + 1e-9 * bound) if np.isfinite(bound) else np.flatnonzero(np.isfinite(row))
-                    else:
-                        j = np.flatnonzero(np.isfinite(row))
+                        j = np.flatnonzero(row <= bound + 2 * error + 1e-9 * bound)
                     far = _exact(b[j], a[i])
-                    j = j[np.lexsort((ids[j], far))[:k]]
-                    out["id"] += [own[i]] * len(j)
-                    out["neighbor"] += ids[j].tolist()
-                    out["distance"] += _exact(b[j], a[i]).tolist()
+                    for at_j, d_j in [(j[o], far[o]) for o in np.lexsort((least[j], far))[:k]]:
+                        own = ids[at_j].tolist()
+                        out["qid"] += [qid[i]] * len(own)
+                        out["neighbor"] += own
+                        out["distance"] += [d_j] * len(own)
         return pd.DataFrame(out)
 
-    found = _tiles(df, queries, run, "id long, neighbor long, distance double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return run
+
+
+class Cells:
+    """Voronoi cells of few pivots, cut into rings by the distance from the pivot: a table of bounded size that each task holds.
+
+    groups: (cell, ring, least and greatest distance from the pivot, classes, blocks)."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.apart = np.stack([np.sqrt(((pivots - x) ** 2).sum(axis=1)) for x in pivots])
+        self.borders: np.ndarray | None = None
+        self.groups: pd.DataFrame | None = None
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.concatenate([d for _, d, _ in _strips(x, self.pivots)])) if len(x) else np.zeros((0, len(self.pivots)))
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distances from all pivots, cell, distance from its pivot, ring)."""
+        d = self.distances(x)
+        cell = d.argmin(axis=1)
+        far = np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1))
+        ring = np.zeros(len(x), np.int64) if self.borders is None else (self.borders[cell] <= far[:, None]).sum(axis=1)
+        return d, cell, far, ring
+
+    def reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of x and each group the least distance that its points can have and the greatest, with room for rounding."""
+        d, cell, _, _ = self.place(x)
+        g = self.groups
+        to = d[:, g["cell"]]
+        near = np.maximum(to - g["high"].to_numpy(), g["low"].to_numpy() - to)
+        gap, own = 2 * self.apart[np.ix_(cell, g["cell"])], d[np.arange(len(x)), cell][:, None]
+        room = 1e-5 * (to**2 + own**2) + 1e-9 * self.apart.max() ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):  # points of another cell are beyond the plane between both pivots
+            plane = np.where(gap > 0, (to**2 - own**2 - room) / gap, 0.0)
+        room = 4e-6 * (to + g["high"].to_numpy() + 1e-6)
+        return np.maximum(np.maximum(near, plane), 0.0) - room, to + g["high"].to_numpy() + room
+
+
+def _cells(classes: DataFrame) -> tuple[Cells, DataFrame]:
+    """Cells of a table of classes (vec, ids), and the table with cell, ring and block."""
+    n = classes.count()
+    some = classes.select("vec").orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(min(PIVOTS, max(1, n // TILE))).collect()
+    cells = Cells(np.array([r["vec"] for r in some], float))
+
+    def placed(batches):
+        for pdf in batches:
+            _, cell, far, ring = cells.place(_matrix(pdf)) if len(pdf) else (None, [], [], [])
+            yield pdf.assign(cell=cell, far=far, ring=ring)
+
+    schema = "vec array<double>, ids array<long>, cell int, far double, ring int"
+    shares = F.array(*(F.lit(i / RINGS) for i in range(1, RINGS)))
+    first = classes.mapInPandas(placed, schema).groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("far", shares, F.lit(1000)).alias("at"))
+    cells.borders = np.full((len(cells.pivots), RINGS), np.inf)
+    for r in first.collect():
+        rings = min(RINGS, -(-r["n"] // TILE))
+        own = [r["at"][RINGS * i // rings - 1] for i in range(1, rings)]
+        cells.borders[r["cell"], : len(own)] = own
+    ringed = save(classes.mapInPandas(placed, schema))
+    cells.groups = ringed.groupBy("cell", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("n")).orderBy("cell", "ring").toPandas()
+    cells.groups["blocks"] = -(-cells.groups["n"] // TILE)
+    blocks = {(int(c), int(r)): int(b) for c, r, b in cells.groups[["cell", "ring", "blocks"]].itertuples(index=False) if b > 1}
+    many = F.lit(1)
+    if blocks:  # at most PIVOTS * RINGS
+        facts = classes.sparkSession.createDataFrame([(*place, b) for place, b in blocks.items()], "cell int, ring int, blocks int")
+        ringed, many = ringed.join(F.broadcast(facts), ["cell", "ring"], "left"), F.coalesce("blocks", F.lit(1))
+    return cells, ringed.withColumn("block", F.pmod(F.xxhash64(F.lit(3), F.col("ids")[0]), many).cast("int")).select("cell", "ring", "block", "vec", "ids")
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int, tally: dict | None = None) -> DataFrame:
+    """(id, neighbor, distance, rank): the k nearest other points, Euclidean, ties by id. Inputs from points(); ids of df are unique.
+
+    1. Equal points are one class, which keeps the k + 1 least ids.
+    2. Classes lie in Voronoi cells of at most PIVOTS pivots, each cut into rings, each of these into blocks of
+       TILE or so. What is known of rings is a table of bounded size.
+    3. Each different query searches one block of its own ring. The (k + 1)th distance found there, or what
+       rings promise at worst, bounds its neighbours' distances.
+    4. It goes on only to the rings that can hold a nearer point: by the distance from the pivot, and by the plane
+       between both pivots. Points that no pivot tells apart visit all blocks, as there is no bound then.
+
+    tally, if given, gets the number of different queries, of blocks, and of visits to a block."""
+    spark = df.sparkSession
+    first = df.select("vec", "id").withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("nth") <= k + 1)
+    classes = save(first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    asked = save(queries.groupBy("vec").agg(F.min("id").alias("qid")))
+    if classes.isEmpty() or asked.isEmpty():
+        return spark.createDataFrame([], "id long, neighbor long, distance double, rank int")
+    cells, blocks = _cells(classes)
+    blocks = save(blocks)
+    parts = max(1, -(-asked.count() // TILE))
+    sent = spark.sparkContext.broadcast(cells)
+    keys = ["cell", "ring", "block", "part"]
+    schema = "qid long, vec array<double>, cell int, ring int, block int, part int"
+
+    def homes(batches):
+        """The block of a query's own ring, or of the one whose worst is best."""
+        own, groups = sent.value, sent.value.groups
+        cell, ring, many = (groups[c].to_numpy() for c in ("cell", "ring", "blocks"))
+        for pdf in batches:
+            for at in range(0, len(pdf), STRIP):
+                part = pdf.iloc[at : at + STRIP]
+                x = _matrix(part)
+                _, c, _, r = own.place(x)
+                same = (cell[None, :] == c[:, None]) & (ring[None, :] == r[:, None])
+                g = np.where(same.any(axis=1), same.argmax(axis=1), own.reach(x)[1].argmin(axis=1))
+                yield part.assign(cell=cell[g], ring=ring[g], block=part["hash"] % many[g])[["qid", "vec", "cell", "ring", "block", "part"]]
+
+    def others(batches):
+        """The other blocks that can hold a neighbour of a query."""
+        own, groups = sent.value, sent.value.groups
+        cell, ring, many, size = (groups[c].to_numpy() for c in ("cell", "ring", "blocks", "n"))
+        for pdf in batches:
+            for at in range(0, len(pdf), STRIP):
+                part = pdf.iloc[at : at + STRIP]
+                low, high = own.reach(_matrix(part))
+                order = np.argsort(high, axis=1)
+                enough = np.cumsum(size[order], axis=1) > k
+                last = np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1)
+                worst = np.where(enough.any(axis=1), np.take_along_axis(high, last, 1)[:, 0], np.inf)
+                theta = np.fmin(part["theta"].to_numpy(dtype=float), worst)
+                i, g = np.nonzero(low <= theta[:, None] * (1 + 1e-9) + 1e-11)
+                b = np.arange(many[g].sum()) - np.repeat(np.cumsum(many[g]) - many[g], many[g])
+                i, g = np.repeat(i, many[g]), np.repeat(g, many[g])
+                home = [part[c].to_numpy()[i] for c in ("cell", "ring", "block")]
+                new = (home[0] != cell[g]) | (home[1] != ring[g]) | (home[2] != b)
+                i, g, b = i[new], g[new], b[new]
+                yield pd.DataFrame({"qid": part["qid"].to_numpy()[i], "vec": part["vec"].to_numpy()[i], "cell": cell[g], "ring": ring[g], "block": b, "part": part["part"].to_numpy()[i]})
+
+    def searched(some: DataFrame) -> DataFrame:
+        if tally is not None:
+            tally["visits"] = tally.get("visits", 0) + some.count()
+        held = blocks.join(some.select(*(F.col(c).alias(c) for c in keys)).distinct(), keys[:3])
+        return some.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_nearest_in(k + 1), "qid long, neighbor long, distance double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "neighbor"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+
+    hashed = asked.withColumn("hash", F.xxhash64(F.lit(3), "qid").bitwiseAND(F.lit((1 << 40) - 1))).withColumn("part", (F.shiftright("hash", 20) % parts).cast("int"))
+    at_home = save(hashed.mapInPandas(homes, schema))
+    home = save(searched(at_home))
+    bound = best(home).groupBy("qid").agg(F.max(F.when(F.col("rank") == k + 1, F.col("distance"))).alias("theta"))
+    rest = searched(save(at_home.join(bound, "qid", "left").mapInPandas(others, schema)))
+    if tally is not None:
+        tally |= {"queries": asked.count(), "blocks": int(cells.groups["blocks"].sum())}
+    found = save(best(home.union(rest)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))).alias("near")))
+    each = queries.select("id", "vec").join(asked, "vec").select("id", "qid")
+    mine = dealt_join(each, found, "qid", "id")
+    rows = F.slice(F.filter("near", lambda x: x["neighbor"] != F.col("id")), 1, k)
+    return mine.select("id", F.posexplode(rows).alias("at", "x")).select("id", "x.neighbor", "x.distance", (F.col("at") + 1).cast("int").alias("rank"))
 
 
 def forest(df: DataFrame, eps: list[float]) -> DataFrame:
