@@ -72,14 +72,16 @@ def standardize(df: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(m)).withColumn("z", F.when(F.col("sd_") > 0, (F.col(column) - F.col("mean_")) / F.col("sd_")).otherwise(0.0)).drop("mean_", "sd_")
 
 
-def _tiles(df: DataFrame, queries: DataFrame, run, schema: str) -> DataFrame:
-    """run(queries, points) on every pair of a block of queries and one of points, tables with an id; blocks have TILE rows or so."""
+def _tiles(df: DataFrame, queries: DataFrame, run, schema: str, half: bool = False) -> DataFrame:
+    """run(queries, points) on every pair of a block of queries and one of points, tables with an id; blocks have TILE rows or so. half: each two blocks once."""
     df = df.select(*(F.col(c).alias(c) for c in df.columns))  # new names for Spark, as both may come from one table
     sizes = [max(1, -(-d.count() // TILE)) for d in (queries, df)]
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.withColumn("qb", block(sizes[0])).withColumn("pb", every(sizes[1]))
     p = df.withColumn("pb", block(sizes[1])).withColumn("qb", every(sizes[0]))
+    if half:
+        q, p = q.where("qb <= pb"), p.where("qb <= pb")
     return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(run, schema)
 
 
@@ -175,9 +177,8 @@ class Cells:
         return np.maximum(np.maximum(near, plane), 0.0) - room, to + g["high"].to_numpy() + room
 
 
-def _cells(classes: DataFrame) -> tuple[Cells, DataFrame]:
-    """Cells of a table of classes (vec, ids), and the table with cell, ring and block."""
-    n = classes.count()
+def _cells(classes: DataFrame, n: int) -> tuple[Cells, DataFrame]:
+    """Cells of a table of n classes (vec, ids), and the table with cell, ring and block."""
     some = classes.select("vec").orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(min(PIVOTS, max(1, n // TILE))).collect()
     cells = Cells(np.array([r["vec"] for r in some], float))
 
@@ -187,13 +188,13 @@ def _cells(classes: DataFrame) -> tuple[Cells, DataFrame]:
             yield pdf.assign(cell=cell, far=far, ring=ring)
 
     schema = "vec array<double>, ids array<long>, cell int, far double, ring int"
-    shares = F.array(*(F.lit(i / RINGS) for i in range(1, RINGS)))
-    first = classes.mapInPandas(placed, schema).groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("far", shares, F.lit(1000)).alias("at"))
     cells.borders = np.full((len(cells.pivots), RINGS), np.inf)
-    for r in first.collect():
-        rings = min(RINGS, -(-r["n"] // TILE))
-        own = [r["at"][RINGS * i // rings - 1] for i in range(1, rings)]
-        cells.borders[r["cell"], : len(own)] = own
+    if n > TILE:
+        shares = F.array(*(F.lit(i / RINGS) for i in range(1, RINGS)))
+        for r in classes.mapInPandas(placed, schema).groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("far", shares, F.lit(1000)).alias("at")).collect():
+            rings = min(RINGS, -(-r["n"] // TILE))
+            own = [r["at"][RINGS * i // rings - 1] for i in range(1, rings)]
+            cells.borders[r["cell"], : len(own)] = own
     ringed = save(classes.mapInPandas(placed, schema))
     cells.groups = ringed.groupBy("cell", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("n")).orderBy("cell", "ring").toPandas()
     cells.groups["blocks"] = -(-cells.groups["n"] // TILE)
@@ -221,11 +222,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, tally: dict | None = None
     first = df.select("vec", "id").withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("nth") <= k + 1)
     classes = save(first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     asked = save(queries.groupBy("vec").agg(F.min("id").alias("qid")))
-    if classes.isEmpty() or asked.isEmpty():
+    n, m = classes.count(), asked.count()
+    if not n or not m:
         return spark.createDataFrame([], "id long, neighbor long, distance double, rank int")
-    cells, blocks = _cells(classes)
-    blocks = save(blocks)
-    parts = max(1, -(-asked.count() // TILE))
+    cells, blocks = _cells(classes, n)
+    parts = -(-m // TILE)
     sent = spark.sparkContext.broadcast(cells)
     keys = ["cell", "ring", "block", "part"]
     schema = "qid long, vec array<double>, cell int, ring int, block int, part int"
@@ -280,7 +281,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, tally: dict | None = None
     bound = best(home).groupBy("qid").agg(F.max(F.when(F.col("rank") == k + 1, F.col("distance"))).alias("theta"))
     rest = searched(save(at_home.join(bound, "qid", "left").mapInPandas(others, schema)))
     if tally is not None:
-        tally |= {"queries": asked.count(), "blocks": int(cells.groups["blocks"].sum())}
+        tally |= {"queries": m, "blocks": int(cells.groups["blocks"].sum())}
     found = save(best(home.union(rest)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))).alias("near")))
     each = queries.select("id", "vec").join(asked, "vec").select("id", "qid")
     mine = dealt_join(each, found, "qid", "id")
@@ -290,15 +291,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, tally: dict | None = None
 
 def forest(df: DataFrame, eps: list[float]) -> DataFrame:
     """(id, neighbor, w): links among which are those of a minimum spanning forest of all pairs at a mutual
-    reachability of at most the greatest of eps, of points with a column core: the greatest of both cores and
-    the distance. Which side of each eps a pair is on is told exactly.
+    reachability of at most the greatest of eps (without any: of all pairs), of points with a column core: the
+    greatest of both cores and the distance. Which side of each eps a pair is on is told exactly.
 
     Each pair is compared in one tile, and a tile emits a minimum spanning forest of its own pairs only:
     what is not in it is in no forest of the whole."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         links = []
-        if len(q) and len(p) and q["qb"].iloc[0] <= q["pb"].iloc[0]:
+        if len(q) and len(p):
             a, b, ids = _matrix(q), _matrix(p), (q["id"].to_numpy(), p["id"].to_numpy())
             w = np.empty((len(a), len(b)))
             for at, d, error in _strips(a, b):
@@ -307,7 +308,7 @@ def forest(df: DataFrame, eps: list[float]) -> DataFrame:
                     i, j = np.nonzero(np.abs(d - e * e) <= 2 * error + 1e-9 * e * e)
                     w[at + i, j] = _exact(a[at + i], b[j])
             w = np.maximum(w, np.maximum(q["core"].to_numpy()[:, None], p["core"].to_numpy()[None, :]))
-            w[w > max(eps)] = np.inf
+            w[w > max(eps, default=np.inf)] = np.inf
             w[ids[0][:, None] == ids[1][None, :]] = np.inf
             n, m = w.shape
             best, near, free = np.full(n + m, np.inf), np.zeros(n + m, np.int64), np.ones(n + m, bool)
@@ -330,7 +331,7 @@ def forest(df: DataFrame, eps: list[float]) -> DataFrame:
                 near[side][closer] = at
         return pd.DataFrame(links, columns=["id", "neighbor", "w"]).astype({"id": "int64", "neighbor": "int64", "w": "float64"})
 
-    return _tiles(df, df, run, "id long, neighbor long, w double")
+    return _tiles(df, df, run, "id long, neighbor long, w double", half=True)
 
 
 def silhouette(df: DataFrame) -> DataFrame:
