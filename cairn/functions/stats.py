@@ -111,16 +111,19 @@ def _pairs(n: Column) -> Column:
     return n.cast("double") * (n - 1) / 2
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (n, ari); labels of noise count like any other; 1 where the denominator is 0."""
-    row, col = Window.partitionBy("a"), Window.partitionBy("b")
-    cells = crosstab(df, a, b).withColumn("r", F.sum("n").over(row)).withColumn("new_r", F.min("b").over(row) == F.col("b"))
-    cells = cells.withColumn("c", F.sum("n").over(col)).withColumn("new_c", F.min("a").over(col) == F.col("a"))
-    one = lambda flag, size: F.sum(F.when(F.col(flag), _pairs(F.col(size))).otherwise(0.0))
-    s = cells.agg(F.sum("n").alias("n"), F.sum(_pairs(F.col("n"))).alias("s"), one("new_r", "r").alias("sa"), one("new_c", "c").alias("sb"))
+def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, n, ari), one row a group; labels of noise count like any other; 1 where the denominator is 0.
+
+    Cells and both margins are sums over one table, so that no label's cells meet in one task."""
+    cells = crosstab(df, a, b, by)
+    none = lambda c: F.lit(None).cast(cells.schema[c].dataType)
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("x"), y.alias("y")) for k, x, y in (("s", F.col("a"), F.col("b")), ("sa", F.col("a"), none("b")), ("sb", none("a"), F.col("b")))))
+    sums = cells.select(*by, "n", F.explode(kinds).alias("k")).groupBy(*by, "k.kind", "k.x", "k.y").agg(F.sum("n").alias("n"))
+    one = lambda kind: F.sum(F.when(F.col("kind") == kind, _pairs(F.col("n"))).otherwise(0.0)).alias(kind)
+    s = sums.groupBy(*by).agg(F.sum(F.when(F.col("kind") == "s", F.col("n"))).alias("n"), one("s"), one("sa"), one("sb"))
     expected = F.when(F.col("n") > 1, F.col("sa") * F.col("sb") / _pairs(F.col("n"))).otherwise(0.0)
     bottom = (F.col("sa") + F.col("sb")) / 2 - expected
-    return s.select("n", F.when(F.abs(bottom) < 1e-12, 1.0).otherwise((F.col("s") - expected) / bottom).alias("ari"))
+    return s.select(*by, "n", F.when(F.abs(bottom) < 1e-12, 1.0).otherwise((F.col("s") - expected) / bottom).alias("ari"))
 
 
 def purity(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -289,13 +289,37 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, tally: dict | None = None
     return mine.select("id", F.posexplode(rows).alias("at", "x")).select("id", "x.neighbor", "x.distance", (F.col("at") + 1).cast("int").alias("rank"))
 
 
-def forest(df: DataFrame, eps: list[float]) -> DataFrame:
-    """(id, neighbor, w): links among which are those of a minimum spanning forest of all pairs at a mutual
-    reachability of at most the greatest of eps (without any: of all pairs), of points with a column core: the
-    greatest of both cores and the distance. Which side of each eps a pair is on is told exactly.
-
-    Each pair is compared in one tile, and a tile emits a minimum spanning forest of its own pairs only:
-    what is not in it is in no forest of the whole."""
+def _prim(w: np.ndarray):
+    """(row, column, weight) of a minimum spanning forest of the two sides of a matrix of weights, inf where there is no link."""
+    n, m = w.shape
+    best, near, free = np.full(n + m, np.inf), np.zeros(n + m, np.int64), np.ones(n + m, bool)
+    for _ in range(n + m):
+        left = np.where(free, best, np.inf)
+        at = int(left.argmin())
+        if np.isinf(left[at]):
+            rest = np.flatnonzero(free)
+            if not len(rest):
+                break
+            at = int(rest[0])
+        else:
+            x, y = sorted((at, int(near[at])))
+            yield x, y - n, best[at]
+        free[at] = False
+        side = slice(n, n + m) if at < n else slice(0, n)
+        row = w[at] if at < n else w[:, at - n]
+        closer = row < best[side]
+        best[side][closer] = row[closer]
+        near[side][closer] = at
+
+
+def forests(df: DataFrame, eps: list[float]) -> DataFrame:
+    """(variant, id, neighbor, w): for each place of the array column `cores` the links among which are those of a
+    minimum spanning forest of all pairs of points with a core there, at a mutual reachability of at most the
+    greatest of eps (without any: of all pairs): the greatest of both cores and the distance. Which side of each
+    eps a pair is on is told exactly.
+
+    Each pair is compared in one tile, once for all variants, and a tile emits a minimum spanning forest of its
+    own pairs only: what is not in it is in no forest of the whole."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         links = []
@@ -307,73 +331,87 @@ def forest(df: DataFrame, eps: list[float]) -> DataFrame:
                 for e in eps:
                     i, j = np.nonzero(np.abs(d - e * e) <= 2 * error + 1e-9 * e * e)
                     w[at + i, j] = _exact(a[at + i], b[j])
-            w = np.maximum(w, np.maximum(q["core"].to_numpy()[:, None], p["core"].to_numpy()[None, :]))
             w[w > max(eps, default=np.inf)] = np.inf
             w[ids[0][:, None] == ids[1][None, :]] = np.inf
-            n, m = w.shape
-            best, near, free = np.full(n + m, np.inf), np.zeros(n + m, np.int64), np.ones(n + m, bool)
-            for _ in range(n + m):  # Prim's algorithm on the two sides of the tile
-                left = np.where(free, best, np.inf)
-                at = int(left.argmin())
-                if np.isinf(left[at]):
-                    rest = np.flatnonzero(free)
-                    if not len(rest):
-                        break
-                    at = int(rest[0])
-                else:
-                    x, y = sorted((at, int(near[at])))
-                    links.append((ids[0][x], ids[1][y - n], best[at]))
-                free[at] = False
-                side = slice(n, n + m) if at < n else slice(0, n)
-                row = w[at] if at < n else w[:, at - n]
-                closer = row < best[side]
-                best[side][closer] = row[closer]
-                near[side][closer] = at
-        return pd.DataFrame(links, columns=["id", "neighbor", "w"]).astype({"id": "int64", "neighbor": "int64", "w": "float64"})
-
-    return _tiles(df, df, run, "id long, neighbor long, w double", half=True)
+            cores = [_matrix(x, "cores") for x in (q, p)]
+            for v in range(cores[0].shape[1]):
+                rows, columns = (np.flatnonzero(~np.isnan(c[:, v])) for c in cores)
+                own = np.maximum(w[np.ix_(rows, columns)], np.maximum(cores[0][rows, v][:, None], cores[1][columns, v][None, :]))
+                own[own > max(eps, default=np.inf)] = np.inf
+                links += [(v, ids[0][rows[x]], ids[1][columns[y]], d) for x, y, d in _prim(own)]
+        return pd.DataFrame(links, columns=["variant", "id", "neighbor", "w"]).astype({"variant": "int32", "id": "int64", "neighbor": "int64", "w": "float64"})
 
+    return _tiles(df.select("id", "vec", "cores"), df.select("id", "vec", "cores"), run, "variant int, id long, neighbor long, w double", half=True)
 
-def silhouette(df: DataFrame) -> DataFrame:
-    """(id, label, s) of labelled points, Euclidean; 0 for a singleton's; NULL labels are left out."""
-    own = df.where("label IS NOT NULL")
 
-    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": []})
-        names, code = np.unique(p["label"].to_numpy().astype(str), return_inverse=True)
-        hot = np.eye(len(names))[code]
-        sums = np.concatenate([np.sqrt(d) @ hot for _, d, _ in _strips(_matrix(q), _matrix(p))])
-        i, j = np.indices(sums.shape)
-        return pd.DataFrame({"id": q["id"].to_numpy()[i.ravel()], "label": q["label"].to_numpy()[i.ravel()], "other": names[j.ravel()], "total": sums.ravel(), "n": hot.sum(axis=0).astype(int)[j.ravel()]})
-
-    sums = _tiles(own, own, run, "id long, label string, other string, total double, n long").groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+def forest(df: DataFrame, eps: list[float]) -> DataFrame:
+    """(id, neighbor, w): forests() of points with a column core."""
+    return forests(df.select("id", "vec", F.array("core").alias("cores")), eps).drop("variant")
+
+
+def _silhouettes(sums: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, label, s) from (*by, label, other, total, n): sums of distances to each label."""
+    sums = sums.groupBy(*by, "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mine = F.col("label") == F.col("other")
-    each = sums.groupBy("id", "label").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
-    return each.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s"))
+    each = sums.groupBy(*by, "label").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
+    return each.select(*by, "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s"))
 
 
-def davies_bouldin(df: DataFrame) -> DataFrame:
-    """One row (db): the mean over clusters of the worst (S_i + S_j) / M_ij; centres are compared in tiles."""
-    own = df.where("label IS NOT NULL")
-    centers = group_mean(own, "label", "vec").select("label", "centroid")
-    spread = dealt_join(own, centers, "label", "id").withColumn("d", norm(F.zip_with("vec", "centroid", lambda x, y: x - y))).groupBy("label").agg(F.avg("d").alias("s"))
-    clusters = spread.join(centers, "label").select(F.xxhash64("label").alias("id"), "label", "s", F.col("centroid").alias("vec"))
+def silhouettes(df: DataFrame) -> DataFrame:
+    """(id, cut, label, s) for each place of the array column `labels` of strings, Euclidean; 0 for a singleton's; NULL labels are left out.
+
+    One pass of distances for all places."""
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(p):
+            d = np.concatenate([np.sqrt(d) for _, d, _ in _strips(_matrix(q), _matrix(p))])
+            own, other = (np.array(x["labels"].tolist(), object) for x in (q, p))
+            for cut in range(own.shape[1]):
+                rows, columns = (np.flatnonzero([y is not None for y in x[:, cut]]) for x in (own, other))
+                if len(rows) and len(columns):
+                    names, code = np.unique(other[columns, cut].astype(str), return_inverse=True)
+                    hot = np.eye(len(names))[code]
+                    sums = d[np.ix_(rows, columns)] @ hot
+                    i, j = np.indices(sums.shape)
+                    found.append(pd.DataFrame({"id": q["id"].to_numpy()[rows][i.ravel()], "cut": cut, "label": own[rows, cut][i.ravel()], "other": names[j.ravel()], "total": sums.ravel(), "n": hot.sum(axis=0).astype(int)[j.ravel()]}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "cut": [], "label": [], "other": [], "total": [], "n": []})
+
+    own = df.select("id", "vec", "labels")
+    return _silhouettes(_tiles(own, own, run, "id long, cut int, label string, other string, total double, n long"), ["id", "cut"])
+
+
+def silhouette(df: DataFrame) -> DataFrame:
+    """(id, label, s) of labelled points; see silhouettes()."""
+    return silhouettes(df.where("label IS NOT NULL").select("id", "vec", F.array("label").alias("labels"))).drop("cut")
+
+
+def davies_bouldins(df: DataFrame) -> DataFrame:
+    """(cut, db) of points (id, cut, label, vec): the mean over a cut's clusters of the worst (S_i + S_j) / M_ij; centres are compared in tiles."""
+    own = df.where("label IS NOT NULL").withColumn("cluster_", F.concat_ws("|", F.col("cut").cast("string"), "label"))
+    centers = group_mean(own, "cluster_", "vec").select("cluster_", "centroid")
+    spread = dealt_join(own, centers, "cluster_", "id").withColumn("d", norm(F.zip_with("vec", "centroid", lambda x, y: x - y))).groupBy("cut", "cluster_").agg(F.avg("d").alias("s"))
+    clusters = spread.join(centers, "cluster_").select(F.xxhash64("cluster_").alias("id"), "cut", F.col("cluster_").alias("label"), "s", F.col("centroid").alias("vec"))
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(q) and len(p):
-            b, s, names = _matrix(p), p["s"].to_numpy(), p["label"].to_numpy()
-            for label, spread_, at in zip(q["label"], q["s"], _matrix(q)):
-                apart = names != label
+            b, s, names, cuts = _matrix(p), p["s"].to_numpy(), p["label"].to_numpy(), p["cut"].to_numpy()
+            for label, cut, spread_, at in zip(q["label"], q["cut"], q["s"], _matrix(q)):
+                apart = (names != label) & (cuts == cut)
                 if apart.any():
                     far = np.sqrt(((b[apart] - at) ** 2).sum(axis=1))
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        rows.append((label, float(np.nanmax(np.where(far > 0, (s[apart] + spread_) / far, np.inf)))))
-        return pd.DataFrame(rows, columns=["label", "worst"])
+                        rows.append((label, cut, float(np.nanmax(np.where(far > 0, (s[apart] + spread_) / far, np.inf)))))
+        return pd.DataFrame(rows, columns=["label", "cut", "worst"])
+
+    worst = _tiles(clusters, clusters, run, "label string, cut int, worst double")
+    return worst.groupBy("cut", "label").agg(F.max("worst").alias("worst")).groupBy("cut").agg(F.avg("worst").alias("db"))
 
-    worst = _tiles(clusters, clusters, run, "label string, worst double")
-    return worst.groupBy("label").agg(F.max("worst").alias("worst")).agg(F.avg("worst").alias("db"))
+
+def davies_bouldin(df: DataFrame) -> DataFrame:
+    """One row (db) of points (id, label, vec); see davies_bouldins()."""
+    return davies_bouldins(df.withColumn("cut", F.lit(0))).agg(F.max("db").alias("db"))
 
 
 def mixing(near: DataFrame, labels: DataFrame) -> DataFrame:
