@@ -208,20 +208,28 @@ def bitmap(slots: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def row_key(id_: str | Column, digest: str | Column) -> Column:
+    """A row's id and the md5 of its text as one string, which no two different rows share."""
+    one = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.concat_ws("|", F.coalesce(one(id_).cast("string"), F.lit("")), one(digest))
+
+
 def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose key (a hash) isn't in the column gone_key of gone; no column is added or lost.
+    """The rows of docs whose key (a string) isn't in the column gone_key of gone; no column is added or lost.
 
-    A bitmap of fixed size tells for most rows that they stay; only the others are shuffled, with their
-    texts, to meet gone itself."""
+    A bitmap of fixed size over hashes of keys tells for most rows that they stay; only the others are
+    shuffled, with their texts, to meet the keys themselves."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bitmap(gone.select(F.shiftrightunsigned("gone_key", 64 - BITS).alias("slot"))))
+    slot = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - BITS)
+    bits = spark.sparkContext.broadcast(bitmap(gone.select(slot("gone_key").alias("slot"))))
 
     @F.pandas_udf("boolean")
-    def doubtful(keys: pd.Series) -> pd.Series:
-        slot = keys.to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
-        return pd.Series(bits.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1)
+    def doubtful(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
 
-    return docs.where(~doubtful(key)).union(docs.where(doubtful(key)).join(gone, key == gone["gone_key"], "left_anti"))
+    some = doubtful(slot(key))
+    return docs.where(~some).union(docs.where(some).join(gone, key == gone["gone_key"], "left_anti"))
 
 
 def blocks(df: DataFrame, key: str, row: str, most: int) -> DataFrame:

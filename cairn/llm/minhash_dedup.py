@@ -213,11 +213,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     their own component. Repeated texts fall in one class before anything is compared. Ids must be
     integers. A row without an id links with nothing, has no component_id and is kept; rows that share an
     id are one document, each with the component of its own text; with text_key a column of that name,
-    xxhash64 of the text, tells them apart. Other columns are not read."""
+    the md5 of the text (null: of an empty one), tells them apart. Other columns are not read."""
     session(docs)
     kind = docs.schema[id_column].dataType
-    src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("text_key"))
-    signed = save(src.mapInArrow(_signatures(*banding(percent)), "id long, text_key long, n_shingles long, digest binary, low binary, bands array<long>"))
+    key = F.md5(F.coalesce(F.col(text_column), F.lit(""))) if text_key else F.lit(None).cast("string")
+    src = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), key.alias("text_key"))
+    signed = save(src.mapInArrow(_signatures(*banding(percent)), "id long, text_key string, n_shingles long, digest binary, low binary, bands array<long>"))
     some = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = save(some.groupBy("digest").agg(F.min(F.struct("id", "low", "bands")).alias("first")).select("digest", "first.*"))
     cut = _cut(percent / 100)
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id
     found = components(_in_blocks(met, "place", _confirmed("place", cut, percent))).withColumnsRenamed({"node": "first_id", "component": "component_"})
     forget(met, joined)
     firsts = classes.select("digest", F.col("id").alias("first_id")).join(found, "first_id", "left").select("digest", F.coalesce("component_", "first_id").alias("component_id"))
-    out = dealt_join(signed.select("id", "text_key", "n_shingles", "digest"), firsts, "digest", "id", "left")
+    out = dealt_join(signed.select("id", *["text_key"] * text_key, "n_shingles", "digest"), firsts, "digest", "id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     kept = F.col("id").eqNullSafe(component).alias("kept")
     return out.select(F.col("id").cast(kind).alias(id_column), "n_shingles", component.cast(kind).alias("component_id"), kept, *["text_key"] * text_key)

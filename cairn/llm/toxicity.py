@@ -6,7 +6,7 @@ voters (how many words, how dense the stems are, shouting) vote on every text of
 generative model estimates by expectation-maximisation, from the vote patterns alone, each voter's rates in
 toxic and other texts, and from the correlations that remain between voters how much of each vote is new.
 A linear classifier over the words and stems of texts is trained on its posterior labels; labels reach it
-through the lexicons only."""
+through the lexicons, and through the choice of its shrinkage by parts of the learning rows."""
 
 import math
 import re
@@ -15,6 +15,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ DENSE = (0.012, 0.025)
 #: Words that a text is taken to have at least where shares are told, so that one word of a short text is not dense.
 SHORT = 100
 VOTERS = 2 * SOURCES + 5
+#: Shrinkages that are tried, and parts of the learning rows of which each is scored by models of the others.
+SHRINKAGES, PARTS = (1e-4, 1e-5, 1e-3, 1e-6), 2
 
 
 #: Bytes of text whose terms a task counts at once, as a term takes far more memory than its letters.
@@ -184,25 +187,50 @@ def _featured(index: dict[str, int], heads: set[str]):
         for batch in batches:
             rows = [sorted((index[t], v) for t, v in features(*matches(text or "", index, heads)).items()) for text in batch.column("text").to_pylist()]
             at, values = [[i for i, _ in r] for r in rows], [[v for _, v in r] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("post"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["post", "at", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("post"), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["part", "post", "at", "values"])
 
     return run
 
 
-def fit(rows: DataFrame, terms: set[str]) -> dict[str, float]:
-    """Weights of the linear classifier: logistic regression on rows (text, post), each a toxic one of weight post and another of the rest. "!" is the intercept."""
+def _vectors(made: DataFrame, index: dict[str, int], heads: set[str]) -> DataFrame:
+    """(part, post, features) of rows (text, part, post)."""
+    size = len(index)
+    sparse = F.udf(lambda at, values: Vectors.sparse(size, at, values), VectorUDT())  # no built-in makes sparse vectors; FITTED or SAMPLE rows or so
+    out = made.select("text", "part", "post").mapInArrow(_featured(index, heads), "part int, post double, at array<int>, values array<double>")
+    return out.select("part", "post", sparse("at", "values").alias("features"))
+
+
+def fit(rows: DataFrame, terms: set[str], known: DataFrame | None = None, chosen: dict | None = None) -> dict[str, float]:
+    """Weights of the linear classifier: logistic regression on rows (text, post), each a toxic one of weight post and another of the rest. "!" is the intercept.
+
+    known: labelled rows (text, label) of the learning fold. The shrinkage is the one of SHRINKAGES with the least
+    log loss on them, each scored by a model that has not seen its PARTS of texts; without such rows it is the
+    first. `chosen`, if given, gets the losses by shrinkage."""
     total = rows.agg(F.count("*").alias("n"), F.sum("post").alias("yes")).first()
     if not terms or not total["n"] or not 1e-6 < total["yes"] < total["n"] - 1e-6:
         return {"!": -4.0}
     index = {t: i for i, t in enumerate(sorted(terms))}
     _, heads = dictionary({0: terms})
-    size = len(index)
-    made = rows.select("text", "post").mapInArrow(_featured(index, heads), "post double, at array<int>, values array<double>")
-    sparse = F.udf(lambda at, values: Vectors.sparse(size, at, values), VectorUDT())  # no built-in makes sparse vectors; FITTED rows or so
-    made = made.select("post", sparse("at", "values").alias("features"))
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")
+    made = _vectors(rows.select("text", part.alias("part"), "post"), index, heads)
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("post").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("post")).alias("weight"))))
-    both = save(made.select("features", sides.alias("side")).select("features", "side.*").where("weight > 0.001"))
-    model = LogisticRegression(regParam=2e-5, elasticNetParam=0.0, standardization=False, maxIter=100, weightCol="weight").fit(both)
+    both = save(made.select("part", "features", sides.alias("side")).select("part", "features", "side.*").where("weight > 0.001"))
+
+    def trained(data: DataFrame, shrinkage: float):
+        return LogisticRegression(regParam=shrinkage, elasticNetParam=0.0, standardization=False, maxIter=100, weightCol="weight").fit(data)
+
+    losses = dict.fromkeys(SHRINKAGES, 0.0)
+    tests = None if known is None else save(_vectors(known.select("text", part.alias("part"), F.col("label").cast("double").alias("post")), index, heads))
+    for p in range(PARTS if tests is not None else 0):
+        own, rest = tests.where(F.col("part") == p), both.where(F.col("part") != p)
+        if rest.select("label").distinct().count() < 2:
+            continue
+        for shrinkage in SHRINKAGES:
+            right = vector_to_array("probability")[F.col("post").cast("int")]
+            losses[shrinkage] += trained(rest, shrinkage).transform(own).agg(F.sum(-F.log(F.greatest(right, F.lit(1e-12))))).first()[0] or 0.0
+    if chosen is not None:
+        chosen.update(losses)
+    model = trained(both, min(SHRINKAGES, key=losses.get))
     w = model.coefficients.toArray()
     return {"!": float(model.intercept)} | {t: float(w[i]) for t, i in index.items() if w[i]}
 
@@ -221,13 +249,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
     texts = docs.select(id_column, F.col(text_column).alias("text"))
     sample = texts.join(marked.where(nth < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))), id_column)
     source = F.pmod(F.xxhash64(F.lit("source"), F.col(id_column)), F.lit(SOURCES)).cast("int")
-    bits, heads = dictionary(lexicons(save(sample.select("text", F.col("label_").alias("label"), source.alias("source")))))
+    marked = save(sample.select("text", F.col("label_").alias("label"), source.alias("source")))
+    bits, heads = dictionary(lexicons(marked))
     seen = save(texts.select("text").mapInArrow(_voted(bits, heads), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")))
     counts = {r["pattern"]: r["n"] for r in seen.collect()}  # at most 3 ** VOTERS, whatever the corpus
     post, total = label_model(counts), sum(counts.values())
     part = F.pmod(F.xxhash64(F.lit("posterior"), F.col(id_column)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FITTED / max(total, 1)))
     rows = save(texts.where(part).select("text").mapInArrow(_posteriors(bits, heads, post), "text string, post double, label int, source int"))
-    return fit(rows, lexicons(rows).get(0, set()) | set(bits))
+    return fit(rows, lexicons(rows).get(0, set()) | set(bits), marked)
 
 
 def _scored(weights: dict[str, float]):

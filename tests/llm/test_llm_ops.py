@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, embedding_dedup, html_extraction, language_id, minhash_dedup, mixing, pii, quality, token_counts, toxicity
 
@@ -140,12 +141,22 @@ def test_pipeline(spark):
     assert 0 < len(ids) == len(out) < docs.count() and all(r["taken"] <= 2 * r["size"] for r in out)
 
 
-@pytest.mark.parametrize("query, label, least", [(toxicity.op5_toxicity, "toxic", 0.9), (language_id.op7_language_id, "lang", 0.9)])
-def test_held_out_labels(spark, query, label, least):
+def _held_out(spark, query, table_, label):
     d = "/root/testdata/sf0.01"
-    known = spark.read.parquet(f"{d}/{'labels' if label == 'toxic' else 'documents'}.parquet").select("doc_id", label)
-    got = query(spark, d).where("held_out").join(known.where(f"{label} IS NOT NULL"), "doc_id")
-    assert got.where(f"{'predicted' if label == 'toxic' else 'lang_pred'} = {label}").count() >= least * got.count() > 0
+    known = spark.read.parquet(f"{d}/{table_}.parquet").select("doc_id", label).where(f"{label} IS NOT NULL")
+    return query(spark, d).where("held_out").join(known, "doc_id")
+
+
+def test_held_out_languages(spark):
+    got = _held_out(spark, language_id.op7_language_id, "documents", "lang")
+    for lang, n, right in got.groupBy("lang").agg(F.count("*"), F.count(F.when(F.col("lang") == F.col("lang_pred"), 1))).collect():
+        assert right >= 0.9 * n > 0, lang
+
+
+def test_held_out_toxicity(spark):
+    """Few toxic texts a language teach at this size; what is found must be right, and most of it found."""
+    by = {r["toxic"]: (r["n"], r["said"]) for r in _held_out(spark, toxicity.op5_toxicity, "labels", "toxic").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("said")).collect()}
+    assert by[1][1] >= 0.5 * by[1][0] > 0 and by[0][1] <= 0.02 * by[0][0]
 
 
 def test_base_spans_match_patterns():

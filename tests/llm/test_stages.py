@@ -115,3 +115,32 @@ def test_run_leaves_only_its_last_tables(spark):
     rows = pipeline.run(spark, D).count()
     made = set(os.listdir(shared_dir(spark))) - before
     assert rows > 0 and len(made) <= 6
+
+
+def test_rows_that_share_a_slot_with_a_gone_one_stay(spark, monkeypatch):
+    """A bitmap so small that most rows share a slot with a gone one: only the very id and text go."""
+    from pyspark.sql import functions as F
+
+    from cairn.llm import _shared
+
+    monkeypatch.setattr(_shared, "BITS", 15)
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"), F.lit("k").alias("gone_key"))
+    docs = docs.union(spark.createDataFrame([(None, "t1", "k"), (5, "other", "k"), (5, None, "k")], "doc_id long, text string, gone_key string"))
+    key = _shared.row_key(docs["doc_id"], F.md5(F.coalesce(docs["text"], F.lit(""))))
+    gone = docs.where("doc_id % 2 = 1 AND text LIKE 't%'").select(key.alias("gone_key"))
+    left = _shared.without(docs, key, gone)
+    assert left.columns == docs.columns and left.count() == 30_003
+    assert left.where("doc_id % 2 = 1").count() == 2 and left.where("doc_id IS NULL").count() == 1
+
+
+def test_shrinkage_is_chosen_on_learning_rows(spark, monkeypatch):
+    """The least loss on labelled texts of the other part wins; without labelled rows it is the first."""
+    from cairn.llm import toxicity
+
+    rows = [(f"word{i % 50} " + ("bad" if i % 3 == 0 else "good") + f" x{i}", 0.97 if i % 3 == 0 else 0.02) for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, post double")
+    known = df.selectExpr("text", "int(post > 0.5) AS label")
+    monkeypatch.setattr(toxicity, "SHRINKAGES", (10.0, 1e-4))
+    chosen = {}
+    assert toxicity.fit(df, {"bad", "good"}, known, chosen)["bad"] > 1
+    assert chosen[1e-4] < chosen[10.0] and toxicity.fit(df, {"bad", "good"})["bad"] < 1
