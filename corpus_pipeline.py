@@ -1,10 +1,10 @@
 """The corpus pipeline: documents in, the training mix out. Each stage is one operator of cairn.llm."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, minhash_dedup, mixing, pii, quality
-from cairn.llm._shared import forget, save, scratch, table, without
+from cairn.llm._shared import forget, row_key, save, scratch, table, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,20 +17,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, model, name=score).where(F.col(score) >= quality.ACCEPT).drop(score)
 
 
+def _key(docs: DataFrame) -> Column:
+    return row_key(docs["doc_id"], F.md5(F.coalesce(docs["text"], F.lit(""))))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more): the one with the smallest id.
 
     Rows without an id stay, as do null and empty texts. Rows that share an id are judged each by its own
     text, so that one can go and another stay; repeated rows share their fate."""
     with scratch(spark) as keep:
-        gone = save(minhash_dedup.near_duplicates(docs, percent=80, text_key=True).where("NOT kept").select(F.xxhash64("doc_id", "text_key").alias("gone_key")).distinct())
+        gone = save(minhash_dedup.near_duplicates(docs, percent=80, text_key=True).where("NOT kept").select(row_key("doc_id", "text_key").alias("gone_key")).distinct())
         keep(gone)
-    return without(docs, F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"])), gone)
+    return without(docs, _key(docs), gone)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks. Each row is judged by its own text, those without an id or with a repeated one too."""
-    key = F.xxhash64(docs["doc_id"], docs["text"])
+    key = _key(docs)
     with scratch(spark) as keep:
         rows = docs.select(key.alias("row_key"), docs["text"])
         gone = save(decontamination.leaks(rows, table(spark, sf_dir, "benchmark"), id_column="row_key").select(F.col("row_key").alias("gone_key")).distinct())
