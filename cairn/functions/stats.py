@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.tables import before
+from cairn.operators.tables import before, number, save
 
 
 def crosstab(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -80,9 +80,9 @@ def kruskal(df: DataFrame, group: str, value: str, least: int = 10) -> DataFrame
     """One row (groups, n, h, dof, underpowered, p): H with average ranks and tie correction over all groups.
 
     With fewer than two groups of at least `least` values the test is underpowered, and h, dof and p are
-    NULL, as they are where all values are equal. Ranks come from counts of distinct values, within ranges."""
-    own = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("x"))
-    counts = own.groupBy("x", "g").agg(F.count("*").alias("n"))
+    NULL, as they are where all values are equal. Ranks come from counts of distinct values, within ranges; NULL and NaN are no values."""
+    own = df.select(F.col(group).alias("g"), number(value).alias("x")).where("g IS NOT NULL AND x IS NOT NULL")
+    counts = save(own.groupBy("x", "g").agg(F.count("*").alias("n")))
     values = counts.groupBy("x").agg(F.sum("n").alias("t"))
     ranked = before(values, "x", F.col("t")).select("x", "t", (F.col("before") + (F.col("t") + 1) / 2).alias("rank"))
     tie = F.when(F.min("g").over(Window.partitionBy("x")) == F.col("g"), F.pow(F.col("t").cast("double"), 3) - F.col("t")).otherwise(0.0)

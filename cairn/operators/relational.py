@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.tables import before, dealt_join
+from cairn.operators.tables import before, dealt_join, number
 
 #: Levels that a display table (dense crosstab, one column a level) may have.
 LEVELS = 10_000
@@ -94,8 +94,8 @@ def fill_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
-    """(bin, n) of equal bins, the last closed on both sides; values outside a given range are dropped."""
-    own = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    """(bin, n) of equal bins, the last closed on both sides; values outside a given range are dropped, as are NULL and NaN."""
+    own = df.select(number(value).alias("x")).where("x IS NOT NULL")
     if low is None or high is None:
         low, high = own.agg(F.min("x"), F.max("x")).first()
         if low is None:
@@ -127,8 +127,8 @@ def one_hot(df: DataFrame, key: str, prefix: str) -> DataFrame:
 
 
 def median(df: DataFrame, column: str) -> DataFrame:
-    """One row (median): the exact one, from counts of distinct values in ranges; NULL without values."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("t"))
+    """One row (median): the exact one, from counts of distinct values in ranges; NULL and NaN are no values; NULL without values."""
+    values = df.select(number(column).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("t"))
     total = values.agg(F.sum("t").alias("total"))
     at = before(values, "x", F.col("t")).join(F.broadcast(total))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
@@ -137,9 +137,9 @@ def median(df: DataFrame, column: str) -> DataFrame:
 
 
 def median_fill(df: DataFrame, column: str) -> DataFrame:
-    """df with NULLs of a numeric column replaced by its exact median."""
+    """df with NULLs and NaNs of a numeric column replaced by its exact median."""
     mid = median(df, column).withColumnRenamed("median", "median_")
-    return df.join(F.broadcast(mid)).withColumn(column, F.coalesce(F.col(column).cast("double"), "median_")).drop("median_")
+    return df.join(F.broadcast(mid)).withColumn(column, F.coalesce(number(column), "median_")).drop("median_")
 
 
 def missing_keys(ids: DataFrame, have: DataFrame, key: str) -> DataFrame:

@@ -72,20 +72,25 @@ def dealt_join(df: DataFrame, facts: DataFrame, key: str, row: str | Column, how
     return dealt.join(held, [key, "deal_"], how).drop("deal_")
 
 
-def before(df: DataFrame, order: str, weight: Column, name: str = "before", parts: int = 256) -> DataFrame:
-    """df, whose `order` is not null and unique, with the sum of weight over all rows of a smaller `order`.
-
-    Rows are ranked within ranges, whose bounds are values of `order` chosen by hash; only the bounds reach
-    the driver, and only one sum for each range meets in one task. The bounds decide balance, not results."""
-    bounds = sorted(r[0] for r in df.select(order).orderBy(F.xxhash64(order), order).limit(parts).collect())
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    ranged = df.withColumn("range_", place).withColumn("weight_", weight)
-    sums = ranged.groupBy("range_").agg(F.sum("weight_").alias("sum_"))
-    running = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # parts + 1 rows
-    starts = sums.select("range_", F.coalesce(F.sum("sum_").over(running), F.lit(0)).alias("start_"))
+def before(df: DataFrame, order: str, weight: Column, name: str = "before", more: dict[str, Column] | None = None) -> DataFrame:
+    """df, whose `order` is not null and unique, with the sum of weight over all rows of a smaller `order`; more: further sums by name.
+
+    The input runs once: it is dealt into ranges of `order` and saved. One row of sums for each range meets in one task."""
+    weights = {name: weight, **(more or {})}
+    own = df.select("*", *(w.alias(f"weight_{i}") for i, w in enumerate(weights.values())))
+    ranged = save(own.repartitionByRange(F.col(order)).withColumn("range_", F.spark_partition_id()))
+    sums = ranged.groupBy("range_").agg(*(F.sum(f"weight_{i}").alias(f"sum_{i}") for i in range(len(weights))))
+    running = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shuffle partition at most
+    starts = sums.select("range_", *(F.coalesce(F.sum(f"sum_{i}").over(running), F.lit(0)).alias(f"start_{i}") for i in range(len(weights))))
     inside = Window.partitionBy("range_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.join(F.broadcast(starts), "range_")
-    return out.withColumn(name, F.col("start_") + F.coalesce(F.sum("weight_").over(inside), F.lit(0))).drop("range_", "weight_", "start_")
+    return out.select(*df.columns, *((F.col(f"start_{i}") + F.coalesce(F.sum(f"weight_{i}").over(inside), F.lit(0))).alias(n) for i, n in enumerate(weights)))
+
+
+def number(column: str | Column) -> Column:
+    """A numeric column as doubles, NaN as NULL."""
+    x = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -91,7 +91,7 @@ def test_tail_decreases(xs, k):
 def test_running_sums_and_medians_do_not_depend_on_partitions(spark):
     for n in (1, 3, 7):
         df = spark.range(1000).withColumn("x", F.col("id") * 3 % 1009).repartition(n)
-        got = {r["x"]: r["before"] for r in tables.before(df, "x", F.lit(2), parts=16).collect()}
+        got = {r["x"]: r["before"] for r in tables.before(df, "x", F.lit(2)).collect()}
         assert got == {x: 2 * i for i, x in enumerate(sorted(got))}
     words = spark.createDataFrame([("b",), ("a",), (None,), ("é",), ("B",), ("a",)], "k string")
     assert {r["k"]: r["code"] for r in relational.codes(words, "k").collect()} == {"B": 0, "a": 1, "b": 2, "é": 3}
@@ -252,3 +252,33 @@ def test_reports_and_grids(spark):
     assert [tuple(r) for r in good.collect()] == [(1, 5)] and sorted(map(tuple, bad.collect())) == [(2, "why"), (3, "?")]
     assert relational.without_noise(spark.createDataFrame([(1, -1), (2, 0), (3, None)], "id int, c int"), "c").count() == 1
     assert stats.adjusted_rand(spark.createDataFrame([], "a int, b int"), "a", "b").first()["ari"] is None
+
+
+def test_not_a_number_is_no_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan,), (1.0,), (2.0,), (None,)], "x double")
+    assert relational.median(df, "x").first()["median"] == 1.5
+    assert sorted(r["x"] for r in relational.median_fill(df, "x").collect()) == [1.0, 1.5, 1.5, 2.0]
+    assert sorted(map(tuple, relational.histogram(df, "x", 2).collect())) == [(0, 1), (1, 1)]
+    rows = [(g, float(i % 7) + (g == "b")) for g in "ab" for i in range(15)]
+    with_nan = spark.createDataFrame(rows + [("a", nan), ("b", nan), ("b", None)], "g string, x double")
+    assert stats.kruskal(with_nan, "g", "x").first() == stats.kruskal(spark.createDataFrame(rows, "g string, x double"), "g", "x").first()
+
+
+def test_points_that_are_no_numbers_leave_others_alone(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, str(i % 2), (rng.standard_normal(2) + 5 * (i % 2)).tolist()) for i in range(12)]
+    odd = [(90, "0", [float("nan"), 1.0]), (91, "1", [float("inf"), 1.0]), (92, "1", [None, 1.0])]
+    both = [vectors.points(spark.createDataFrame(r, "k long, l string, v array<double>"), "k", "v", "l") for r in (rows, rows + odd)]
+    for run in (lambda p: vectors.nearest(p, p, 3), vectors.silhouette, vectors.davies_bouldin, lambda p: models.density_clusters(p, 3, 3.0, 3)):
+        want, got = (sorted(map(tuple, run(p).collect())) for p in both)
+        assert got == want and got
+
+
+@pytest.mark.parametrize("stop,pure,want", [(0.0, 0.4, [3, 2, 1]), (0.0, 0.7, [2, 1, 0]), (0.9, 0.4, [3])])
+def test_exclusion_ends_where_every_batch_is_a_candidate(spark, stop, pure, want):
+    """Three batches that V never tells apart enough: the trace goes on while a batch is left."""
+    rows = [(b, l) for b, l, n in (("x", "p", 80), ("x", "q", 20), ("y", "q", 90), ("y", "p", 30), ("z", "p", 60), ("z", "q", 50)) for _ in range(n)]
+    trace = gates.exclusion_trace(spark.createDataFrame(rows, "b string, l string"), "b", "l", stop, pure).orderBy("step").collect()
+    assert [r["candidates"] for r in trace] == want and trace[-1]["dropped"] is None
+    assert [r["dropped"] for r in trace[:-1]] == sorted((r["dropped"] for r in trace[:-1]), key="yzx".index if pure < 0.6 else "yx".index)
