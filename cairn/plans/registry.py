@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import stats
-from cairn.operators import gates, hierarchy, media, models, relational, sampling, vectors
+from cairn.operators import gates, hierarchy, media, models, passes, relational, sampling, vectors
 from cairn.operators.tables import dealt_join
 
 QUERIES: dict = {}
@@ -382,6 +382,13 @@ def combat(spark, d):
     return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
 
 
+@query()
+def harmony(spark, d):
+    """Vectors without the batch effects of their soft clusters."""
+    out = passes.harmony(_t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5), "vec_id", "embedding", "batch")
+    return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
+
+
 @query()
 def combat_covariates(spark, d):
     own = _t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5).withColumn("age", F.col("vec_id") % 7).withColumn("sex", (F.col("label") % 2).cast("double"))
@@ -811,6 +818,13 @@ def combat(spark, d):
     return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
 
 
+@query()
+def harmony(spark, d):
+    """Vectors without the batch effects of their soft clusters."""
+    out = passes.harmony(_t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5), "vec_id", "embedding", "batch")
+    return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
+
+
 @query()
 def combat_covariates(spark, d):
     own = _t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5).withColumn("age", F.col("vec_id") % 7).withColumn("sex", (F.col("label") % 2).cast("double"))
