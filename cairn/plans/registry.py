@@ -354,6 +354,12 @@ def pca_projection(spark, d):
     return models.pca(_t(spark, d, "embeddings"), "embedding", 2).select("vec_id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
 
 
+@query()
+def seed_sensitivity(spark, d):
+    """Clusters of five seeded projections to eight directions."""
+    return models.seed_sensitivity(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding"), 8, [0, 1, 2, 3, 4], 4, 0.25, 5).withColumn("ari", _r("ari"))
+
+
 @query("SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '0', CAST(vec_id AS VARCHAR))), vec_id) - 1) % 5 AS INTEGER) AS fold FROM embeddings WHERE label IS NOT NULL")
 def probe_folds(spark, d):
     return models.probe_folds(_t(spark, d, "embeddings"), "label", "vec_id").select("vec_id", "label", "fold")
@@ -392,7 +398,8 @@ def harmony(spark, d):
 @query()
 def combat_covariates(spark, d):
     own = _t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5).withColumn("age", F.col("vec_id") % 7).withColumn("sex", (F.col("label") % 2).cast("double"))
-    return models.combat(own, "vec_id", "embedding", "batch", covariates=["age", "sex"])
+    own = own.withColumn("site", F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string")))
+    return models.combat(own, "vec_id", "embedding", "batch", covariates=["age", "sex", "site"])
 
 
 _CLUSTERS = f"""WITH RECURSIVE {_PAIRS}), core AS (SELECT id FROM (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS k FROM q) WHERE k = 4 AND dist <= 0.9),
@@ -828,7 +835,8 @@ def harmony(spark, d):
 @query()
 def combat_covariates(spark, d):
     own = _t(spark, d, "embeddings").withColumn("batch", F.col("vec_id") % 5).withColumn("age", F.col("vec_id") % 7).withColumn("sex", (F.col("label") % 2).cast("double"))
-    return models.combat(own, "vec_id", "embedding", "batch", covariates=["age", "sex"])
+    own = own.withColumn("site", F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string")))
+    return models.combat(own, "vec_id", "embedding", "batch", covariates=["age", "sex", "site"])
 
 
 _CLUSTERS = f"""WITH RECURSIVE {_PAIRS}), core AS (SELECT id FROM (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS k FROM q) WHERE k = 4 AND dist <= 0.9),
