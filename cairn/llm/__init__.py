@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from cairn.llm import centroid_clustering, mixing, topk_search
+from cairn.llm import centroid_clustering, embedding_dedup, minhash_dedup, mixing, topk_search
 from cairn.llm.centroid_clustering import op13_centroid_clustering
 from cairn.llm.decontamination import op6_decontamination
 from cairn.llm.embedding_dedup import op8_embedding_dedup
@@ -23,4 +23,7 @@ QUERIES = {
         op11_token_alignment, op12_topk_search, op13_centroid_clustering,
     )
 }
-ORACLES = {"op4_mixing": mixing.ORACLE, "op12_topk_search": topk_search.ORACLE, "op13_centroid_clustering": centroid_clustering.ORACLE}
+ORACLES = {
+    "op3_minhash_dedup": minhash_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op8_embedding_dedup": embedding_dedup.ORACLE,
+    "op12_topk_search": topk_search.ORACLE, "op13_centroid_clustering": centroid_clustering.ORACLE,
+}

@@ -1,8 +1,9 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are cut at safe boundaries, where the tokenizer itself always cuts and no special token can lie
-across, so that the lengths of the pieces add up to the length of the whole and a text of any length is
-encoded in bounded memory. The distinct pieces of an Arrow batch are encoded in batches balanced by bytes,
+across, so that the lengths of the pieces add up to the length of the whole and long texts are encoded in
+bounded memory. What stays whole is a run of letters or of signs without white space (such as unspaced Japanese
+or a line of letters only), as the tokenizer takes it as one piece, too. The distinct pieces of an Arrow batch are encoded in batches balanced by bytes,
 and their lengths are remembered for the next ones up to a bound in bytes."""
 
 import json
