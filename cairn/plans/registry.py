@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import stats
-from cairn.operators import gates, hierarchy, media, models, passes, relational, sampling, vectors
+from cairn.operators import gates, graph, hierarchy, media, models, passes, relational, sampling, vectors
 from cairn.operators.tables import dealt_join
 
 QUERIES: dict = {}
@@ -215,6 +215,9 @@ _PAIRS = f"""p AS (SELECT vec_id, label, {_V} AS v FROM embeddings), q AS (SELEC
 round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id"""
 
 
+_VECTORS = f"p AS (SELECT vec_id, {_V} AS v FROM embeddings)"
+
+
 def _near(spark, d, k):
     p = vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding", "label")
     return p, vectors.nearest(p, p.where("id % 20 = 0"), k)
@@ -354,6 +357,27 @@ def pca_projection(spark, d):
     return models.pca(_t(spark, d, "embeddings"), "embedding", 2).select("vec_id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
 
 
+@query(f"""WITH RECURSIVE {_VECTORS}, q AS (SELECT a.vec_id AS id, b.vec_id AS nb, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 12) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+n AS (SELECT id, nb, dist, r FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM q) WHERE r <= 15), m AS (SELECT avg(dist) AS overall FROM n),
+d AS MATERIALIZED (SELECT id, list(dist ORDER BY r) AS d, coalesce(min(dist) FILTER (dist > 0), 0) AS rho, avg(dist) AS own FROM n GROUP BY 1),
+h(id, k, low, high, mid) AS (SELECT id, 0, 0.0::DOUBLE, 'inf'::DOUBLE, 1.0::DOUBLE FROM d UNION ALL
+SELECT id, k + 1, CASE WHEN s > log2(15) THEN low ELSE mid END, CASE WHEN s > log2(15) THEN mid ELSE high END, CASE WHEN s > log2(15) THEN (low + mid) / 2 WHEN high = 'inf'::DOUBLE THEN mid * 2 ELSE (mid + high) / 2 END
+FROM (SELECT h.id AS id, k, low, high, mid, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / mid))) AS s FROM h JOIN d ON d.id = h.id WHERE k < 64)),
+w AS (SELECT d.id AS id, rho, greatest(mid, 0.001 * CASE WHEN rho > 0 THEN own ELSE overall END) AS width FROM h JOIN d ON d.id = h.id, m WHERE k = 64),
+e AS (SELECT least(n.id, nb) AS a, greatest(n.id, nb) AS b, CASE WHEN dist <= rho OR width = 0 THEN 1 ELSE exp(-(dist - rho) / width) END AS w FROM n JOIN w ON w.id = n.id)
+SELECT a, b, round(sum(w) - CASE WHEN count(*) > 1 THEN max(w) * min(w) ELSE 0 END, 6) AS w FROM e GROUP BY 1, 2""")
+def neighbor_graph(spark, d):
+    """The fuzzy union of each point's 15 nearest."""
+    return graph.fuzzy_graph(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding"), 15).withColumn("w", _r("w"))
+
+
+@query()
+def spectral_layout(spark, d):
+    """Two directions of that graph, after few rounds; rounded, as signs and far digits depend on the order of sums."""
+    own = graph.spectral_layout(graph.fuzzy_graph(vectors.points(_t(spark, d, "embeddings"), "vec_id", "embedding"), 15), 2, rounds=10)
+    return own.withColumn("vec", F.transform("vec", lambda x: F.round(x, 4)))
+
+
 @query()
 def seed_sensitivity(spark, d):
     """Clusters of five seeded projections to eight directions."""
@@ -429,9 +453,6 @@ def _ari(x: str, a: str, b: str) -> str:
 {x}ari AS (SELECT n, CASE WHEN abs((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2.0)) < 1e-12 THEN 1.0 ELSE (s - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2.0)) END AS ari FROM {x}s, {x}a, {x}b)"""
 
 
-_VECTORS = f"p AS (SELECT vec_id, {_V} AS v FROM embeddings)"
-
-
 def _cut_metrics(x: str, ord_: int, eps: float) -> str:
     return f"""SELECT {ord_} AS ord, 4 AS min_samples, CAST({eps} AS DOUBLE) AS eps, n_clusters, noise_frac, round(CASE WHEN n_clusters >= 2 THEN silhouette END, 5) AS silhouette, round(CASE WHEN n_clusters >= 2 THEN davies_bouldin END, 5) AS davies_bouldin FROM
 (SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters, round(avg(CASE WHEN cluster = -1 THEN 1.0 ELSE 0.0 END), 6) AS noise_frac FROM {x}out),
