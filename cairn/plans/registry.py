@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cairn.functions import stats
 from cairn.operators import gates, graph, hierarchy, media, models, passes, relational, sampling, vectors
 from cairn.operators.tables import dealt_join
+from cairn.plans import protocol
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -412,6 +413,14 @@ def combat(spark, d):
     return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
 
 
+@query()
+def gated_protocol(spark, d):
+    """Gate, remedy, probe, correction and acceptance in one run; batches are made from ids."""
+    own = _t(spark, d, "embeddings").withColumn("batch", (F.col("vec_id") % 5).cast("string"))
+    verdict = protocol.run(own, "vec_id", "embedding", "batch", "label")[0]
+    return verdict.select("confounding", _r("v").alias("v"), "scheme", "n", _r("batch_acc", 3).alias("batch_acc"), "chance", "signal", "used", "passed")
+
+
 @query()
 def harmony(spark, d):
     """Vectors without the batch effects of their soft clusters."""
@@ -846,6 +855,14 @@ def combat(spark, d):
     return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 5)))
 
 
+@query()
+def gated_protocol(spark, d):
+    """Gate, remedy, probe, correction and acceptance in one run; batches are made from ids."""
+    own = _t(spark, d, "embeddings").withColumn("batch", (F.col("vec_id") % 5).cast("string"))
+    verdict = protocol.run(own, "vec_id", "embedding", "batch", "label")[0]
+    return verdict.select("confounding", _r("v").alias("v"), "scheme", "n", _r("batch_acc", 3).alias("batch_acc"), "chance", "signal", "used", "passed")
+
+
 @query()
 def harmony(spark, d):
     """Vectors without the batch effects of their soft clusters."""
