@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.tables import before, number, save
+from cairn.operators.tables import before, dealt_join, number, save
 
 
 def crosstab(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -17,11 +17,14 @@ def crosstab(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
 def chi_square(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row (*by, n, rows, cols, chi2, dof) of each long table; Yates' correction for 2 x 2 only.
 
-    One pass over the cells: their margins are window sums, all else is one aggregate. In a 2 x 2 table every
-    cell is as far from its expectation as any other, so that one cell tells the correction."""
-    row, col = Window.partitionBy(*by, "a"), Window.partitionBy(*by, "b")
-    cells = table.withColumn("r", F.sum("n").over(row)).withColumn("new_r", F.min("b").over(row) == F.col("b"))
-    cells = cells.withColumn("c", F.sum("n").over(col)).withColumn("new_c", F.min("a").over(col) == F.col("a"))
+    Margins are sums of saved cells, joined to them so that no label's cells meet in one task. In a 2 x 2 table
+    every cell is as far from its expectation as any other, so that one cell tells the correction."""
+    saved = save(table.select(*by, "a", "b", "n"))
+    cells = saved
+    for side, other, total in (("a", "b", "r"), ("b", "a", "c")):
+        key = F.struct(*by, side)
+        sums = saved.groupBy(key.alias("key_")).agg(F.sum("n").alias(total), F.min(other).alias("first_"))
+        cells = dealt_join(cells.withColumn("key_", key), sums, "key_", other).withColumn(f"new_{total}", F.col("first_") == F.col(other)).drop("key_", "first_")
     part = cells.groupBy(*by).agg(
         F.sum("n").alias("n"), F.count(F.when(F.col("new_r"), 1)).alias("rows"), F.count(F.when(F.col("new_c"), 1)).alias("cols"),
         F.sum(F.col("n").cast("double") * F.col("n") / (F.col("r").cast("double") * F.col("c"))).alias("s"),

@@ -9,6 +9,8 @@ from cairn.operators.tables import before, dealt_join, number
 
 #: Levels that a display table (dense crosstab, one column a level) may have.
 LEVELS = 10_000
+#: Most rows that a report gathers in one row.
+REPORT = 10_000
 
 
 def cohort(meta: DataFrame, present: DataFrame, key: str, where: Column) -> DataFrame:
@@ -172,14 +174,20 @@ def unnested(df: DataFrame, column: str, outer: str = "outer", inner: str = "inn
     return df.select(F.explode(column).alias(outer, "in_")).select(outer, F.explode("in_").alias(inner, value))
 
 
+def _report(df: DataFrame, entries: Column, values: Column) -> DataFrame:
+    """One row (values) made from all rows of a report; more than REPORT of them are an error, found before they meet in a row."""
+    few = df.limit(REPORT + 1).agg(F.count("*").alias("n_"), F.array_sort(F.collect_list(entries)).alias("entries_"))
+    return few.select(F.when(F.col("n_") <= REPORT, values).otherwise(F.raise_error(F.lit(f"a report holds at most {REPORT} rows"))).alias("values"))
+
+
 def as_list(df: DataFrame, order: str, value: str) -> DataFrame:
-    """One row (values): the values by `order`. Meant for the few rows of a report."""
-    return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("values"))
+    """One row (values): the values by `order`, of at most REPORT rows."""
+    return _report(df, F.struct(F.col(order).alias("o"), F.col(value).alias("v")), F.transform("entries_", lambda s: s["v"]))
 
 
 def as_map(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row (values): a map by key, keys as strings, in their order. Meant for the few rows of a report."""
-    return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))).alias("values"))
+    """One row (values): a map by key, keys as strings, in their order, of at most REPORT rows."""
+    return _report(df, F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v")), F.map_from_entries("entries_"))
 
 
 def grid(spark, **axes: Sequence) -> DataFrame:

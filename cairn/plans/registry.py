@@ -1,12 +1,15 @@
 """Every query over the given tables, with its SQL. Doubles are rounded on both sides."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import stats
 from cairn.operators import gates, graph, hierarchy, media, models, passes, relational, sampling, vectors
-from cairn.operators.tables import dealt_join
+from cairn.operators.tables import dealt_join, shared_dir
 from cairn.plans import protocol
+from cairn.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1059,3 +1062,58 @@ def shades_of_gray(spark, d):
 def bad_rows(spark, d):
     own = _t(spark, d, "documents").select("doc_id", F.col("n_chars").between(200, 5000).alias("ok"), F.col("n_chars").alias("value"), F.when(F.col("n_chars") < 200, "short").otherwise("long").alias("reason"))
     return relational.split_bad(own, "ok", "value", "reason")[1]
+
+
+def _file(spark) -> str:
+    return f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, o_orderdate FROM orders")
+def csv_file(spark, d):
+    """Orders written as CSV and read back, with NaN for every seventh price."""
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    own, path = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", price.alias("price"), "o_orderdate"), _file(spark)
+    files.write_csv(own, path)
+    return files.csv(spark, path, own.schema)
+
+
+@query("SELECT source AS a, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
+def crosstab_file(spark, d):
+    """The crosstab of sources and languages written as a wide CSV and read back."""
+    path = _file(spark)
+    files.write_crosstab(stats.crosstab(_t(spark, d, "documents"), "source", "lang"), path, ["de", "en", "es", "fr"])
+    return files.csv(spark, path, "a string, de long, en long, es long, fr long")
+
+
+@query("SELECT 'orders' AS name, count(*) AS n, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
+def report_file(spark, d):
+    """A report of one row written as nested JSON and read back."""
+    one, path = _t(spark, d, "orders").agg(F.lit("orders").alias("name"), F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high")), _file(spark)
+    files.write_report(one, path, {"price": ["mean", "low", "high"]})
+    return files.json(spark, path).select("name", "n", _r("price.mean", 4).alias("mean"), "price.low", "price.high")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE user_id = 8")
+def keyed_file(spark, d):
+    """Events written by a hash of the user, of which one user's are read from one folder."""
+    path = _file(spark)
+    files.write_keyed(_t(spark, d, "events").select("event_id", "user_id", "event_type", "value"), path, "user_id")
+    return files.read_keyed(spark, path, "user_id", 8).drop("user_id")
+
+
+@query("SELECT vec_id, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def vectors_file(spark, d):
+    """Vectors written one a row and read back."""
+    path = _file(spark)
+    files.write_vectors(_t(spark, d, "embeddings").select("vec_id", "embedding"), path)
+    total = F.aggregate(vectors.double("embedding"), F.lit(0.0), lambda s, x: s + x)
+    return spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("size"), _r(total, 4).alias("total"))
+
+
+@query("SELECT doc_id, len(embedding) AS size FROM labels JOIN embeddings ON doc_id = vec_id")
+def lookup_all_present(spark, d):
+    """A subset asserted, then its vectors looked up, where a missing one would be an error."""
+    have = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    ids = _t(spark, d, "labels").join(have, "doc_id", "left_semi").select("doc_id")
+    relational.require_none(relational.missing_keys(ids, _t(spark, d, "documents"), "doc_id"), "labelled ids have no document")
+    return vectors.lookup(ids, have, "doc_id", "embedding", "fail").select("doc_id", F.size("embedding").cast("long").alias("size"))

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairn.operators.tables import number
+
 
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    """A table with a header row; NaN is read as NULL, like an empty field."""
+    df = spark.read.schema(schema).csv(path, header=True)
+    return df.select(*(number(F.col(f"`{c}`")).cast(kind).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*", ordered: bool = False) -> DataFrame:

@@ -58,6 +58,20 @@ def test_chi_square_of_tables_side_by_side(spark):
     assert gates.exclusion_trace(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
 
+def test_chi_square_of_a_label_that_most_batches_hold(spark):
+    """One label in 3,000 batches, another in every tenth: margins don't depend on partitions, and equal sums over a dense table."""
+    cells = [(i, "hot", 3 + i % 4) for i in range(3000)] + [(i, "rare", 1 + i % 3) for i in range(0, 3000, 10)]
+    dense = np.zeros((3000, 2))
+    for a, b, n in cells:
+        dense[a, int(b == "rare")] = n
+    expected = dense.sum(1, keepdims=True) * dense.sum(0) / dense.sum()
+    want = ((dense - expected) ** 2 / expected).sum()
+    for parts in (1, 9):
+        r = stats.chi_square(spark.createDataFrame(cells, "a long, b string, n long").repartition(parts)).first()
+        assert (r["rows"], r["cols"], r["dof"], r["n"]) == (3000, 2, 2999, dense.sum()) and math.isclose(r["chi2"], want, rel_tol=1e-9)
+    assert stats.chi_square(spark.createDataFrame([], "a long, b string, n long")).first()["rows"] == 0
+
+
 def test_exclusion_with_ties_nulls_and_two_by_two_steps(spark):
     data = [("a", "x", 60), ("b", "y", 60), ("c", "x", 30), ("c", "y", 25), ("d", "x", 9), ("d", "y", 11), (None, "x", 5)]
     df = spark.createDataFrame([(a, b) for a, b, n in data for _ in range(n)], "a string, b string")
@@ -202,7 +216,7 @@ def test_vectors_missing_or_not_a_number(spark):
 
 
 def test_sources_and_sinks_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("b", 1, None), ("a", 2, 0.5)], "id string, n int, x double")
+    df = spark.createDataFrame([("b", 1, float("nan")), ("a", 2, 0.5)], "id string, n int, x double")  # NaN comes back as NULL
     files.write_csv(df, f"{tmp_path}/csv")
     assert sorted(map(tuple, files.csv(spark, f"{tmp_path}/csv", df.schema).collect())) == [("a", 2, 0.5), ("b", 1, None)]
     (tmp_path / "in").mkdir()
@@ -246,6 +260,11 @@ def test_media(spark):
 def test_reports_and_grids(spark):
     df = spark.createDataFrame([(2, "b", 0.2), (1, "a", 0.1)], "o int, k string, v double")
     assert relational.as_list(df, "o", "v").first()[0] == [0.1, 0.2] and relational.as_map(df, "k", "v").first()[0] == {"a": 0.1, "b": 0.2}
+    many = spark.range(relational.REPORT + 1).select("id", F.lit(1).alias("v"))
+    assert len(relational.as_list(many.where("id > 0"), "id", "v").first()[0]) == relational.REPORT and relational.as_list(many.limit(0), "id", "v").first()[0] == []
+    for gathered in (relational.as_list, relational.as_map):
+        with pytest.raises(Exception, match="report holds at most"):
+            gathered(many, "id", "v").collect()
     grid = relational.grid(spark, a=[1, 2], b=["x", "y", "z"])
     assert [tuple(r) for r in grid.orderBy("ord").collect()] == [(i, 1 + i // 3, "xyz"[i % 3]) for i in range(6)]
     good, bad = relational.split_bad(spark.createDataFrame([(1, True, 5, None), (2, False, None, "why"), (3, None, 7, "?")], "id int, ok boolean, value int, reason string"), "ok", "value", "reason")
