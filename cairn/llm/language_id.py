@@ -1,8 +1,8 @@
 """Language identification by hierarchical discrimination.
 
 One-versus-one linear support vector machines over hashed byte trigrams first choose the language family,
-then the language within it. Each machine is trained in a task of its own on a bounded sample of whole
-texts; whole texts are scored in bulk, without a shuffle."""
+then the language within it. Each machine is trained in a task of its own on the features of a bounded sample of
+whole texts, found before they are shuffled; whole texts are scored in bulk, without a shuffle."""
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from cairn.llm.quality import fold
 
 #: Texts that each side of a machine learns from, shared by the side's languages, by a hash of the id; hashed features.
 SAMPLE, BINS = 1_500, 1 << 12
+#: Languages that a family may hold of those that no family names.
+WIDEST = 12
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi", "romance": "fr es it pt ro ca gl oc la", "slavic": "ru pl cs sk uk bg sr hr sl mk be bs",
     "uralic": "fi et hu", "turkic": "tr az kk uz ky tk", "baltic": "lt lv", "semitic": "ar he mt am", "indic": "hi bn ur mr gu pa ne si", "cjk": "zh ja ko",
@@ -29,6 +31,19 @@ def family(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0], "other")
 
 
+def families(langs: list[str]) -> dict[str, list[str]]:
+    """The languages by family. Those of no named family are dealt, by name, into families of at most WIDEST, so
+    that L languages need about (L / WIDEST)^2 / 2 + L * WIDEST / 2 machines and not L^2 / 2."""
+    groups: dict[str, list[str]] = {}
+    others = 0
+    for x in sorted(langs):
+        name = family(x)
+        if name == "other":
+            name, others = f"other{others // WIDEST or ''}", others + 1
+        groups.setdefault(name, []).append(x)
+    return groups
+
+
 def trigrams(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row a text: unit-length square roots of its counts of hashed trigrams of letters and single spaces."""
     n = len(off) - 1
@@ -44,11 +59,29 @@ def trigrams(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _features(batches):
+    """Texts as the bins of their trigrams and their values there: at most 6 bytes a bin, however long the text."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            x = trigrams(*utf8(part.column("text")))
+            at = [np.flatnonzero(row) for row in x]
+            found = [pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array([row[i].tobytes() for row, i in zip(x, at)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("order"), *found], ["lang", "order", "bins", "values"])
+
+
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    """The texts' features, and a last column of ones."""
+    x = np.zeros((len(rows), BINS + 1), np.float32)
+    x[:, -1] = 1
+    for out, bins, values in zip(x, rows["bins"], rows["values"]):
+        out[np.frombuffer(bins, np.uint16)] = np.frombuffer(values, np.float32)
+    return x
+
+
 def _train(rows: pd.DataFrame) -> pd.DataFrame:
     """A linear machine with squared hinge loss, by accelerated gradient steps."""
-    rows = rows.sort_values(["side", "order"])
-    parts = [trigrams(*utf8(pa.array([t], pa.string()))) for t in rows["text"]]
-    x = np.concatenate([np.concatenate(parts), np.ones((len(rows), 1), np.float32)], axis=1)
+    rows = rows.sort_values(["side", "order", "bins"])
+    x = _matrix(rows)
     y = np.where(rows["side"].to_numpy() > 0, 1.0, -1.0).astype(np.float32)
     c = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
@@ -63,25 +96,22 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> dict:
     """Machines by name ("a|b": positive for b) for all pairs of families and of languages in one family.
 
-    A side of a machine learns from SAMPLE texts or so, whatever its number of languages, so that a task's
-    matrix is bounded. Rows without text or lang teach nothing; an empty table gives no machines."""
+    A side of a machine learns from SAMPLE texts or so, whatever its number of languages, and from BINS
+    features of each, so that a task is bounded in bytes whatever the texts' length. Rows without text or lang teach nothing; an empty table gives no machines."""
+    spark = session(docs)
     src = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
-    langs = sorted(counts)
-    groups: dict[str, list[str]] = {}
-    for x in langs:
-        groups.setdefault(family(x), []).append(x)
+    groups = families(list(counts))
     part = lambda x, among: int(1_000_000 * min(1.0, SAMPLE / len(among) / counts[x]))
     tasks = [(f"{a}|{b}", x, side, part(x, groups[g])) for a in sorted(groups) for b in sorted(groups) if a < b for side, g in ((0, a), (1, b)) for x in groups[g]]
     tasks += [(f"{a}|{b}", x, side, part(x, [x])) for g in groups.values() for a in g for b in g if a < b for side, x in ((0, a), (1, b))]
     if not tasks:
         return {"groups": groups, "machines": {}}
-    spark = docs.sparkSession
     deal = spark.createDataFrame(tasks, "name string, lang string, side int, share int")
     order = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000))
     most = deal.groupBy("lang").agg(F.max("share").alias("most"))  # one row a language, as many as there are machines at most
     sample = src.withColumn("order", order).join(F.broadcast(most), "lang").where("order < most").select("lang", "order", "text")
-    dealt = save(sample).join(F.broadcast(deal), "lang").where("order < share").drop("share")
+    dealt = save(sample.mapInArrow(_features, "lang string, order long, bins binary, values binary")).join(F.broadcast(deal), "lang").where("order < share").drop("share")
     trained = dealt.groupBy("name").applyInPandas(_train, "name string, weights binary").collect()
     return {"groups": groups, "machines": {r["name"]: np.frombuffer(r["weights"], np.float32) for r in trained}}
 

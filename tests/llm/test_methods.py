@@ -246,6 +246,23 @@ def test_language_trigrams_against_plain_loops():
         assert np.allclose(row, n / max(np.linalg.norm(n), 1e-9), atol=1e-6)
 
 
+def test_language_features_before_the_shuffle_are_those_of_the_texts():
+    texts = ["", "aaaa bbbb", "Der Hund und die Katze", None, "é" * 5000, "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 6), pa.array(range(6), pa.int64()), pa.array(texts, pa.string())], ["lang", "order", "text"])
+    rows = pa.Table.from_batches(language_id._features([batch])).to_pandas()
+    for got, text in zip(language_id._matrix(rows), texts):
+        assert np.array_equal(got[:-1], language_id.trigrams(*utf8(pa.array([text], pa.string())))[0]) and got[-1] == 1
+    assert rows["bins"].map(len).max() <= 2 * language_id.BINS
+
+
+def test_language_families_keep_machines_few():
+    groups = language_id.families([f"q{i:03}" for i in range(200)] + ["de", "en-GB", "ja"])
+    assert groups["germanic"] == ["de", "en-GB"] and groups["cjk"] == ["ja"] and max(map(len, groups.values())) <= language_id.WIDEST
+    assert sorted(x for g in groups.values() for x in g) == sorted([f"q{i:03}" for i in range(200)] + ["de", "en-GB", "ja"])
+    pairs = lambda n: n * (n - 1) // 2
+    assert pairs(len(groups)) + sum(pairs(len(g)) for g in groups.values()) < 1500 and language_id.families([]) == {}
+
+
 def test_language_of_texts_without_letters(spark):
     train = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the house and the river are near", "en"), ("das Haus und der Fluss sind nah", "de"), ("la maison et la rue sont belles", "fr")] * 5)], "doc_id long, text string, lang string")
     model = language_id.learn(train)
