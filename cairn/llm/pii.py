@@ -2,8 +2,8 @@
 
 Base spans are what the contract's patterns find. Wider patterns give candidates, on which regex, gazetteer
 and context labelers vote. Expectation-maximisation over the counts of all vote patterns of the corpus
-estimates the labelers' reliabilities, a logistic span classifier is fitted to the posteriors, and
-candidates that it accepts and that touch no base span are added."""
+estimates the labelers' reliabilities, a logistic span classifier over votes, kind and the shape of the span
+and its surroundings is fitted to the posteriors, and candidates that it accepts and that touch no base span are added."""
 
 import hashlib
 import re
@@ -112,8 +112,20 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     return out
 
 
-def _pattern(kind: str, votes: tuple[int, ...]) -> str:
-    return kind + ":" + "".join("-0+"[v + 1] for v in votes)
+def _class(c: str) -> str:
+    """The class of a character beside a span: none, letter, digit, white space, label, bracket or quote, other."""
+    return "n" if not c else "a" if c.isalpha() else "d" if c.isdigit() else "w" if c.isspace() else "l" if c in ":=#" else "b" if c in "()[]<>{}\"'" else "o"
+
+
+def shape(text: str, start: int, end: int) -> str:
+    """What the classifier sees of a span beside the votes: the characters before and after it, its separators, its length."""
+    between = {c for c in text[start:end] if not c.isalnum()}
+    own = "b" if between & set("()[]") else "n" if not between else {" ": "w", "-": "h", ".": "p"}.get(min(between), "o") if len(between) == 1 else "m"
+    return _class(text[start - 1 : start] if start else "") + _class(text[end : end + 1]) + own + ("s" if end - start < 12 else "m" if end - start < 20 else "l")
+
+
+def _pattern(kind: str, votes: tuple[int, ...], shape: str = "") -> str:
+    return kind + ":" + "".join("-0+"[v + 1] for v in votes) + (shape and ":" + shape)
 
 
 def _patterns(batches):
@@ -122,19 +134,23 @@ def _patterns(batches):
         for part in slices(batch, "text"):
             for text in part.column("text").to_pylist():
                 if text:
-                    for kind, _, _, votes in candidates(text, base_spans(text)):
-                        counts[p] = counts.get(p := _pattern(kind, votes), 0) + 1
+                    for kind, s, e, votes in candidates(text, base_spans(text)):
+                        counts[p] = counts.get(p := _pattern(kind, votes, shape(text, s, e)), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
 
 def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
-    """P(personal data) of every vote pattern: EM for the labelers' reliabilities, then a logistic fit to the posteriors."""
+    """P(personal data) of every pattern: EM for the labelers' reliabilities, then a logistic fit to the posteriors.
+
+    Patterns are kind:votes or kind:votes:shape; EM sees the votes only. For shapes that a corpus doesn't hold
+    there is the mean of each kind:votes over its shapes."""
     if not counts:
         return {}
     names = sorted(counts)
     n = np.array([counts[p] for p in names], np.float64)
     votes = np.array([["-0+".index(c) for c in p.split(":")[1]] for p in names])
     kinds = np.array([KINDS.index(p.split(":")[0]) for p in names])
+    shapes = [np.array([p.split(":")[2][i] if p.count(":") == 2 else "" for p in names]) for i in range(4)]
     cast = np.eye(3)[votes]
     post = 1 / (1 + np.exp(-2.0 * (votes - 1).sum(axis=1)))
     for _ in range(rounds):
@@ -143,18 +159,25 @@ def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
         prior = ((n * post).sum() + 1) / (n.sum() + 2)
         score = np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", cast, np.log(yes) - np.log(no))
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    x = np.concatenate([np.ones((len(names), 1)), cast[:, :, 0], cast[:, :, 2], np.eye(len(KINDS))[kinds]], axis=1)
+    x = np.concatenate([np.ones((len(names), 1)), cast[:, :, 0], cast[:, :, 2], np.eye(len(KINDS))[kinds], *(c[:, None] == np.unique(c) for c in shapes if len(np.unique(c)) > 1)], axis=1)
     w, weight = np.zeros(x.shape[1]), n / n.sum() * min(n.sum(), 1000.0)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - post)) + 0.1 * w
         w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), grad)
     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return dict(zip(names, p.tolist()))
+    bare = np.array([":".join(name.split(":")[:2]) for name in names])
+    votes_only, at = np.unique(bare, return_inverse=True)
+    means = np.bincount(at, n * p) / np.bincount(at, n)
+    return {**dict(zip(votes_only.tolist(), means.tolist())), **dict(zip(names, p.tolist()))}
 
 
 def learn(docs: DataFrame, text_column: str = "text") -> dict[str, float]:
-    """The span classifier of a corpus: probabilities by vote pattern. At most 4 * 3**6 counts reach the driver."""
+    """The span classifier of a corpus: probabilities by pattern.
+
+    Null and empty texts hold no candidates, repeated rows count each time, and an empty table gives an empty
+    model; other columns are not read. A kind has at most 96 vote patterns and 882 shapes, so that the counts
+    that reach the driver are bounded whatever the corpus; a few hundred occur."""
     session(docs)
     counts = docs.select(F.col(text_column).alias("text")).mapInArrow(_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     return fit({r["pattern"]: r["n"] for r in counts.collect()})
@@ -165,7 +188,8 @@ def spans(text: str, model: dict[str, float]) -> tuple[list[tuple[str, int, int]
     base = base_spans(text)
     taken, added = sorted((s, e) for _, s, e in base), []
     for kind, s, e, votes in candidates(text, base):
-        if model.get(_pattern(kind, votes), 0.0) >= ACCEPT and not any(a < e and s < b for a, b in taken):
+        likely = model.get(_pattern(kind, votes, shape(text, s, e)), model.get(_pattern(kind, votes), 0.0))
+        if likely >= ACCEPT and not any(a < e and s < b for a, b in taken):
             added.append((kind, s, e))
             taken.append((s, e))
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1]))

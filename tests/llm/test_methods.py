@@ -372,6 +372,39 @@ def test_pii_posteriors_against_plain_em():
     assert all((got[p] >= 0.5) == (q >= 0.5) for p, q in zip(names, post)) and pii.fit({}) == {}
 
 
+def _planted() -> tuple[list[str], list[str]]:
+    """Texts with one disguised span each, and texts with a look-alike each."""
+    word = lambda i: ("alba", "brin", "corto", "delma", "esk")[i % 5]
+    card = lambda i: next(c for c in (f"4{i:011d}000{d}" for d in range(10)) if pii.luhn(c))
+    good, bad = [], []
+    for i in range(120):
+        c = card(i * 7919)
+        good += [f"contact {word(i)}{i} (at) {word(i + 1)} (dot) com now", f"the {word(i)} said: call {200 + i}-{300 + i}-{4000 + i} today", f"visa card: {c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]} {word(i)}", f"server: 10[.]{i}[.]0[.]{i + 1} {word(i)}"]
+        wrong = c[:15] + str((int(c[15]) + 1) % 10)
+        bad += [f"order {wrong[:4]}-{wrong[4:8]}-{wrong[8:12]}-{wrong[12:]}% {word(i)}", f"version 300[.]{i}[.]900[.]{i + 1}a", f"section {word(i)}(at){word(i + 1)}.x{i}y% off", f"invoice {wrong[:4]} {wrong[4:8]} {wrong[8:12]} {wrong[12:]}"]
+    return good, bad
+
+
+def test_pii_classifier_catches_disguised_spans_and_leaves_look_alikes(spark):
+    good, bad = _planted()
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_added"] for r in pii.find_pii(docs).collect()}
+    assert sum(got[i] > 0 for i in range(len(good))) >= 0.95 * len(good)
+    assert sum(got[len(good) + i] > 0 for i in range(len(bad))) <= 0.01 * len(bad)
+
+
+def test_pii_shapes_enter_the_classifier():
+    """Of two kinds of spans with the same votes the one whose surroundings are those of good spans is the likelier; a shape not seen has the mean."""
+    assert pii.shape("mail: a@b.c", 6, 11) == "wnms" and pii.shape("(1.2.3.4)", 1, 8) == "bbps" and pii.shape("", 0, 0) == "nnns"
+    counts = {"phone:0++++0:lwhm": 900, "phone:0----0:awhm": 900, "phone:0+-0+0:lwhm": 50, "phone:0+-0+0:awhm": 50}
+    got = pii.fit(counts)
+    assert got["phone:0+-0+0:lwhm"] > got["phone:0+-0+0"] > got["phone:0+-0+0:awhm"]
+    text = "call 555-123-4567"
+    ((kind, s, e, votes),) = pii.candidates(text, [])
+    for p, added in ((0.95, True), (0.5, False)):
+        assert bool(pii.spans(text, {pii._pattern(kind, votes): p})[1]) is added
+
+
 def test_pii_added_spans_are_candidates_that_touch_no_base_span():
     texts = ["mail jane (at) example (dot) com or a@b.de", "card 4111 1111 1111 1111 5500 0000 0000 0004 end", "ip 10 . 0 . 0 . 1 or 10.0.0.1", "tel (415) 555-0100"]
     for accepted in (False, True):
