@@ -3,18 +3,25 @@
 A page is read once into text lines (one for each block) that are inside an article or main element, open
 (in the body at large), or of the frame: menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments by tag, role, class or id. An article or main element ends the frames by class, id or form
-around it, which can be wrappers of the page, but not those of comments, teasers and adverts. Pages are put in order of host and URL path and paired with the
-neighbour on their host whose path is nearest; the lines outside the articles of the two are aligned by
-longest common subsequence, and shared ones are deleted. The text is the article's lines; of pages that
-mark no article, the open lines that are left. Lines inside a marked article are never deleted, as copies
-of an article on nearby pages would delete each other; nor are open lines when nearly all of a page's are
-shared, which says that the pages are copies."""
+around it, which can be wrappers of the page, but not those of comments, teasers and adverts.
+
+Pages are put in order of host and URL path and differenced with the neighbour on their host whose path is
+nearest and that isn't a copy: all lines of the two, whatever their marks, are aligned by longest common
+subsequence, and shared ones are deleted. A check follows, of what was deleted and of what is left.
+Deleted lines come back where the neighbour says too little: a line of a marked article, which can be a
+passage that two articles share, stays deleted only as part of elements with a class or id of their own, of
+which all lines are shared with the neighbours on both sides (notices and adverts that no name tells); an
+open line stays deleted unless the neighbour on the other side is in its folder and lacks it. The first and
+the last page of a host have two neighbours on one side. Of the lines that are left those of the frame go
+(menus that differ from page to page) and, where an article is marked, open ones."""
 
 import hashlib
 import html as entities
 import os
 import re
 from bisect import bisect_left
+from collections import deque
+from itertools import chain
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -23,8 +30,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm._shared import save, session, slices, table
 
-#: A page of which more than this part of the open text is shared is a copy of its neighbour.
+#: A page of which more than this part of the text is shared is a copy of its neighbour, which then tells nothing.
 COPY = 0.8
+#: Elements inside an article hold at most this part of it, or they aren't deleted.
+PART = 0.5
+#: Longest common subsequences of pages with more pairs of equal lines than this are found by bits.
+PAIRS = 1 << 20
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden)\b\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
@@ -40,6 +51,9 @@ _CLASSES = {
     "pagination", "pager", "copyright", "widget", "contentinfo", "complementary", "hidden",
 }
 FRAME, OPEN, INSIDE = 0, 1, 2
+#: Elements that can be a notice or advert inside an article; headings, items, cells and quotes are its own.
+_UNITS = {"div", "section", "p", "ul", "ol", "address"}
+_DIGITS = re.compile(r"\d+")
 
 
 #: First parts of a class name that tell of something else on the page, and parts that also name the head of an article.
@@ -82,14 +96,28 @@ def _frame(name: str, attrs: str, inside: bool = False) -> int:
     return found
 
 
+def _unit(name: str, attrs: str) -> str:
+    """What elements of one kind inside an article have in common: tag, class and id without digits; "" if they have neither."""
+    if name not in _UNITS or not attrs:
+        return ""
+    told = [f"{m[1].lower()}={m[2]}" for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id") and (m[2] or "").strip("\"'").strip()]
+    return _DIGITS.sub("", " ".join([name, *told])) if told else ""
+
+
 def lines(page: str) -> list[tuple[int, str]]:
     """(FRAME, OPEN or INSIDE, text) of each block that has text, in page order; linear in the page's length."""
-    out: list[tuple[int, str]] = []
+    return [(kind, line) for kind, line, _ in blocks(page)]
+
+
+def blocks(page: str) -> list[tuple[int, str, str]]:
+    """The same with the innermost element inside the article that has a class or id of its own ("": none)."""
+    out: list[tuple[int, str, str]] = []
     text: list[str] = []
     stack: list[str] = []
     frames: list[tuple[int, int]] = []
     insides: list[int] = []
     ended: list[int] = []  # articles that end the soft frames around them
+    units: list[tuple[int, str]] = []
 
     def framed() -> bool:
         return bool(frames) and frames[-1][0] > (ended[-1] if ended else -1)
@@ -98,7 +126,7 @@ def lines(page: str) -> list[tuple[int, str]]:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append((FRAME if framed() else INSIDE if insides else OPEN, line))
+                out.append((FRAME if framed() else INSIDE if insides else OPEN, line, units[-1][1] if units else ""))
             text.clear()
 
     def pop(to: int):
@@ -109,6 +137,8 @@ def lines(page: str) -> list[tuple[int, str]]:
             ended.pop()
         while insides and insides[-1] >= to:
             insides.pop()
+        while units and units[-1][0] >= to:
+            units.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -160,6 +190,8 @@ def lines(page: str) -> list[tuple[int, str]]:
             if framed() and all(kind == SOFT for place, kind in frames if place > (ended[-1] if ended else -1)):
                 ended.append(len(stack))
             insides.append(len(stack))
+        elif insides and (unit := _unit(name, tag[3])):
+            units.append((len(stack), unit))
         stack.append(name)
     flush()
     return out
@@ -170,6 +202,8 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
+    if sum(len(where.get(x, ())) for x in a) > PAIRS:
+        return shared_by_bits(a, where, len(b))
     tails: list[int] = []
     ends: list[tuple] = []
     for i, x in enumerate(a):
@@ -189,6 +223,49 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+def shared_by_bits(a: list[int], where: dict[int, list[int]], n: int) -> list[int]:
+    """The same for lines that are repeated many times, a row of n bits for each line of a (Hyyro). Of the rows
+    one in about a root of their number is kept, and those between are made again on the way back."""
+    full = (1 << n) - 1
+    kept: dict[int, int] = {}
+
+    def mask(x: int) -> int:
+        if x in kept:
+            return kept[x]
+        found = where.get(x, ())
+        bits = bytearray(n // 8 + 1 if found else 0)
+        for j in found:
+            bits[j >> 3] |= 1 << (j & 7)
+        made = int.from_bytes(bits, "little")
+        if len(found) > 64:
+            kept[x] = made
+        return made
+
+    def below(row: int, x: int) -> int:
+        u = row & mask(x)
+        return ((row + u) | (row - u)) & full
+
+    step = max(1, int(len(a) ** 0.5))
+    row, rows = full, []
+    for i, x in enumerate(a):
+        if i % step == 0:
+            rows.append(row)
+        row = below(row, x)
+    out, at = [], n
+    for start in range((len(rows) - 1) * step, -1, -step):
+        part = [rows.pop()]
+        for x in a[start : start + step]:
+            part.append(below(part[-1], x))
+        for i in range(len(part) - 2, -1, -1):
+            at = (~part[i + 1] & ((1 << at) - 1)).bit_length()
+            if not at:
+                return out[::-1]
+            if part[i] >> (at - 1) & 1:
+                out.append(start + i)
+                at -= 1
+    return out[::-1]
+
+
 def _hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(errors="replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -201,7 +278,38 @@ def _url(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-_PARSED = "id {0}, url string, host string, path string, text string, open array<string>, hashes array<long>, sizes array<int>, numbers array<int>"
+def folder(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[0]
+
+
+def gone_lines(path: str, mine: list[int], sizes: list[int], numbers: list[int], units: list[int], near: list[tuple[str, list[int]]]) -> list[int]:
+    """Numbers of the text's lines that differencing deletes and the check doesn't bring back.
+
+    mine, sizes: hashes and lengths of all lines of the page; numbers: their places in its text, -1 if they
+    aren't part of it; units: -1 for open lines, 0 for lines of the article, above for its elements with a
+    class or id; near: paths and lines of the neighbours, two at most."""
+    text = [i for i, k in enumerate(numbers) if k >= 0]
+    size = sum(sizes[i] for i in text)
+    found = []
+    for other, theirs in sorted(near, key=lambda x: -len(os.path.commonprefix([path, x[0]]))):
+        shared = set(shared_lines(mine, theirs))
+        if sum(sizes[i] for i in text if i in shared) <= COPY * size:
+            found.append((other, shared))
+    if not found:
+        return []
+    gone = [i for i in text if i in found[0][1]]
+    marked = bool(gone) and units[gone[0]] >= 0
+    if len(found) > 1 and (marked or folder(found[1][0]) == folder(path)):
+        gone = [i for i in gone if i in found[1][1]]
+    if marked:
+        own = {0, *(units[i] for i in set(text).difference(gone))}
+        gone = [i for i in gone if units[i] not in own]
+        if len(found) < 2 or sum(sizes[i] for i in gone) > PART * size:
+            return []
+    return [numbers[i] for i in gone]
+
+
+_PARSED = "id {0}, url string, host string, path string, lines array<string>, hashes array<long>, sizes array<int>, numbers array<int>, units array<int>"
 
 
 def _parsed(batches):
@@ -209,81 +317,109 @@ def _parsed(batches):
         for part in slices(batch, "html"):
             rows = []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
-                found = lines(page or "")
-                inside = [x for kind, x in found if kind == INSIDE]
-                opened = None if inside else [x for kind, x in found if kind == OPEN]
-                frame = [(kind, x) for kind, x in found if kind != INSIDE]
-                number, numbers = 0, []
-                for kind, _ in frame:
-                    numbers.append(number if kind == OPEN and opened is not None else -1)
-                    number += kind == OPEN
-                rows.append((*_url(url), " ".join(inside), opened, [_hash(x) for _, x in frame], [len(x) for _, x in frame], numbers))
+                found = blocks(page or "")
+                main = INSIDE if any(kind == INSIDE for kind, _, _ in found) else OPEN
+                names = {"": 0} if main == INSIDE else {}
+                text, numbers, units = [], [], []
+                for kind, line, unit in found:
+                    numbers.append(len(text) if kind == main else -1)
+                    units.append(names.setdefault(unit, len(names)) if kind == main == INSIDE else -1)
+                    if kind == main:
+                        text.append(line)
+                rows.append((*_url(url), text, [_hash(x) for _, x, _ in found], [len(x) for _, x, _ in found], numbers, units))
             cols = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["id", "url", "host", "path", "text", "open", "hashes", "sizes", "numbers"])
+            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["id", "url", "host", "path", "lines", "hashes", "sizes", "numbers", "units"])
+
+
+def neighbours(host: str, around: list[tuple | None]) -> list[tuple[str, list[int]]]:
+    """(path, hashes) of the pages before and after on the host, of (host, path, hashes, ...) two and one before, one and two
+    after; the first and the last page of a host have two on one side."""
+    two, one, next_, second = (x if x and x[0] == host else None for x in around)
+    near = [x for x in (one, next_) if x]
+    if len(near) == 1 and (far := two if one else second):
+        near.append(far)
+    return [(x[1], x[2]) for x in near]
 
 
-def _numbered(batches):
+_PAGE = ["host", "path", "hashes", "sizes", "numbers", "units"]
+_DIFFERENCED = "key long, host string, path string, hashes array<long>, sizes array<int>, numbers array<int>, units array<int>, gone array<int>, part int, nth long"
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, pa.int32(), pa.int64()]
+
+
+def _differenced(batches):
+    """Differences the pages of a sorted partition. Its first and last two have neighbours in others and get no
+    result (NULL); they and the two next to them keep their lines, other pages of which lines go only their result."""
     from pyspark import TaskContext
 
-    part, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(range(n, n + batch.num_rows), pa.int64())], [*batch.schema.names, "part", "nth"])
-        n += batch.num_rows
+    part = TaskContext.get().partitionId()
+    names = [x.split()[0] for x in _DIFFERENCED.split(", ")]
+    pages = (page for batch in batches for page in zip(*(batch.column(c).to_pylist() for c in (*_PAGE, "key"))))
+    window, out = deque([None] * 4, 9), []
 
+    def made():
+        cols = list(zip(*out)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names)
 
-def _deleted(batches):
+    for n, page in enumerate(chain(pages, [None] * 4), -4):
+        window.append(page)
+        if n < 0:
+            continue
+        *mine, key = window[4]
+        around = [window[i] for i in (2, 3, 5, 6)]
+        gone = None if None in around else gone_lines(*mine[1:], neighbours(mine[0], around))
+        edge = window[0] is None or window[8] is None
+        out.append((key, *(mine if edge else [None] * len(mine)), gone, part, n))
+        if len(out) == 2000:
+            yield made()
+            out.clear()
+    yield made()
+
+
+def _edges(batches):
     for batch in batches:
-        t = batch.to_pydict()
         out = []
-        for path, mine, sizes, numbers, *near in zip(*(t[c] for c in ("path", "hashes", "sizes", "numbers", "path_a", "hashes_a", "path_b", "hashes_b"))):
-            options = [(len(os.path.commonprefix([path, p])), h) for p, h in (near[:2], near[2:]) if h is not None]
-            gone = shared_lines(mine, max(options, key=lambda x: x[0])[1]) if options else []
-            open_all = sum(s for s, k in zip(sizes, numbers) if k >= 0)
-            open_gone = sum(sizes[i] for i in gone if numbers[i] >= 0)
-            copy = open_all and open_gone > COPY * open_all
-            out.append((len(gone), [numbers[i] for i in gone if numbers[i] >= 0 and not copy]))
-        yield pa.RecordBatch.from_arrays([pa.array(t["key"], pa.int64()), pa.array([n for n, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], ["key", "n_shared", "gone"])
+        for key, around, *mine in zip(*(batch.column(c).to_pylist() for c in ("key", "around", *_PAGE))):
+            at = {x["step"]: (x["host"], x["path"], x["hashes"]) for x in around}
+            out.append((key, gone_lines(*mine[1:], neighbours(mine[0], [at.get(i) for i in (-2, -1, 1, 2)]))))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([g for _, g in out], pa.list_(pa.int32()))], ["key", "gone"])
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """(id, url, text, n_chars), one row per row of pages, repeated rows too.
 
     text: the main text, "" if there is none or html is null; n_chars: its code points. Hosts are compared without "www."; a null or broken URL
-    belongs to the host "". Pages with equal id, URL and html are one page when neighbours are sought; ties
+    belongs to the host "". Pages with equal URL and lines are one page when neighbours are sought, whatever their ids; ties
     between two equally near neighbours go to the earlier. Other columns are not read.
 
-    The order over all pages is a range-partitioned sort of line hashes with row numbers from partition
-    counts, so that a host with a third of all pages is cut like any other; article texts are written
-    once and are not shuffled."""
+    The text of every page is what differencing and its check leave of its lines.
+
+    The order over all pages is a range-partitioned sort of line hashes, so that a host with a third of all
+    pages is cut like any other. Pages are differenced where they are sorted; only the two at each end of a
+    partition are joined by row numbers from partition counts. Texts are written once; they are shuffled only
+    if the pages with lines to delete are too many to be sent to every task."""
     session(pages)
     kind = pages.schema[id_column].dataType.simpleString()
     src = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
     parsed = save(src.mapInArrow(_parsed, _PARSED.format(kind)))
-    key = F.xxhash64("id", "url", "text", F.array_join("open", "\n"), "hashes")
-    light = parsed.select(key.alias("key"), "host", "path", "hashes", "sizes", "numbers").dropDuplicates(["key"])
+    key = F.xxhash64("url", F.array_join("lines", "\n"), "hashes", "numbers", "units")
+    light = parsed.select(key.alias("key"), "host", "path", "hashes", "sizes", "numbers", "units").dropDuplicates(["key"])
     ordered = light.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    fields = "key long, host string, path string, hashes array<long>, sizes array<int>, numbers array<int>"
-    numbered = save(ordered.mapInArrow(_numbered, f"{fields}, part int, nth long"))
+    done = save(ordered.mapInArrow(_differenced, _DIFFERENCED))
     start, starts = 0, []
-    for r in sorted(numbered.groupBy("part").count().collect()):
+    for r in sorted(done.groupBy("part").count().collect()):
         starts.append((r["part"], start))
         start += r["count"]
     first = pages.sparkSession.createDataFrame(starts, "part int, start long")
-    ranked = numbered.join(F.broadcast(first), "part").withColumn("place", F.col("start") + F.col("nth"))
-    mine = ranked.select("place", "key", "host", "path", "hashes", "sizes", "numbers")
-    before = ranked.select((F.col("place") + 1).alias("place"), F.col("host").alias("host_a"), F.col("path").alias("path_a"), F.col("hashes").alias("hashes_a"))
-    after = ranked.select((F.col("place") - 1).alias("place"), F.col("host").alias("host_b"), F.col("path").alias("path_b"), F.col("hashes").alias("hashes_b"))
-    near = mine.join(before, "place", "left").join(after, "place", "left")
-    for x in "ab":
-        same = F.col(f"host_{x}") == F.col("host")
-        near = near.withColumn(f"path_{x}", F.when(same, F.col(f"path_{x}"))).withColumn(f"hashes_{x}", F.when(same, F.col(f"hashes_{x}")))
-    near = near.select("key", "path", "hashes", "sizes", "numbers", "path_a", "hashes_a", "path_b", "hashes_b")
-    gone = save(near.mapInArrow(_deleted, "key long, n_shared long, gone array<int>"))
-    whole = parsed.where("open IS NULL").select("id", "url", "text")
-    rest = parsed.where("open IS NOT NULL").select("id", "url", "open", key.alias("key")).join(gone, "key", "left")
-    left = F.array_join(F.filter("open", lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i)), " ")
-    out = whole.unionByName(rest.select("id", "url", left.alias("text")))
+    edges = done.where("hashes IS NOT NULL").join(F.broadcast(first), "part").withColumn("place", F.col("start") + F.col("nth"))
+    steps = edges.where("gone IS NULL").select("key", *_PAGE, "place", F.explode(F.expr("array(-2, -1, 1, 2)")).alias("step"))
+    near = edges.select("place", F.struct("host", "path", "hashes").alias("page"))
+    met = steps.withColumn("place", F.col("place") + F.col("step")).join(near, "place").groupBy("key").agg(
+        *(F.first(c).alias(c) for c in _PAGE), F.collect_list(F.struct("step", "page.host", "page.path", "page.hashes")).alias("around")
+    )
+    gone = save(done.select("key", "gone").unionByName(met.mapInArrow(_edges, "key long, gone array<int>")).where("size(gone) > 0"))
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    out = parsed.withColumn("key", key).join(gone, "key", "left").select("id", "url", F.array_join(left, " ").alias("text"))
     return out.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -344,6 +344,74 @@ def test_html_differencing_of_open_pages(spark):
     assert got[2] == "story two of its own" and got[3] == got[4] == "same whole story on both pages" and got[5] == "Top bar story five" and got[6] == "alone"
 
 
+def test_html_differencing_of_marked_pages(spark):
+    """Inside a marked article a notice goes that two neighbours share; a passage that articles share, headings and what one lacks stay, and all where there is one neighbour or copies."""
+    page = lambda n, *more: f"<nav>m{n}</nav><article><div class='c-{n}'>Get the app now</div><h2 class='t'>Why</h2><div class='body'><p>story {n} of its own and long enough to tell</p><p>a passage of all</p></div>{''.join(more)}</article><div>beside</div>"
+    data = [(i, f"http://h/a/{i}", page(i, "<div class='one'>only once</div>" if i == 2 else "")) for i in range(1, 5)]
+    data += [(5, "http://two/a/1", page(5)), (6, "http://two/a/2", page(6))]
+    data += [(7 + i, f"http://copies/a/{i}", page(7)) for i in range(3)]
+    own = lambda n: f"Why story {n} of its own and long enough to tell a passage of all"
+    whole = lambda n: f"Get the app now {own(n)}"
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[2] == own(2) + " only once" and [got[i] for i in (1, 3, 4)] == [own(i) for i in (1, 3, 4)]
+    assert got[5] == whole(5) and got[6] == whole(6)
+    assert [got[7 + i] for i in range(3)] == [whole(7)] * 3
+
+
+def test_html_differencing_needs_both_sides_of_a_folder(spark):
+    """Pages that mark no article: what only one neighbour of the folder shares comes back; a copy tells nothing, the next neighbour does."""
+    page = lambda *lines: "".join(f"<div>{x}</div>" for x in lines)
+    data = [
+        (1, "http://h/a/1", page("Bar", "story one of its own")), (2, "http://h/a/2", page("Bar", "story two of its own", "a shared passage")), (3, "http://h/a/3", page("Bar", "a shared passage", "story three of its own")),
+        (4, "http://c/a/1", page("Top bar", "a story told twice")), (5, "http://c/a/2", page("Top bar", "a story told twice")), (6, "http://c/a/3", page("Top bar", "another story")),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[2] == "story two of its own a shared passage"
+    assert got[5] == "a story told twice"
+
+
+def test_html_common_lines_by_bits():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(0, 20))] for _ in range(2))
+        where = {x: [j for j, y in enumerate(b) if y == x] for x in b}
+        plain, got = html_extraction.shared_lines(a, b), html_extraction.shared_by_bits(a, where, len(b))
+        kept, at = [a[i] for i in got], 0
+        for y in b:
+            at += at < len(kept) and kept[at] == y
+        assert got == sorted(got) and at == len(kept) == len(plain)
+    assert len(html_extraction.shared_lines([1] * 20_000, [1] * 20_001)) == 20_000
+
+
+def test_html_neighbours_against_a_plain_loop(spark):
+    """Pages inside a partition and at its ends meet the neighbours that one sorted list gives."""
+    rng = random.Random(8)
+    data = []
+    for i in range(90):
+        notice = f"<div class='n{i}'>{rng.choice(['read on', 'read on', 'read more'])}</div>"
+        data.append((i, f"http://h{i % 4}/{rng.choice('ab')}/{i:02d}", f"<article><h1>t{i}</h1><p>story {i} {'long ' * 9}</p>{notice}</article>" if i % 4 else f"<div>{rng.choice(['bar', 'top'])}</div><div>story {i}</div>"))
+    data += [(100 + i, f"http://g{i}/a", "<p>x</p>") for i in range(7)]
+    pages = sorted((*html_extraction._url(url), i, html_extraction.blocks(page)) for i, url, page in data)
+    want = {}
+    for at, (host, path, i, found) in enumerate(pages):
+        mine = [x for x, p in enumerate(pages) if p[0] == host]
+        near = [x for x in (at - 1, at + 1) if x in mine] if at not in (mine[0], mine[-1]) else (mine[1:3] if at == mine[0] else mine[-2:-4:-1])
+        near = [(pages[x][1], [line for _, line, _ in pages[x][3]]) for x in near if x != at and x in mine]
+        texts = [line for _, line, _ in found]
+        units = [(1 if unit else 0) if kind == html_extraction.INSIDE else -1 for kind, _, unit in found]
+        gone = html_extraction.gone_lines(path, texts, [len(x) for x in texts], list(range(len(texts))), units, near)
+        want[i] = " ".join(x for k, x in enumerate(texts) if k not in gone)
+    rows = spark.createDataFrame(data, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = {r["page_id"]: r["text"] for r in html_extraction.main_text(rows).collect()}
+            assert got == want and 0 < sum("read on" not in x for x in got.values()) < 90
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_html_long_pages(spark):
     page = "<body><nav>m</nav><article>" + "<p>a b</p>" * 60_000 + "</article></body>"
     r = html_extraction.main_text(spark.createDataFrame([(1, "http://h/1", page), (1, "http://h/1", page)], "page_id long, url string, html string")).collect()
