@@ -165,6 +165,19 @@ def test_combat_with_covariates_keeps_their_effect(spark):
     assert np.allclose(got, plain_) and not np.allclose(got, np.array([r["vec"] for r in models.combat(df, "id", "v", "b").orderBy("id").collect()]))
 
 
+def test_combat_equals_its_sql_to_the_sign_of_zero(spark, tmp_path):
+    """Vectors so small that many components round to zero from below, which SQL gives as -0.0."""
+    rng = np.random.default_rng(11)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.standard_normal((60, 8)) * 1e-5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = np.array([v for _, v in sorted(con.execute(ORACLES["combat"]).fetchall())])
+    got = np.array([r["vec"] for r in QUERIES["combat"](spark, str(tmp_path)).orderBy("vec_id").collect()])
+    assert (np.signbit(want) & (want == 0)).sum() > 10
+    assert (got == want).all() and (np.signbit(got) == np.signbit(want)).all()
+
+
 def test_density_clusters_find_links_beyond_the_nearest(spark):
     """Two groups of three, all within eps of each other but not among each other's nearest: one cluster."""
     df = spark.createDataFrame([(i, [x]) for i, x in enumerate([0.0, 0.01, 0.02, 0.5, 0.51, 0.52])], "k long, e array<double>")
