@@ -8,10 +8,15 @@ at most SMALL edges, which bounds what the driver sees whatever the number of po
    min_cluster_size points. Components that are smaller hook along their lightest edge: two that choose each other
    merge, and whatever leads down to a large one is absorbed there, each at its own edge's weight.
 3. merges(): edges between large components are the splits. Two that choose each other merge.
-4. select(): stabilities from the leaves up, and the topmost stable clusters from the root down."""
+4. select(): stabilities from the leaves up, and the topmost stable clusters from the root down.
+
+A tree of clusters of at most SMALL edges is broadcast, points climb it in jumps, and the driver selects; in a
+larger one both go level by level, so that rounds follow its depth."""
 
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,6 +249,64 @@ def select(known: DataFrame) -> DataFrame:
         done = save(done.union(level))
 
 
+class _Known:
+    """A tree of clusters (child, parent, w) on the driver: up and w of each node, the root's being itself and inf."""
+
+    def __init__(self, rows: list):
+        self.names = sorted({x for r in rows for x in (r["child"], r["parent"])})
+        self.at = {x: i for i, x in enumerate(self.names)}
+        self.up, self.w = np.arange(len(self.names)), np.full(len(self.names), np.inf)
+        for r in rows:
+            self.up[self.at[r["child"]]], self.w[self.at[r["child"]]] = self.at[r["parent"]], r["w"]
+
+    def jumps(self) -> list:
+        """(node, weight of the last edge) 1, 2, 4 ... edges up; weights don't fall on the way."""
+        out = [(self.up, self.w)]
+        while (out[-1][0] != out[-1][0][out[-1][0]]).any():
+            up, w = out[-1]
+            out.append((up[up], w[up]))
+        return out
+
+    def chosen(self, own: list) -> list:
+        """(cluster, chosen) by the points that fall out of each cluster: own (cluster, m, mass)."""
+        size = len(self.names)
+        n, mass, split, inner, best = np.zeros(size), np.zeros(size), np.full(size, np.inf), np.zeros(size), np.zeros(size)
+        depth, at = (self.up != np.arange(size)).astype(int), self.up
+        while (at != at[at]).any():
+            depth, at = depth + depth[at], at[at]
+        for r in own:
+            n[self.at[r["cluster"]]], mass[self.at[r["cluster"]]] = r["m"], r["mass"]
+        stable, order = np.zeros(size, bool), np.argsort(-depth, kind="stable")
+        for i in order[depth[order] > 0]:
+            stability = mass[i] + inner[i] / max(split[i], LEAST) - (n[i] + inner[i]) / max(self.w[i], LEAST)
+            n[i] += inner[i]
+            stable[i] = stability >= best[i]
+            p = self.up[i]
+            inner[p] += n[i]
+            best[p] += max(stability, best[i])
+            split[p] = max(self.w[i], split[p]) if np.isfinite(split[p]) else self.w[i]
+        top = np.full(size, -1)
+        for i in order[::-1]:
+            if depth[i]:
+                top[i] = top[self.up[i]] if top[self.up[i]] >= 0 else i if stable[i] else -1
+        return [(self.names[i], self.names[top[i]]) for i in range(size) if top[i] >= 0]
+
+
+def _climbed(members: DataFrame, known: _Known) -> DataFrame:
+    """entered() by a tree that every task holds."""
+    sent = members.sparkSession.sparkContext.broadcast((known.names, known.at, known.jumps()))
+
+    def run(batches):
+        names, places, jumps = sent.value
+        for pdf in batches:
+            at, b = np.array([places[f"{x}:0"] for x in pdf["basin"]], int), pdf["b"].to_numpy(dtype=float)
+            for up, w in reversed(jumps):
+                at = np.where(w[at] <= b, up[at], at)
+            yield pd.DataFrame({"id": pdf["id"], "cluster": [names[i] for i in at], "b": b})
+
+    return save(members.mapInPandas(run, "id long, cluster string, b double"))
+
+
 def numbered(points: DataFrame, labels: DataFrame, least: int = 1) -> DataFrame:
     """(id, cluster) of all points: labels (id, label) of at least `least` points are numbered by size, then least label; -1 for the rest."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
@@ -260,8 +323,15 @@ def from_tree(points: DataFrame, edges: DataFrame, min_cluster_size: int) -> Dat
     up = merges(splits, members)
     if up.isEmpty():
         return points.select("id", F.lit(-1).alias("cluster"))
-    entries = entered(members, up)
-    chosen = select(stabilities(entries, up))
+    rows = up.limit(SMALL + 1).collect()
+    if len(rows) <= SMALL:
+        known = _Known(rows)
+        entries = _climbed(members, known)
+        own = entries.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(_inverse(F.col("b"))).alias("mass")).collect()  # SMALL at most
+        chosen = points.sparkSession.createDataFrame(known.chosen(own), "cluster string, chosen string")
+    else:
+        entries = entered(members, up)
+        chosen = select(stabilities(entries, up))
     labels = dealt_join(entries, chosen.where("chosen IS NOT NULL"), "cluster", "id").select("id", F.col("chosen").alias("label"))
     return numbered(points, save(labels))
 
@@ -271,6 +341,5 @@ def clusters(points: DataFrame, min_samples: int, min_cluster_size: int) -> Data
 
     Numbered by size, then least id; -1 for noise. The root is no cluster, so that points without two groups of
     min_cluster_size are all noise, as are fewer points than that. Weights under 1e-10 count as that much.
-    Rounds follow the depth of the cluster tree; a point on the very weight of a split belongs
-    to what is above it, so that ties between links don't matter."""
+    A point on the very weight of a split belongs to what is above it, so that ties between links don't matter."""
     return from_tree(points, tree(points, min_samples), min_cluster_size)

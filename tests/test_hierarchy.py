@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import hierarchy, vectors
 
@@ -104,3 +105,29 @@ def test_spanning_tree_has_the_least_weight(spark, monkeypatch):
             sets.up[sets.root(a)] = sets.root(b)
             total, n = total + w, n + 1
     assert sum(r["w"] for r in got) == total and len(got) == n
+
+
+def _chain(n):
+    """n groups of three points, of which one after the other joins: a tree as deep as there are groups."""
+    inside = [(3 * g + i, 3 * g + i + 1, 0.1 + 0.01 * (g % 3)) for g in range(n) for i in (0, 1)]
+    return inside + [(3 * g, 3 * g + 3, 1.0 + 0.1 * (g % n)) for g in range(n - 1)]
+
+
+def test_deep_trees_take_no_round_a_level(spark, monkeypatch):
+    edges = spark.createDataFrame(_chain(40), "a long, b long, w double")
+    points, saved = spark.range(120), []
+    save = hierarchy.save
+    monkeypatch.setattr(hierarchy, "save", lambda df: saved.append(1) or save(df))
+    assert hierarchy.from_tree(points, edges, 3).count() == 120
+    assert len(saved) < 15
+
+
+def test_tree_on_the_driver_selects_as_levels_do(spark):
+    edges = spark.createDataFrame(_chain(5), "a long, b long, w double")
+    members, splits = hierarchy.basins(spark.range(15), edges, 3)
+    up = hierarchy.merges(splits, members)
+    entries, known = hierarchy.entered(members, up), hierarchy._Known(up.collect())
+    assert sorted(map(tuple, entries.collect())) == sorted(map(tuple, hierarchy._climbed(members, known).collect()))
+    own = entries.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(hierarchy._inverse(F.col("b"))).alias("mass")).collect()
+    want = hierarchy.select(hierarchy.stabilities(entries, up)).where("chosen IS NOT NULL").collect()
+    assert sorted(known.chosen(own)) == sorted(map(tuple, want)) and want
